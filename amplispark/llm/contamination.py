@@ -7,9 +7,12 @@ its shingles there, so one is a sufficient prefix: its rarest. Documents'
 shingles are joined with these, places that leave no room for the window before
 or after are dropped, and the rest is compared word by word.
 
-Windows are broadcast in blocks of at most BLOCK_WINDOWS rows; a larger
+One pass over the texts finds all places of the items' shingles, compared word
+by word, and writes them down; counts, prefixes and windows come from there, and
+a window is exact if the shingles that cover its words follow each other.
+Shingles are broadcast in blocks of at most BLOCK_SHINGLES rows; a larger
 benchmark takes more blocks, each a pass over the documents. No document text
-is shuffled: what is dealt out is one row a document and one a found window.
+is shuffled: what is dealt out is one row a document and one a found shingle.
 
 Nulls and edge cases: a null or empty text has no words. Items with null id are
 ignored; items that share an id count as one; items without words have no
@@ -30,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import fresh, written
 
 WINDOW_WORDS, SHINGLE_WORDS = 10, 3
-BLOCK_WINDOWS = 100_000
+BLOCK_SHINGLES = 200_000
 #: What separates words, and letters other than A-Z that have a lower case.
 CUT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 OTHER_CAPITALS = r"[[\p{IsUppercase}\p{Lt}]&&[^A-Z]]"
@@ -43,20 +46,17 @@ def ascii_lower(text: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(ascii_lower(F.coalesce(text, F.lit(""))), CUT), lambda w: w != "")
+    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), CUT), "")
 
 
-def shingles(words_col: str, size: int) -> Column:
-    """Hashes of all runs of size words, by place."""
-    w = F.col(words_col)
-    run = lambda x, i: F.xxhash64(x, *(F.get(w, i + k) for k in range(1, size)))
-    heads = F.slice(w, F.lit(1), F.greatest(F.size(w) - (size - 1), F.lit(0)))
-    return F.transform(heads, run)
+def kept(column: Column) -> Column:
+    """As it is, but computed once: without this the optimizer may write a split into lambdas, where it runs once a word."""
+    return F.explode(F.array(column))
 
 
 def windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """Distinct windows: (window, n, size, items); size is the words in its shingles."""
-    rows = items.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("item"), F.explode(F.array(words(F.col(text_col)))).alias("w"))
+    rows = items.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("item"), kept(words(F.col(text_col))).alias("w"))
     rows = rows.where(F.size("w") > 0).withColumn("n", F.least(F.size("w"), F.lit(WINDOW_WORDS)))
     rows = rows.withColumn("at", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1)))
     rows = rows.select("item", "n", F.slice("w", F.col("at"), F.col("n")).alias("window"))
@@ -64,29 +64,40 @@ def windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -
     return grouped.withColumn("size", F.least("n", F.lit(SHINGLE_WORDS)))
 
 
-def _places(docs: DataFrame, sizes: list[int], more: list[Column]) -> DataFrame:
-    """docs (id, text) as (id, mark, w, ...): more are arrays of (h, pos) to explode beside the shingles."""
-    # explode keeps the optimizer from writing the split into the lambdas, where it would run once a word
-    rows = docs.select("id", F.xxhash64("text").alias("mark"), F.explode(F.array(words(F.col("text")))).alias("w"))
-    each = [F.transform(shingles("w", s), lambda h, i: F.struct(h.alias("h"), i.alias("pos"))) for s in sizes]
-    return rows.withColumn("places", F.concat(*each, *more)).select("id", "mark", "w", F.explode("places").alias("place")).select("id", "mark", "w", "place.h", "place.pos")
+def tokens(found: DataFrame) -> DataFrame:
+    """The windows' shingles: (window, n, size, items, at, shingle), shingle an array of words."""
+    rows = found.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("n") - F.col("size"))))
+    return rows.withColumn("shingle", F.slice("window", F.col("at") + 1, F.col("size")))
 
 
-def prefixes(docs: DataFrame, found: DataFrame, sizes: list[int]) -> DataFrame:
-    """Each window with its rarest shingle in docs: (h, at, window, n, items)."""
-    each = [F.transform(shingles("window", s), lambda h, i: F.struct(h.alias("h"), i.alias("at"))) for s in sizes]
-    chosen = reduce(lambda a, k: F.when(F.col("size") == sizes[k], each[k]).otherwise(a), range(1, len(sizes)), each[0])
-    rows = written(found.withColumn("shingle", F.explode(chosen)).select("window", "n", "items", "shingle.h", "shingle.at"), "windows")
-    tokens = rows.select("h").distinct()
-    parts = _blocks(tokens, "h")
-    counts = reduce(DataFrame.union, [_places(docs, sizes, []).join(F.broadcast(t), "h").groupBy("h").count() for t in parts])
-    ranked = rows.join(counts, "h", "left").groupBy("window", "n").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "h", "at", "items")).alias("best"))
-    return written(ranked.select("best.h", "best.at", "window", "n", "best.items"), "prefixes")
+def _hashes(size: int) -> Column:
+    """Hashes of all runs of size words of the column w, by place."""
+    heads = F.slice("w", F.lit(1), F.greatest(F.size("w") - (size - 1), F.lit(0)))
+    return F.transform(heads, lambda x, i: F.xxhash64(x, *(F.get(F.col("w"), i + j) for j in range(1, size))))
 
 
-def _blocks(rows: DataFrame, key: str) -> list[DataFrame]:
-    n = max(1, -(-rows.count() // BLOCK_WINDOWS))
-    return [rows] if n == 1 else [rows.where(F.pmod(F.xxhash64(key), F.lit(n)) == k) for k in range(n)]
+def occurrences(docs: DataFrame, shingles: DataFrame) -> DataFrame:
+    """Where the shingles occur in docs (id, text): (id, mark, n_words, pos, shingle).
+
+    Each row of docs also gives a row whose shingle is null.
+    """
+    got = []
+    sizes = [r["size"] for r in shingles.select("size").distinct().orderBy("size").collect()] or [SHINGLE_WORDS]
+    for size in sizes:
+        own = shingles.where(F.col("size") == size).select(F.xxhash64(*(F.col("shingle")[k] for k in range(size))).alias("h"), F.array_join("shingle", " ").alias("shingle"), F.col("shingle").alias("words"))
+        n = max(1, -(-own.count() // BLOCK_SHINGLES))
+        for k in range(n):
+            block, first = own.where(F.pmod("h", F.lit(n)) == k), not got
+            hashes = _hashes(size)
+            if first:  # the last place in each row stands for the row itself
+                hashes = F.concat(hashes, F.array(F.lit(0).cast("long")))
+                block = block.unionByName(docs.sparkSession.sql("select 0L h, cast(null as string) shingle, cast(null as array<string>) words"))
+            rows = docs.select("id", F.xxhash64("text").alias("mark"), kept(words(F.col("text"))).alias("w"))
+            rows = rows.withColumn("h", hashes).select("id", "mark", "w", F.posexplode("h").alias("pos", "h"))
+            last = F.greatest(F.size("w") - (size - 1), F.lit(0))
+            right = (F.slice("w", F.col("pos") + 1, F.lit(size)) == F.col("words")) if not first else F.coalesce(F.slice("w", F.col("pos") + 1, F.lit(size)) == F.col("words"), F.col("pos") == last)
+            got.append(rows.join(F.broadcast(block), "h").where(right).select("id", "mark", F.size("w").alias("n_words"), "pos", "shingle"))
+    return reduce(DataFrame.union, got)
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -99,27 +110,34 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 def hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(id, mark, copies, n_words, n_hit, items) for each distinct id and text; mark is the text's hash."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     found = written(windows(items, item_col, item_text), "bench-windows")
-    sizes = [r["size"] for r in found.select("size").distinct().orderBy("size").collect()] or [SHINGLE_WORDS]
-    entries = prefixes(rows, found, sizes).withColumn("own", F.lit(False))
-    itself = F.array(F.struct(F.lit(0).cast("long").alias("h"), F.lit(-1).alias("pos")))
-    got = []
-    for k, block in enumerate(_blocks(entries, "window")):
-        # One more place in each document, -1, stands for the document itself.
-        own = block.limit(0).union(block.sparkSession.sql("select 0L, 0, cast(array() as array<string>), 0, cast(array() as array<string>), true"))
-        side = F.broadcast(block.union(own) if k == 0 else block)
-        start = F.col("pos") - F.col("at")
-        fits = ((F.col("pos") < 0) == F.col("own")) & (F.col("own") | ((start >= 0) & (start + F.col("n") <= F.size("w"))))
-        same = F.col("own") | (F.slice("w", F.greatest(start, F.lit(0)) + 1, F.col("n")) == F.col("window"))
-        joined = _places(rows, sizes, [itself] if k == 0 else []).join(side, "h").where(fits).where(same)
-        got.append(joined.select("id", "mark", F.size("w").alias("n_words"), "own", start.alias("start"), (start + F.col("n")).alias("stop"), "items"))
-    rows = reduce(DataFrame.union, got)
-    span = F.when(~F.col("own"), F.struct("start", "stop"))
-    grouped = rows.groupBy("id", "mark").agg(F.max("n_words").alias("n_words"), F.count_if("own").alias("copies"), F.array_sort(F.collect_set(span)).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
+    each = tokens(found)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    seen = written(occurrences(rows, each.select("shingle", "size").distinct()), "occurrences")
+    whole = seen.where("shingle is null").groupBy("id", "mark").agg(F.max("n_words").alias("n_words"), F.count("*").alias("copies"))
+    seen = seen.where("shingle is not null")
+
+    # The rarest shingle is the prefix; those at every third word, and the last, cover the window's words.
+    each = each.select("window", "n", "items", "at", F.array_join("shingle", " ").alias("shingle"), ((F.col("at") % F.col("size") == 0) | (F.col("at") == F.col("n") - F.col("size"))).alias("covers"))
+    ranked = each.join(seen.groupBy("shingle").agg(F.count("*").alias("count")), "shingle", "left")
+    need = F.collect_list(F.when(F.col("covers"), F.struct("at", "shingle"))).alias("need")
+    prefix = ranked.groupBy("window", "n", "items").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "shingle", "at")).alias("best"), need)
+    prefix = written(prefix.where("best.count > 0").select("best.shingle", "best.at", "n", F.array_join("window", " ").alias("window"), "items", "need"), "prefixes")
+
+    start = F.col("pos") - F.col("at")
+    fits = (start >= 0) & (start + F.col("n") <= F.col("n_words"))
+    near = seen.join(prefix, "shingle").where(fits).select("id", "mark", start.alias("start"), "n", "window", "items", "need")
+    parts = near.select(F.col("id").alias("id1"), F.col("mark").alias("mark1"), "start", "n", "window", "items", F.size("need").alias("parts"), F.explode("need").alias("part"))
+    parts = parts.select("*", (F.col("start") + F.col("part.at")).alias("pos1"), F.col("part.shingle").alias("shingle1"))
+    same = F.col("id").eqNullSafe(F.col("id1")) & (F.col("mark") == F.col("mark1")) & (F.col("pos") == F.col("pos1")) & (F.col("shingle") == F.col("shingle1"))
+    exact = seen.join(parts, same).groupBy("id", "mark", "start", "n", "window", "parts").agg(F.count_distinct("pos").alias("got"), F.first("items").alias("items")).where("got = parts")
+
+    spans = exact.groupBy("id", "mark").agg(F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("n")).alias("stop")))).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
     step = lambda a, x: F.struct((a["n"] + F.greatest(F.lit(0), x["stop"] - F.greatest(a["to"], x["start"]))).alias("n"), F.greatest(a["to"], x["stop"]).alias("to"))
     n_hit = F.aggregate("spans", F.struct(F.lit(0).alias("n"), F.lit(0).alias("to")), step)["n"].cast("long")
-    return grouped.select("id", "mark", "copies", "n_words", n_hit.alias("n_hit"), "items")
+    spans = spans.select(F.col("id").alias("id2"), F.col("mark").alias("mark2"), n_hit.alias("n_hit"), "items")
+    both = whole.join(spans, F.col("id").eqNullSafe(F.col("id2")) & (F.col("mark") == F.col("mark2")), "left")
+    return both.select("id", "mark", "copies", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
