@@ -8,13 +8,12 @@ contexts and the next lower order. The result is written in shards by key, each
 of bounded size; scoring reads the shards that a block's distinct n-grams
 need, a few at a time, so neither a task nor the driver ever holds the model.
 
-A document is kept if its perplexity lies between two quantiles of the
-held-back trusted texts of its language: text far too surprising is damaged,
-text far too predictable repeats itself.
+A document is kept if its perplexity is at most a quantile of that of the
+held-back trusted texts of its language.
 
 Nulls and edge cases: a null or empty text has null perplexity and isn't kept.
 A null language, or one with fewer than LEAST_HELD held-back texts, takes the
-quantiles of all; without any held-back text, all texts are kept. Labels with
+quantile of all; without any held-back text, all texts are kept. Labels with
 null id or quality are ignored, and a document with contradicting labels isn't
 trusted. Repeated rows stay; other columns are kept by `good`; an empty table
 gives an empty result. Characters above U+0FFF are folded to 12 bits.
@@ -40,7 +39,7 @@ BLOCK_BYTES = 16 << 20
 SHARD_ROWS, KEPT_ROWS = 400_000, 3_000_000
 #: Trusted ids that are broadcast at most; more of them are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
-LOW, HIGH, LEAST_HELD = 0.002, 0.998, 200
+HIGH, LEAST_HELD = 0.99, 200
 MASK = (1 << BITS) - 1
 
 
@@ -223,16 +222,15 @@ def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     perplexity = scorer(train(trusted(few, labels, "id", False)))
     held = written(trusted(few, labels, "id", True).select("lang", perplexity("text").alias("ppl")).where("ppl is not null"), "held")
     q = lambda p: F.percentile("ppl", F.lit(p))
-    overall = held.agg(q(LOW), q(HIGH)).first()
-    of_lang = held.where("lang is not null").groupBy("lang").agg(q(LOW).alias("low"), q(HIGH).alias("high"), F.count("*").alias("n")).where(F.col("n") >= LEAST_HELD).collect()
+    overall = held.agg(q(HIGH)).first()[0]
+    of_lang = held.where("lang is not null").groupBy("lang").agg(q(HIGH).alias("high"), F.count("*").alias("n")).where(F.col("n") >= LEAST_HELD).collect()
     name = fresh(docs, "perplexity")
     scored = docs.withColumn(name, perplexity(F.col(text_col)))
-    low, high = F.lit(overall[0]).cast("double"), F.lit(overall[1]).cast("double")
+    high = F.lit(overall).cast("double")
     for r in of_lang:
-        low = F.when(F.col(lang_col) == r["lang"], r["low"]).otherwise(low)
         high = F.when(F.col(lang_col) == r["lang"], r["high"]).otherwise(high)
     ppl = F.col(name)
-    keep = F.coalesce(ppl.isNotNull() & (high.isNull() | ((ppl >= low) & (ppl <= high))), F.lit(False))
+    keep = F.coalesce(ppl.isNotNull() & (high.isNull() | (ppl <= high)), F.lit(False))
     return scored, ppl, high, keep
 
 

@@ -20,7 +20,7 @@ MIN_LANGUAGE_SCORE = 0.5
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose perplexity lies within their language's quantiles."""
+    """Documents whose perplexity is at most their language's quantile."""
     ship(spark)
     return quality.good(docs, table(spark, sf_dir, "labels"))
 
