@@ -69,8 +69,8 @@ def record(id_col: str, url_col: str, date: str) -> Column:
     )
 
 
-def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "2020-01-01T00:00:00Z", compression: str = "none") -> None:
-    """Write a record for every row. A null page_id leaves the record id out."""
+def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "2020-01-01T00:00:00Z", compression: str = "gzip") -> None:
+    """Write a record for every row, each file as one gzip stream by default. A null page_id leaves the record id out."""
     rows = referred(pages.select(F.col(id_col), F.col(url_col), F.col(html_col)), id_col, html_col)
     rows.select(record(id_col, url_col, date).alias("value")).write.option("lineSep", END).option("compression", compression).text(path)
 
