@@ -1,6 +1,257 @@
-"""Queries over the driver's tables, and the SQL that gives the same rows."""
+"""Queries over the driver's tables, and the SQL that gives the same rows.
+
+DNA is derived from the texts of documents and benchmark items by an expression
+that both engines evaluate alike.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import alphabet as al
+from .functions import thermo
+from .operators import annotate, panel
+from .operators.hits import hits, seed_hits
+from .operators.products import products, ranked, with_sequences
+from .session import ship, table
+from .sources import fasta
+
+PAIR = panel.pair("p1", "TAGCTAGC", "CTAGCARY", 0, 0)
+SHORT = panel.pair("p2", "ACTA", "GCNA", 0, 0)
+POOLS = (["ACTA", "TTAC"], ["GCNA", "CAC"])
+MM, WINDOW, MOST = 1, 3, 400
+SMALL = "benchmark", "item_id"
+
+
+def records(spark: SparkSession, sf_dir: str, name: str = "documents", key: str = "doc_id") -> DataFrame:
+    ship(spark)
+    return table(spark, sf_dir, name).select(F.col(key).cast("string").alias("record"), al.dna(F.col("text")).alias("seq"))
+
+
+def small(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records(spark, sf_dir, *SMALL)
+
+
+def csv(idx: str) -> Column:
+    return F.array_join(F.col(idx).cast("array<string>"), ",")
+
+
+def shown(rows: DataFrame) -> DataFrame:
+    return rows.select("record", "experiment_id", "start", "end", "length", "type", "fwd_mm", "rev_mm", "fwd_mm_i", "rev_mm_i")
+
+
+def f_derive_dna(spark, sf_dir):
+    rows = records(spark, sf_dir)
+    return rows.select("record", F.length("seq").cast("long").alias("len"), F.length(F.regexp_replace("seq", "[^N]", "")).cast("long").alias("n_count"), F.md5("seq").alias("digest"))
+
+
+def f_revcomp(spark, sf_dir):
+    return small(spark, sf_dir).select("record", al.revcomp(F.col("seq")).alias("rc"), F.round(al.gc_fraction(F.col("seq")), 6).alias("gc"))
+
+
+def f_iupac_expand(spark, sf_dir):
+    rows = spark.createDataFrame([("ACRN",), ("BD",), ("ACGT",), ("NNNN",)], "primer string")
+    return rows.select("primer", F.posexplode(al.expanded(F.col("primer"), 16)).alias("ord", "variant"))
+
+
+def p_mismatch_hits(spark, sf_dir):
+    return hits(small(spark, sf_dir), [SHORT], 1, 0).select("record", "orient", "pos", "mm", csv("mm_idx").alias("mm_i"))
+
+
+def p_exact_hits(spark, sf_dir):
+    return hits(small(spark, sf_dir), [SHORT]).select("record", "orient", "pos")
+
+
+def p_terminal_window(spark, sf_dir):
+    return hits(small(spark, sf_dir), [SHORT], 1, 2).select("record", "orient", "pos", "mm", csv("mm_idx").alias("mm_i"))
+
+
+def p_seed_join_hits(spark, sf_dir):
+    rows = small(spark, sf_dir)
+    each = [seed_hits(rows, s, o, 1, 2).select("record", F.lit(o).alias("orient"), F.col("pos").cast("long").alias("pos"), "mm", csv("mm_idx").alias("mm_i")) for o, s in panel.orientations(SHORT).items()]
+    return each[0].unionAll(each[1]).unionAll(each[2]).unionAll(each[3])
+
+
+def w_hit_cap(spark, sf_dir):
+    return hits(small(spark, sf_dir), [SHORT], 1, 0, cap=3).select("record", "orient", "pos", "mm")
+
+
+def _products(rows: DataFrame, pairs, circular=False, low=0, most=MOST, mm=MM, window=WINDOW) -> DataFrame:
+    return products(hits(rows, pairs, mm, window), pairs, low, most, circular)
+
+
+def j_forward(spark, sf_dir):
+    return shown(_products(records(spark, sf_dir), [PAIR])).where("type = 'forward'")
+
+
+def j_revcomp(spark, sf_dir):
+    return shown(_products(records(spark, sf_dir), [PAIR])).where("type = 'revcomp'")
+
+
+def j_length_bounds(spark, sf_dir):
+    return shown(_products(small(spark, sf_dir), [SHORT], low=30, most=90, window=2))
+
+
+def j_circular(spark, sf_dir):
+    rows = _products(small(spark, sf_dir), [SHORT], True, 0, 120, 1, 2)
+    return rows.select("record", "experiment_id", "start", "end", "length", "type", "fwd_mm", "rev_mm", "is_wrap")
+
+
+def j_self_pairs(spark, sf_dir):
+    return shown(_products(small(spark, sf_dir), panel.with_self_pairs([SHORT]), most=90, window=2))
+
+
+def j_multiplex_panel(spark, sf_dir):
+    pairs = panel.from_pools(*POOLS) + panel.self_across_pools(*POOLS)
+    return shown(_products(small(spark, sf_dir), pairs, most=90, mm=0, window=0))
+
+
+def j_oligo_pairs(spark, sf_dir):
+    oligos = panel.parse_oligos(["x:ACTA", "GCNA", "y CAC"])
+    return panel.panel_table(spark, panel.oligo_pairs(oligos, True)).select("pair_id", "fwd", "rev")
+
+
+def o_coord_rank(spark, sf_dir):
+    return ranked(_products(small(spark, sf_dir), [SHORT], most=90, mm=0, window=0)).select("record", "start", "end", "type", F.col("rank").cast("long").alias("rank"))
+
+
+def p_product_seq(spark, sf_dir):
+    rows = small(spark, sf_dir)
+    return with_sequences(_products(rows, [SHORT], most=90, mm=0, window=0), rows).select("record", "start", "end", "type", F.md5("seq").alias("digest"))
+
+
+def g_products_per_pair(spark, sf_dir):
+    return _products(records(spark, sf_dir), [PAIR]).groupBy("experiment_id").agg(F.count("*").alias("n"))
+
+
+def _amplicons(spark, sf_dir):
+    rows = small(spark, sf_dir)
+    return with_sequences(_products(rows, [SHORT], most=90, mm=0, window=0), rows)
+
+
+def v_probe(spark, sf_dir):
+    got = annotate.with_probe(_amplicons(spark, sf_dir), "probe", "ACTAC", 1)
+    return got.select("record", "start", "end", "type", "probe_found", "probe_strand", "probe_pos", "probe_mm", "probe_site")
+
+
+def v_probe_require(spark, sf_dir):
+    got = annotate.with_probe(_amplicons(spark, sf_dir), "probe", "ACTAC", 0, True)
+    return got.select("record", "start", "end", "type", "probe_strand", "probe_pos")
+
+
+def v_nested(spark, sf_dir):
+    got = annotate.with_nested(_amplicons(spark, sf_dir), [panel.pair("inner", "TAG", "CAC")])
+    return got.select("record", "start", "end", "type", "inner_found", "inner_start", "inner_end", "inner_length", "inner_type")
+
+
+def primers(spark, sf_dir):
+    """The first 20 bases of each small record without its N."""
+    return small(spark, sf_dir).select("record", F.substring(F.regexp_replace("seq", "N", ""), 1, 20).alias("primer"))
+
+
+def t_tm_perfect(spark, sf_dir):
+    p = F.col("primer")
+    return primers(spark, sf_dir).select("record", "primer", F.round(thermo.tm(p), 6).alias("tm"), F.round(thermo.delta_g(p), 6).alias("dg"))
+
+
+def t_salt_models(spark, sf_dir):
+    out = None
+    for model in ("monovalent", "owczarzy-lite", "owczarzy08"):
+        c = thermo.Conditions(model=model, dntp=0.0008)
+        rows = primers(spark, sf_dir).select("record", F.lit(model).alias("model"), F.round(thermo.tm(F.col("primer"), c), 6).alias("tm"))
+        out = rows if out is None else out.unionAll(rows)
+    return out
+
+
+def s_chunks(spark, sf_dir):
+    rows = fasta.chunks(records(spark, sf_dir), 1000, 50)
+    return rows.select("record", F.col("at").cast("long").alias("at"), F.md5("seq").alias("digest"))
+
+
+QUERIES = {f.__name__: f for f in (f_derive_dna, f_revcomp, f_iupac_expand, p_exact_hits, p_mismatch_hits, p_terminal_window, p_seed_join_hits, w_hit_cap, j_forward, j_revcomp, j_length_bounds, j_circular, j_self_pairs, j_multiplex_panel, j_oligo_pairs, o_coord_rank, p_product_seq, g_products_per_pair, v_probe, v_probe_require, v_nested, t_tm_perfect, t_salt_models, s_chunks)}
+
+
+def _records_sql(name: str, key: str) -> str:
+    return f"select cast({key} as varchar) as record, {al.dna_sql('text')} as seq from {name}"
+
+
+def _site_sql(seq: str, window: tuple[int, int], mm: int, source: str) -> str:
+    """(record, len, pos, bad) of one pattern; the protected bases are compared first."""
+    accepts = [al.BASES[c] for c in seq]
+    test = lambda j: f"instr('{accepts[j]}', substr(seq, i + {j + 1}, 1)) > 0"
+    first = " and ".join(test(j) for j in range(*window)) or "true"
+    bad = ", ".join(f"case when {test(j)} then null else {j} end" for j in range(len(seq)))
+    return (
+        f"select record, len, i as pos, bad from (select record, len, i, list_filter([{bad}], lambda x: x is not null) as bad from "
+        f"(select record, seq, length(seq) as len, unnest(range(0, length(seq) - {len(seq)} + 1)) as i from {source} where length(seq) >= {len(seq)}) where {first}) where len(bad) <= {mm}"
+    )
+
+
+def _hits_sql(p: panel.Pair, mm: int, window: int, source: str, only: str = "ABab") -> str:
+    each = []
+    for o, s in panel.orientations(p).items():
+        w = min(window, len(s))
+        each.append(f"select '{o}' as orient, * from ({_site_sql(s, (len(s) - w, len(s)) if o in 'AB' else (0, w), mm, source)})" if o in only else "")
+    return " union all ".join(x for x in each if x)
+
+
+def _products_sql(p: panel.Pair, source: str, mm: int, window: int, low: int, most: int, kinds=("forward", "revcomp"), wrap: bool = False, columns: str = "") -> str:
+    out = []
+    for kind, a, b, n in (("forward", "A", "b", len(p.reverse)), ("revcomp", "B", "a", len(p.forward))):
+        if kind not in kinds:
+            continue
+        for w in (False, True) if wrap else (False,):
+            length = f"(r.pos + {n} - l.pos{' + l.len' if w else ''})"
+            out.append(
+                f"select l.record, '{p.id}' as experiment_id, l.pos as start, r.pos + {n} as \"end\", {length} as length, '{kind}' as type, len(l.bad) as fwd_mm, len(r.bad) as rev_mm, "
+                f"array_to_string(l.bad, ',') as fwd_mm_i, array_to_string(list_transform(r.bad, lambda x: {n - 1} - x), ',') as rev_mm_i, {str(w).lower()} as is_wrap "
+                f"from h l join h r on l.record = r.record where l.orient = '{a}' and r.orient = '{b}' and r.pos {'<' if w else '>'} l.pos and {length} >= {low} and {length} <= {most}"
+            )
+    need = "".join(x for k, x in (("forward", "Ab"), ("revcomp", "Ba")) if k in kinds)
+    cast = "record, experiment_id, cast(start as bigint) as start, cast(\"end\" as bigint) as \"end\", cast(length as bigint) as length, type, cast(fwd_mm as int) as fwd_mm, cast(rev_mm as int) as rev_mm"
+    return f"with h as materialized ({_hits_sql(p, mm, window, source, need)}) select {cast}{columns} from ({' union all '.join(out)})"
+
+
+DOCS, ITEMS = f"({_records_sql('documents', 'doc_id')})", f"({_records_sql(*SMALL)})"
+IDX = ", fwd_mm_i, rev_mm_i"
+
+
+def _hit_columns(sql: str, more: str = "") -> str:
+    return f"select record, orient, cast(pos as bigint) as pos{more} from ({sql})"
+
+
+MM_COLUMNS = ", cast(len(bad) as int) as mm, array_to_string(bad, ',') as mm_i"
+PLAIN = _products_sql(SHORT, ITEMS, 0, 0, 0, 90)
+
+
+def _tm_sql(c: thermo.Conditions) -> str:
+    import math
+
+    n, half = "length(primer)", lambda k: "(" + " + ".join([f"{thermo.INITIATION[k]}", "list_sum(list_transform(range(1, length(primer)), lambda i: case substr(primer, i, 2) " + " ".join(f"when '{d}' then {v[k]}" for d, v in thermo.STACKS.items()) + " end))", *(f"case when {e} in ('A', 'T') then {thermo.TERMINAL_AT[k]} else 0 end" for e in ("left(primer, 1)", "right(primer, 1)")), f"case when primer = reverse(translate(primer, 'ACGT', 'TGCA')) then {thermo.SYMMETRY[k]} else 0 end"]) + ")"
+    conc = f"{thermo.GAS} * ln({c.primer} / case when primer = reverse(translate(primer, 'ACGT', 'TGCA')) then 1 else 4 end)"
+    return f"{half(0)} * 1000 / ({half(1)} + {0.368 * math.log(c.sodium())!r} * ({n} - 1) + {conc}) - 273.15", half(0)
+
+
+TM, DH = _tm_sql(thermo.Conditions())
+PRIMERS = f"select record, left(replace(seq, 'N', ''), 20) as primer from {ITEMS}"
+
+ORACLE_SQL = {
+    "f_derive_dna": f"select record, cast(length(seq) as bigint) as len, cast(length(regexp_replace(seq, '[^N]', '', 'g')) as bigint) as n_count, md5(seq) as digest from {DOCS}",
+    "f_revcomp": f"select record, reverse(translate(seq, 'ACGT', 'TGCA')) as rc, round(case when length(seq) > 0 then cast(length(regexp_replace(seq, '[^GC]', '', 'g')) as double) / length(seq) else 0 end, 6) as gc from {ITEMS}",
+    "p_exact_hits": _hit_columns(_hits_sql(SHORT, 0, 0, ITEMS)),
+    "p_mismatch_hits": _hit_columns(_hits_sql(SHORT, 1, 0, ITEMS), MM_COLUMNS),
+    "p_terminal_window": _hit_columns(_hits_sql(SHORT, 1, 2, ITEMS), MM_COLUMNS),
+    "p_seed_join_hits": _hit_columns(_hits_sql(SHORT, 1, 2, ITEMS), MM_COLUMNS),
+    "w_hit_cap": f"select record, orient, cast(pos as bigint) as pos, cast(len(bad) as int) as mm from (select *, row_number() over (partition by record, orient order by pos) as k from ({_hits_sql(SHORT, 1, 0, ITEMS)})) where k <= 3",
+    "j_length_bounds": _products_sql(SHORT, ITEMS, 1, 2, 30, 90, columns=IDX),
+    "j_circular": _products_sql(SHORT, ITEMS, 1, 2, 0, 120, wrap=True, columns=", is_wrap"),
+    "j_self_pairs": " union all ".join(f"select * from ({_products_sql(p, ITEMS, 1, 2, 0, 90, columns=IDX)})" for p in panel.with_self_pairs([SHORT])),
+    "j_multiplex_panel": " union all ".join(f"select * from ({_products_sql(p, ITEMS, 0, 0, 0, 90, columns=IDX)})" for p in panel.from_pools(*POOLS) + panel.self_across_pools(*POOLS)),
+    "j_oligo_pairs": "with o(ord, id, seq) as (values (1, 'x', 'ACTA'), (2, 'O2', 'GCNA'), (3, 'y', 'CAC')) select a.id || '+' || b.id as pair_id, a.seq as fwd, b.seq as rev from o a join o b on a.ord < b.ord union all select id || '+self', seq, seq from o",
+    "o_coord_rank": f"select record, start, \"end\", type, row_number() over (partition by record order by start, \"end\", type) as rank from ({PLAIN})",
+    "p_product_seq": f"select p.record, start, \"end\", type, md5(substr(seq, start + 1, length)) as digest from ({PLAIN}) p join {ITEMS} r on p.record = r.record",
+    "v_probe_require": f"select record, start, \"end\", type, case when instr(s, 'ACTAC') > 0 then '+' else '-' end as probe_strand, cast(case when instr(s, 'ACTAC') > 0 then instr(s, 'ACTAC') else instr(s, 'GTAGT') end - 1 as int) as probe_pos from (select p.*, substr(seq, start + 1, length) as s from ({PLAIN}) p join {ITEMS} r on p.record = r.record) where instr(s, 'ACTAC') > 0 or instr(s, 'GTAGT') > 0",
+    "t_tm_perfect": f"select record, primer, round(tm, 6) as tm, round(dh - (60 + 273.15) * (dh * 1000 / (tm + 273.15)) / 1000, 6) as dg from (select record, primer, {TM} as tm, {DH} as dh from ({PRIMERS}))",
+    "s_chunks": f"select record, cast(a as bigint) as at, md5(substr(seq, a + 1, 1000)) as digest from (select record, seq, unnest(range(0, cast(greatest(0, ceil((length(seq) - 1000) / 950.0)) as bigint) * 950 + 1, 950)) as a from {DOCS})",
+}
