@@ -83,7 +83,7 @@ def test_long_records_are_cut_into_blocks_without_loss(spark, monkeypatch):
 def test_probe_prefers_plus_when_exact_and_leftmost_otherwise(spark):
     df = spark.createDataFrame([("TTGTACCCACAATTGTGGGTACAA",)], "seq string")
     hit = df.select(annotate.probe_hit(F.col("seq"), "TTGTGGG", 0).alias("h")).first()["h"]
-    assert (hit["strand"], hit["pos"]) == ("+", 13)
+    assert (hit["strand"], hit["pos"]) == ("+", 12)
     hit = df.select(annotate.probe_hit(F.col("seq"), "TTGTGGG", 1).alias("h")).first()["h"]
     assert (hit["strand"], hit["pos"], hit["mm"]) == ("-", 5, 0)
     assert df.select(annotate.probe_hit(F.col("seq"), "AAAAAAAA", 0).alias("h")).first()["h"] is None
