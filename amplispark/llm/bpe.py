@@ -38,7 +38,7 @@ LEXICON_WORDS = 1 << 17
 #: Bytes of text whose words are counted together.
 BLOCK_BYTES = 16 << 20
 #: Bytes of text encoded together: the larger, the fewer distinct words are looked up.
-ENCODE_BYTES = 6 << 20
+ENCODE_BYTES = 3 << 20
 
 #: Unicode white space, and the pattern of the tokenizer's pieces.
 WHITE = r"\t-\r \x85\xa0  -     　"
@@ -382,6 +382,7 @@ def _count_words(path: str, least: int):
                     held, size = [], 0
         if held:
             yield emit()
+        text.release()
 
     return run
 
@@ -415,6 +416,7 @@ def coder(path: str, lexicon_uri: str):
             n.append(np.diff(bounds))
             a += [hashlib.sha256(x).hexdigest() for x in own.decimal(ids, bounds)]
             b += [hashlib.sha256(x.encode()).hexdigest() for x in own.decode(ids, bounds)]
+        text.release()
         return pa.StructArray.from_arrays([pa.array(np.concatenate(n) if n else np.zeros(0, np.int64)), pa.array(a, pa.string()), pa.array(b, pa.string())], ["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return code

@@ -123,6 +123,7 @@ def predictor(langs: list[str], model: np.ndarray, docs: DataFrame):
             best = logs.argmax(1)
             lang[some] = np.array(names, object)[best]
             score[some] = 1 / np.exp(logs - logs.max(1, keepdims=True)).sum(1)
+        text.release()
         return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score)], ["lang", "score"])
 
     return predict

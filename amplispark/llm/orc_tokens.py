@@ -113,6 +113,7 @@ def _encode(path: str):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(before + bounds[:-1]), lists], ["doc_id", "before", "ids"])
                 at += len(part)
                 before += int(bounds[-1])
+            text.release()
 
     return run
 

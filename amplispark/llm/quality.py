@@ -34,9 +34,9 @@ from . import text
 from .common import fresh, fresh_path, open_fs, written
 
 ORDER, BITS = 5, 12
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES, CHUNK_BYTES = 16 << 20, 512 << 10
 #: n-grams in a shard, about, and in the shards that a worker keeps at once.
-SHARD_ROWS, KEPT_ROWS = 400_000, 3_000_000
+SHARD_ROWS, KEPT_ROWS = 400_000, 2_000_000
 #: Trusted ids that are broadcast at most; more of them are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 HIGH, LEAST_HELD = 0.99, 200
@@ -67,7 +67,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([got["k"].combine_chunks(), got["n_sum"].combine_chunks()], ["key", "n"])
 
     for batch in batches:
-        for part in text.chunks(batch.column(0)):
+        for part in text.chunks(batch.column(0), CHUNK_BYTES):
             coded = pa.array(grams(part)[0]).dictionary_encode()
             held.append((coded.dictionary, pa.array(np.bincount(coded.indices.to_numpy(), minlength=len(coded.dictionary)), pa.int64())))
             size += part.nbytes
@@ -76,6 +76,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held, size = [], 0
     if held:
         yield emit()
+    text.release()
 
 
 def train(texts: DataFrame, text_col: str = "text") -> str:
@@ -195,12 +196,13 @@ def scorer(uri: str):
             _models.clear()
             _models[uri] = Model(uri)
         out = []
-        for part in text.chunks(texts):
+        for part in text.chunks(texts, CHUNK_BYTES):
             keys, bounds = grams(part)
             coded = pa.array(keys).dictionary_encode()
             logs = _models[uri].log_p(coded.dictionary.to_numpy())
             total, n = text.sums(logs[coded.indices.to_numpy()], bounds), np.diff(bounds)
             out.append(pa.array(np.exp(-total / np.maximum(n, 1)), mask=n == 0))
+        text.release()
         return pa.concat_arrays(out or [pa.array([], pa.float64())])
 
     return perplexity

@@ -91,7 +91,9 @@ def majority(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 @F.arrow_udf(T.LongType())
 def fingerprint(texts: pa.Array) -> pa.Array:
-    return pa.array(fingerprints(texts).view(np.int64))
+    out = pa.array(fingerprints(texts).view(np.int64))
+    text.release()
+    return out
 
 
 def _golay() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
