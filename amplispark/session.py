@@ -17,6 +17,9 @@ def ship(spark: SparkSession) -> None:
     The zip is served by the driver through addPyFile, so no shared folder is
     needed and replacement executors fetch it as well.
     """
+    # whole texts go to Python: bound what a batch holds
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
