@@ -222,7 +222,7 @@ def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """docs with a perplexity column more, and expressions of that, of the threshold and of whether to keep."""
     few = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     perplexity = scorer(train(trusted(few, labels, "id", False)))
-    held = written(trusted(few, labels, "id", True).select("lang", perplexity("text").alias("ppl")).where("ppl is not null"), "held")
+    held = written(trusted(few, labels, "id", True).select("lang", perplexity("text").alias("ppl")), "held").where("ppl is not null")  # a filter before writing would be pushed below the join, and score all texts
     q = lambda p: F.percentile("ppl", F.lit(p))
     overall = held.agg(q(HIGH)).first()[0]
     of_lang = held.where("lang is not null").groupBy("lang").agg(q(HIGH).alias("high"), F.count("*").alias("n")).where(F.col("n") >= LEAST_HELD).collect()
