@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled pages that the weights are fitted on, at most; those of the least hash of their url and html.
+#: Distinct labelled pages that the weights are fitted on, at most: those of the least hash.
 LABELLED_PAGES = 2000
 WORD, LINK_WORD, TAG = 1.0, -1.0, -0.5
 LEAST_TAG, MOST = -0.05, 4.0
@@ -123,9 +123,11 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(pages: DataFrame, html_col: str = "html", limit: int = LABELLED_PAGES) -> dict[str, float]:
-    """Log odds of being content for each feature, from at most limit labelled pages."""
+    """Log odds of being content for each feature, from at most limit distinct labelled pages."""
     rows = pages.select(F.col(html_col).alias("html")).where(F.col("html").rlike("(?i)<(article|main)[ >]"))
-    rows = rows.orderBy(F.xxhash64("html"), "html").limit(limit)
+    rows = rows.withColumn("h", F.xxhash64("html"))
+    most = rows.select("h").distinct().orderBy("h").limit(limit).agg(F.max("h")).first()[0]  # hashes only: no task gathers pages
+    rows = rows.where(F.col("h") <= (0 if most is None else most)).select("html")
     counts = rows.mapInArrow(_features, "feature string, inside long, outside long").groupBy("feature").agg(F.sum("inside").alias("i"), F.sum("outside").alias("o"))
     odds = {x["feature"]: float(np.log((x["i"] + 0.5) / (x["o"] + 0.5))) for x in counts.collect()}
     return {k: max(-MOST, min(MOST, v)) for k, v in odds.items()}
