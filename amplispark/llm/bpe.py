@@ -6,9 +6,9 @@ shared-suffix automaton whose edges carry numbers that add up to the word's
 rank, and the ranks index a table of ids. Runs it doesn't know are split by the
 tokenizer's pattern, looked up again, and at last merged pair by pair.
 
-The lexicon's words are counted over all texts in blocks of BLOCK_BYTES; a word
-that occurs once in a block isn't counted there. That only decides which words
-take the quick way, as the merges give the same ids. The files lie in the
+The lexicon's words are counted over all texts; words of over WORD_BYTES bytes
+never enter it, which bounds what the driver compiles. That only decides which
+words take the quick way, as the merges give the same ids. The files lie in the
 shared folder, where workers map them into memory.
 
 Nulls and edge cases: a null text is like an empty one: no ids, and the hash of
@@ -26,6 +26,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,8 +34,8 @@ from pyspark.sql import functions as F
 from . import text
 from .common import fresh_path, open_fs
 
-#: Words in the lexicon.
-LEXICON_WORDS = 1 << 17
+#: Words in the lexicon, and bytes of the longest.
+LEXICON_WORDS, WORD_BYTES = 1 << 17, 64
 #: Bytes of text whose words are counted together.
 BLOCK_BYTES = 16 << 20
 #: Bytes of text encoded together: the larger, the fewer distinct words are looked up.
@@ -359,14 +360,14 @@ def _encoder(path: str, lexicon_uri: str) -> Encoder:
     return _loaded[path, lexicon_uri]
 
 
-def _count_words(path: str, least: int):
+def _count_words(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def emit() -> pa.RecordBatch:
             table = pa.table({"w": pa.chunked_array([x[0] for x in held], pa.large_string()), "n": pa.chunked_array([x[1] for x in held], pa.int64())})
             got = table.group_by("w").aggregate([("n", "sum")]).combine_chunks()
-            got = got.filter(pa.compute.greater_equal(got["n_sum"], least))
+            got = got.filter(pc.less_equal(pc.binary_length(got["w"]), WORD_BYTES))
             return pa.RecordBatch.from_arrays([got["w"].cast(pa.string()).combine_chunks(), got["n_sum"].combine_chunks()], ["word", "n"])
 
         for batch in batches:
@@ -390,7 +391,7 @@ def _count_words(path: str, least: int):
 def fit_lexicon(docs: DataFrame, path: str, text_col: str = "text", size: int = LEXICON_WORDS) -> str:
     """Count runs over all texts, compile the most frequent single pieces, and return the folder."""
     rows = docs.select(F.col(text_col).alias("text")).where("text is not null")
-    counts = rows.mapInArrow(_count_words(path, 2), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = rows.mapInArrow(_count_words(path), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     top = counts.orderBy(F.desc("n"), "word").limit(size).select("word").toArrow()["word"].to_pylist()
     vocabulary = _vocabulary(path)
     words = [w for w in top if w not in vocabulary.special and PIECES.findall(w) == [w]]
