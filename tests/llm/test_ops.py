@@ -195,9 +195,9 @@ def test_main_text(spark):
 
 
 def test_licenses(spark):
-    texts = [None, "", "x\nReleased under the MIT License.\ny", "Licensed under the Apache License,\nVersion 2.0.", "This work is licensed under the GNU General Public License, version 3.", "a driving licence is needed", "Licensed under CC BY-NC 4.0.\nLicensed under CC BY-NC 4.0."]
+    texts = [None, "", "x\nReleased under the MIT License.\ny", "Licensed under the Apache License,\nVersion 2.0.", "This work is licensed under the GNU General Public License, version 3.", "a driving licence is needed", "Licensed under CC BY-NC 4.0.\nLicensed under CC BY-NC 4.0.", "Many words of prose. " * 500 + "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. " + "More of it. " * 500]
     got = {r["doc_id"]: r["licenses"] for r in license_scan.scan_licenses(docs(spark, texts)).collect()}
-    assert got == {0: "", 1: "", 2: "MIT", 3: "Apache-2.0", 4: "GPL-3.0", 5: "", 6: "CC-BY-NC-4.0"}
+    assert got == {0: "", 1: "", 2: "MIT", 3: "Apache-2.0", 4: "GPL-3.0", 5: "", 6: "CC-BY-NC-4.0", 7: "MPL-2.0"}
 
 
 def test_kneser_ney_probabilities_add_up(spark):
