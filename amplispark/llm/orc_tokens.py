@@ -30,7 +30,9 @@ from .common import fresh_path
 END_ID = 2
 STRIPE_BYTES, INDEX_ROWS = 16 << 20, 1000
 #: Words that a worker remembers with their ids.
-REMEMBERED = 250_000
+REMEMBERED = 500_000
+#: Bytes of text encoded together: the larger, the fewer distinct words are looked up.
+ENCODE_BYTES = 4 << 20
 #: Fixed value: the split pattern of the tokenizer's file.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Words whose normal form is their lower case, letter by letter.
@@ -55,23 +57,25 @@ class WordEncoder:
         self.whole.no_padding()
         self.model = self.whole.model
         self.letters = dict(enumerate(byte_letters()))
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def piece(self, piece: str) -> bytes:
+        """Ids of a lower-case piece that the pattern doesn't split."""
+        got = self.pieces.get(piece)
+        if got is None:
+            if len(self.pieces) >= REMEMBERED:
+                self.pieces.clear()
+            letters = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+            got = self.pieces[piece] = array("i", [t.id for t in self.model.tokenize(letters)]).tobytes()
+        return got
 
     def word(self, word: str) -> bytes:
-        if "<|" in word or not PLAIN.fullmatch(word):
+        if "<|" in word or not ((word.isascii() and word.isprintable()) or PLAIN.fullmatch(word)):
             return np.array(self.whole.encode(word, add_special_tokens=False).ids, np.int32).tobytes()
-        out = b""
         word = word.lower()
-        for part in [word] if word.isalpha() else SPLIT.findall(word):
-            got = self.parts.get(part)
-            if got is None:
-                if len(self.parts) >= REMEMBERED:
-                    self.parts.clear()
-                tokens = self.model.tokenize(part.encode().decode("latin-1").translate(self.letters))
-                got = self.parts[part] = array("i", [t.id for t in tokens]).tobytes()
-            out += got
-        return out
+        if word.isalpha():
+            return self.piece(word)
+        return b"".join(map(self.piece, SPLIT.findall(word)))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts on end, each text's followed by the end id, and the n + 1 bounds."""
@@ -80,14 +84,9 @@ class WordEncoder:
             data = text.LOWER[data]
         found, bounds = text.words(data, offsets)
         coded = found.dictionary_encode()
-        each = []
-        for w in coded.dictionary.to_pylist():
-            got = self.words.get(w)
-            if got is None:
-                if len(self.words) >= REMEMBERED:
-                    self.words.clear()
-                got = self.words[w] = self.word(w)
-            each.append(got)
+        distinct = coded.dictionary.to_pylist()
+        known = map(self.pieces.get, distinct)
+        each = [self.word(w) if got is None else got for w, got in zip(distinct, known, strict=True)]
         ids, at = text.gathered(pa.array(each, pa.large_binary()), coded.indices, np.int32)
         at = at[bounds]
         ends = at[1:] + np.arange(len(texts))
@@ -107,7 +106,7 @@ def _encode(path: str):
         before = 0
         for batch in batches:
             at = 0
-            for part in text.chunks(batch.column(1)):
+            for part in text.chunks(batch.column(1), ENCODE_BYTES):
                 ids, bounds = own.encode(part)
                 lists = pa.ListArray.from_arrays(bounds.astype(np.int32), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(before + bounds[:-1]), lists], ["doc_id", "before", "ids"])
