@@ -10,15 +10,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import alphabet as al
-from .functions import thermo
-from .operators import annotate, panel
+from .functions import duplex, thermo
+from .functions.structure import structure_of
+from .operators import annotate, panel, scoring
 from .operators.hits import hits, seed_hits
-from .operators.products import products, ranked, with_sequences
+from .operators.products import deduplicated, products, ranked, with_sequences
 from .session import ship, table
-from .sources import fasta
+from .sources import fasta, sinks
 
 PAIR = panel.pair("p1", "TAGCTAGC", "CTAGCARY", 0, 0)
 SHORT = panel.pair("p2", "ACTA", "GCNA", 0, 0)
+THERMO = panel.pair("p3", "ACTAC", "GCTA", 0, 0)
+PROFILES = {k: duplex.Profile(k, knee=60) for k in ("binding", "pcr", "gel")}
 POOLS = (["ACTA", "TTAC"], ["GCNA", "CAC"])
 MM, WINDOW, MOST = 1, 3, 400
 SMALL = "benchmark", "item_id"
@@ -169,7 +172,122 @@ def s_chunks(spark, sf_dir):
     return rows.select("record", F.col("at").cast("long").alias("at"), F.md5("seq").alias("digest"))
 
 
-QUERIES = {f.__name__: f for f in (f_derive_dna, f_revcomp, f_iupac_expand, p_exact_hits, p_mismatch_hits, p_terminal_window, p_seed_join_hits, w_hit_cap, j_forward, j_revcomp, j_length_bounds, j_circular, j_self_pairs, j_multiplex_panel, j_oligo_pairs, o_coord_rank, p_product_seq, g_products_per_pair, v_probe, v_probe_require, v_nested, t_tm_perfect, t_salt_models, s_chunks)}
+def f_selfcomp(spark, sf_dir):
+    """Which of the first eight bases of the primers are their own reverse complement, with both."""
+    head = F.substring("primer", 1, 4)
+    rows = primers(spark, sf_dir).select("record", F.concat(head, F.when(F.length("record") % 2 == 0, al.revcomp(head)).otherwise(head)).alias("seq"))
+    return rows.select("record", "seq", thermo.self_complementary(F.col("seq")).alias("self_complementary"))
+
+
+def p_reference_n_hits(spark, sf_dir):
+    """Sites that hold an N of the record, each a mismatch."""
+    rows = small(spark, sf_dir)
+    got = hits(rows, [SHORT], 1, 0).join(rows, "record").withColumn("site", F.substring(F.col("seq"), F.col("pos").cast("int") + 1, F.lit(4)))
+    return got.where("instr(site, 'N') > 0").select("record", "orient", "pos", "mm", "site")
+
+
+def d_dedupe_overlap(spark, sf_dir):
+    """Amplicons of overlapping chunks, each once, in the records' coordinates."""
+    pieces = fasta.chunks(small(spark, sf_dir), 200, 60)
+    named = pieces.select(fasta.chunk_id(F.col("record"), F.col("at"), F.col("seq")).alias("record"), "seq")
+    base, at = fasta.split_chunk_id(F.col("record"))
+    found = _products(named, [SHORT], most=60, mm=0, window=0)
+    moved = found.select(base.alias("record"), "pair_ord", "experiment_id", (F.col("start") + at).alias("start"), (F.col("end") + at).alias("end"), "length", "type", "is_wrap")
+    return deduplicated(moved).select("record", "experiment_id", "start", "end", "length", "type")
+
+
+def v_nested_require(spark, sf_dir):
+    got = annotate.with_nested(_amplicons(spark, sf_dir), [panel.pair("inner", "TAG", "CAC")], require=True)
+    return got.select("record", "start", "end", "type", "inner_start", "inner_end", "inner_length", "inner_type")
+
+
+def _sites(spark, sf_dir, pairs):
+    rows = small(spark, sf_dir)
+    return scoring.with_primers(with_sequences(_products(rows, pairs, most=90, mm=1, window=0), rows), pairs)
+
+
+def _six(*columns: str) -> list[Column]:
+    return [F.round(c, 6).alias(c) for c in columns]
+
+
+def t_imperfect(spark, sf_dir):
+    got = scoring.scored(_sites(spark, sf_dir, [THERMO]))
+    ends = [got.select("record", "start", "end", "type", F.lit(e).alias("side"), *[F.round(f"{e}_{x}", 6).alias(x) for x in ("tm", "penalty", "dg", "dangling_dg")], F.col(f"{e}_mismatches").alias("mismatches"), F.col(f"{e}_policy").alias("policy")) for e in scoring.ENDS]
+    return ends[0].unionAll(ends[1])
+
+
+def t_profiles(spark, sf_dir):
+    got = scoring.scored(_sites(spark, sf_dir, [THERMO]))
+    score = lambda k: F.struct(F.lit(k).alias("profile"), F.round(duplex.profiled(F.col("base_score"), F.col("base_score"), F.col("length").cast("double"), PROFILES[k]), 6).alias("score"))
+    return got.select("record", "start", "end", "type", F.inline(F.array(*[score(k) for k in PROFILES])))
+
+
+def t_iupac_policy(spark, sf_dir):
+    rows = _sites(spark, sf_dir, [SHORT])
+    each = [scoring.by_policy(rows, p).select("record", "start", "end", "type", F.lit(p).alias("policy"), "variants", *_six("score")) for p in ("worst", "best", "mean")]
+    return each[0].unionAll(each[1]).unionAll(each[2])
+
+
+def t_rank_score(spark, sf_dir):
+    got = scoring.scored(_sites(spark, sf_dir, [THERMO])).withColumn("score", F.round("score", 6))
+    return scoring.ranked_by_score(got).select("record", "start", "end", "type", "score", F.col("rank").cast("long").alias("rank"))
+
+
+def t_legacy(spark, sf_dir):
+    return scoring.older_score(_sites(spark, sf_dir, [THERMO])).select("record", "start", "end", "type", *_six("score"))
+
+
+def t_hairpin(spark, sf_dir):
+    rows = primers(spark, sf_dir)
+    return rows.select("record", "primer", structure_of("hairpin")(F.col("primer")).alias("s")).select("record", "primer", *[F.round(f"s.{x}", 6).alias(x) for x in ("dg", "tm")], "s.stem", "s.loop")
+
+
+def t_dimer(spark, sf_dir):
+    rows = primers(spark, sf_dir)
+    return rows.select("record", "primer", structure_of("self-dimer")(F.col("primer")).alias("s")).select("record", "primer", *[F.round(f"s.{x}", 6).alias(x) for x in ("dg", "tm")], "s.stem", "s.both_anchored")
+
+
+def t_panel_dimer(spark, sf_dir):
+    """Scores with structures; the panel's other primers count against a pair."""
+    rows = scoring.scored(_sites(spark, sf_dir, [THERMO]))
+    others = [THERMO, panel.pair("q", "ACTAGCTAGT", "GCTAGGCTAGC")]
+    got = scoring.with_structures(rows, others)
+    return got.select("record", "start", "end", "type", *_six("score", "structure_c", "panel_c", "panel_burden_c"), "panel_count", "panel_partner")
+
+
+def _probe_scores(spark, sf_dir, mode):
+    rows = scoring.scored(_sites(spark, sf_dir, [THERMO]))
+    got = scoring.with_probe_score(rows, "probe", "ACTAC", 1, mode, least_margin=-150.0)
+    return got.select("record", "start", "end", "type", "probe_found", "probe_strand", *_six("probe_margin", "score"))
+
+
+def t_probe_gate(spark, sf_dir):
+    return _probe_scores(spark, sf_dir, "gate")
+
+
+def t_probe_blend(spark, sf_dir):
+    return _probe_scores(spark, sf_dir, "blend")
+
+
+def _wire(spark, sf_dir):
+    rows = _amplicons(spark, sf_dir)
+    return rows.withColumns({"source_file": F.lit("items.fa"), "sequence_id": F.col("record")})
+
+
+def k_tsv(spark, sf_dir):
+    return sinks.tsv_lines(_wire(spark, sf_dir))
+
+
+def k_jsonl(spark, sf_dir):
+    return sinks.json_lines(_wire(spark, sf_dir))
+
+
+def k_fasta(spark, sf_dir):
+    """The number in a header counts a record's amplicons."""
+    return sinks.fasta_lines(ranked(_wire(spark, sf_dir)).withColumnRenamed("rank", "n"))
+
+
+QUERIES = {f.__name__: f for f in (f_derive_dna, f_revcomp, f_iupac_expand, p_exact_hits, p_mismatch_hits, p_terminal_window, p_seed_join_hits, w_hit_cap, j_forward, j_revcomp, j_length_bounds, j_circular, j_self_pairs, j_multiplex_panel, j_oligo_pairs, o_coord_rank, p_product_seq, g_products_per_pair, v_probe, v_probe_require, v_nested, t_tm_perfect, t_salt_models, s_chunks, f_selfcomp, p_reference_n_hits, d_dedupe_overlap, v_nested_require, t_imperfect, t_profiles, t_iupac_policy, t_rank_score, t_legacy, t_hairpin, t_dimer, t_panel_dimer, t_probe_gate, t_probe_blend, k_tsv, k_jsonl, k_fasta)}
 
 
 def _records_sql(name: str, key: str) -> str:
@@ -255,3 +373,127 @@ ORACLE_SQL = {
     "t_tm_perfect": f"select record, primer, round(tm, 6) as tm, round(dh - (60 + 273.15) * (dh * 1000 / (tm + 273.15)) / 1000, 6) as dg from (select record, primer, {TM} as tm, {DH} as dh from ({PRIMERS}))",
     "s_chunks": f"select record, cast(a as bigint) as at, md5(substr(seq, a + 1, 1000)) as digest from (select record, seq, unnest(range(0, cast(greatest(0, ceil((length(seq) - 1000) / 950.0)) as bigint) * 950 + 1, 950)) as a from {DOCS})",
 }
+
+
+def _sites_sql(p: panel.Pair) -> str:
+    """Amplicons with their primers and bases."""
+    found = _products_sql(p, ITEMS, 1, 0, 0, 90, columns=IDX)
+    f, r = (f"case when type = 'forward' then '{x}' else '{y}' end" for x, y in ((p.forward, p.reverse), (p.reverse, p.forward)))
+    return f"select p.*, {f} as fwd, {r} as rev, substr(seq, start + 1, length) as s from ({found}) p join {ITEMS} r on p.record = r.record"
+
+
+def _cost_sql(i: str = "i") -> str:
+    """Cost in kcal/mol of the mismatch of primer and target at place i."""
+    table = lambda t: "map {" + ", ".join(f"'{k}': {v}" for k, v in t.items()) + "}"
+    a, b = f"substr('N' || primer || 'N', {i} + 1, 3)", f"substr('N' || target || 'N', {i} + 1, 3)"
+    beside = f"({a}[1] || {a}[3] || {b}[1] || {b}[3])"
+    count = lambda x: f"length(regexp_replace({beside}, '[^{x}]', '', 'g'))"
+    return f"coalesce({table(duplex.triplets())}[{a} || {b}], {table(duplex.PAIR)}[{a}[2] || {b}[2]], case when {count('GC')} >= {count('AT')} + 2 then 0.95 else 1.0 end)"
+
+
+WRONG = "list_filter(range(0, length(primer)), lambda i: translate(substr(primer, i + 1, 1), 'ACGT', 'TGCA') <> substr(target, i + 1, 1))"
+WEIGHT = "case when i >= length(primer) - 3 then 2.0 when i < 3 then 1.5 else 1.0 end"
+LAST = "case when i = length(primer) - 1 then 1.5 when i = 0 then 0.5 else 0.0 end"
+
+
+def _ends_sql(sites: str, turned: bool = True) -> str:
+    """Both ends of each amplicon: side, primer, target and the base beside the primer's 3' end."""
+    rev = "reverse(right(s, length(rev)))" if turned else "translate(right(s, length(rev)), 'ACGT', 'TGCA')"
+    key = "record, start, \"end\", length, type, fwd as f, rev as r"
+    return (
+        f"select {key}, 'fwd' as side, fwd as primer, translate(left(s, length(fwd)), 'ACGT', 'TGCA') as target, translate(substr(s, length(fwd) + 1, 1), 'ACGT', 'TGCA') as beside from ({sites}) "
+        f"union all select {key}, 'rev', rev, {rev}, case when length(s) > length(rev) then substr(s, length(s) - length(rev), 1) else '' end from ({sites})"
+    )
+
+
+def _terms_sql(ends: str) -> str:
+    """Penalty, dangling energy, tm and dg of each end."""
+    dangle = "map {" + ", ".join(f"'{k}': {v}" for k, v in duplex.dangling(duplex.DANGLING_5).items()) + "}"
+    inner = f"select *, {TM} as tm0, {DH} as dh, {WRONG} as bad from ({ends})"
+    inner = f"select *, abs(dh * 1000 / (tm0 + 273.15)) as den from ({inner})"
+    inner = (
+        f"select *, coalesce(list_sum(list_transform(bad, lambda i: greatest(0.0, {_cost_sql()} * 1000 / den * {WEIGHT} + {LAST}))), 0) as penalty, "
+        f"case when translate(right(primer, 1), 'ACGT', 'TGCA') = right(target, 1) then coalesce({dangle}[beside || right(target, 1)], 0) else 0 end as dangling_dg from ({inner})"
+    )
+    return f"select *, tm0 - penalty - dangling_dg * 1000 / den as tm, dh + (60 + 273.15) * den / 1000 + penalty * den / 1000 + dangling_dg as dg from ({inner})"
+
+
+def _scores_sql(sites: str, more: str = "") -> str:
+    """The smaller margin of each amplicon, and of each pair of plain primers."""
+    return f"select record, start, \"end\", length, type{more}, cast(min(tm) - 60 as double) as base from ({_terms_sql(_ends_sql(sites))}) group by record, start, \"end\", length, type{more}"
+
+
+def _policy_sql() -> str:
+    spread = lambda c: f"unnest(case when instr({c}, 'N') > 0 then list_transform(['A', 'C', 'G', 'T'], lambda b: replace({c}, 'N', b)) else [{c}] end)"
+    sites = f"select record, start, \"end\", length, type, s, {spread('fwd')} as fwd, rev from ({_sites_sql(SHORT)})"
+    sites = f"select record, start, \"end\", length, type, s, fwd, {spread('rev')} as rev from ({sites})"
+    each = _scores_sql(sites, ", f, r")
+    return f"with e as materialized ({each}) " + " union all ".join(f"select record, start, \"end\", type, '{p}' as policy, cast(count(*) as bigint) as variants, round({f}(base), 6) as score from e group by record, start, \"end\", type" for p, f in (("worst", "min"), ("best", "max"), ("mean", "avg")))
+
+
+def _profile_sql() -> str:
+    x = "(1 / (1 + exp(-0.45 * base)))"
+    pcr = f"base + (case when {x} <= 1e-9 then -20.0 when {x} >= 1 - 1e-9 then 20.0 else ln({x} / (1 - {x})) end) - (case when length <= 60 then 0.0 else 10.0 / (1 + exp(-0.003 * (length - 60))) end)"
+    each = (("binding", "base"), ("pcr", pcr), ("gel", f"{pcr} + 15.0 * log2(length / 100.0)"))
+    return f"with e as materialized ({_scores_sql(_sites_sql(THERMO))}) " + " union all ".join(f"select record, start, \"end\", type, '{k}' as profile, round({v}, 6) as score from e" for k, v in each)
+
+
+def _nested_sql(join: str, more: str) -> str:
+    inner = panel.pair("inner", "TAG", "CAC")
+    outer = f"select p.*, substr(seq, start + 1, length) as s from ({PLAIN}) p join {ITEMS} r on p.record = r.record"
+    found = _products_sql(inner, f"(select distinct s as record, s as seq from ({outer}))", 0, 0, 0, 1 << 30)
+    best = f"select *, row_number() over (partition by record order by fwd_mm + rev_mm, length desc, start, \"end\", type) as k from ({found})"
+    return f"select o.record, o.start, o.\"end\", o.type{more}, i.start as inner_start, i.\"end\" as inner_end, i.length as inner_length, i.type as inner_type from ({outer}) o {join} join (select * from ({best}) where k = 1) i on o.s = i.record"
+
+
+def _probe_sql() -> str:
+    outer = f"select p.*, substr(seq, start + 1, length) as s from ({PLAIN}) p join {ITEMS} r on p.record = r.record"
+    source = f"(select distinct s as record, s as seq from ({outer}))"
+    each = " union all ".join(f"select record, '{strand}' as strand, {k} as n, pos, len(bad) as mm from ({_site_sql(q, (0, 0), 1, source)})" for k, strand, q in ((0, "+", "ACTAC"), (1, "-", "GTAGT")))
+    best = f"select *, row_number() over (partition by record order by mm, pos, n) as k from ({each})"
+    return f"select o.record, start, \"end\", type, b.record is not null as probe_found, strand as probe_strand, cast(pos as int) as probe_pos, cast(mm as int) as probe_mm, case when b.record is not null then substr(s, cast(pos as int) + 1, 5) end as probe_site from ({outer}) o left join (select * from ({best}) where k = 1) b on o.s = b.record"
+
+
+def _salts_sql() -> str:
+    import math
+
+    c = thermo.Conditions(model="owczarzy08", dntp=0.0008)
+    gc = "(cast(length(regexp_replace(primer, '[^GC]', '', 'g')) as double) / length(primer))"
+    at_0, at_1 = thermo.magnesium_shift(0.0, 0.0, c), thermo.magnesium_shift(1.0, 0.0, c)
+    stack = thermo.magnesium_shift(0.0, 1.0, c) - at_0
+    plain, dh = _tm_sql(c)
+    bare = plain.replace(f"{0.368 * math.log(c.sodium())!r} * (length(primer) - 1)", "0")
+    kelvin = f"(1 / (1 / ({bare} + 273.15) + {at_0!r} + {at_1 - at_0!r} * {gc} + {stack!r} * 0.5 / (length(primer) - 1)))"
+    each = [(m, _tm_sql(thermo.Conditions(model=m, dntp=0.0008))[0]) for m in ("monovalent", "owczarzy-lite")] + [("owczarzy08", f"{kelvin} - 273.15")]
+    return " union all ".join(f"select record, '{m}' as model, round({x}, 6) as tm from ({PRIMERS})" for m, x in each)
+
+
+def _legacy_sql() -> str:
+    cost = f"greatest(0.0, coalesce(list_sum(list_transform({WRONG}, lambda i: {_cost_sql()} * 1000 / 200.0 * {WEIGHT})), 0))"
+    return f"select record, start, \"end\", type, round(-sum({cost}), 6) as score from ({_ends_sql(_sites_sql(THERMO), False)}) group by record, start, \"end\", type"
+
+
+def _lines_sql(value: str) -> str:
+    return f"select {value} as value from (select p.*, substr(seq, start + 1, length) as s, row_number() over (partition by p.record order by start, \"end\", type) as n from ({_products_sql(SHORT, ITEMS, 0, 0, 0, 90, columns=IDX)}) p join {ITEMS} r on p.record = r.record)"
+
+
+SELF = "left(primer, 4) || case when length(record) % 2 = 0 then reverse(translate(left(primer, 4), 'ACGT', 'TGCA')) else left(primer, 4) end"
+POLICY = "case when len(bad) = 0 then 'perfect' when instr(target, 'N') > 0 then 'unknown base' when len(list_filter(bad, lambda i: map {" + ", ".join(f"'{k}': 1" for k in duplex.triplets()) + "}[substr('N' || primer || 'N', i + 1, 3) || substr('N' || target || 'N', i + 1, 3)] is not null)) > 0 then 'triplet' else 'pair' end"
+
+ORACLE_SQL |= {
+    "f_iupac_expand": "select 'ACRN' as primer, cast(k as int) as ord, 'AC' || ['A', 'G'][k // 4 + 1] || ['A', 'C', 'G', 'T'][k % 4 + 1] as variant from (select unnest(range(8)) as k) union all select 'BD', cast(k as int), ['C', 'G', 'T'][k // 3 + 1] || ['A', 'G', 'T'][k % 3 + 1] from (select unnest(range(9)) as k) union all select 'ACGT', 0, 'ACGT' union all select 'NNNN', cast(k as int), 'AA' || ['A', 'C', 'G', 'T'][k // 4 + 1] || ['A', 'C', 'G', 'T'][k % 4 + 1] from (select unnest(range(16)) as k)",
+    "f_selfcomp": f"select record, seq, seq = reverse(translate(seq, 'ACGT', 'TGCA')) as self_complementary from (select record, {SELF} as seq from ({PRIMERS}))",
+    "p_reference_n_hits": f"select * from (select record, orient, cast(pos as bigint) as pos, cast(len(bad) as int) as mm, substr(seq, cast(pos as int) + 1, 4) as site from ({_hits_sql(SHORT, 1, 0, ITEMS)}) h join {ITEMS} i using (record)) where instr(site, 'N') > 0",
+    "d_dedupe_overlap": f"select record, experiment_id, start, \"end\", length, type from ({_products_sql(SHORT, ITEMS, 0, 0, 0, 60)})",
+    "v_nested": _nested_sql("left", ", i.record is not null as inner_found"),
+    "v_nested_require": _nested_sql("inner", ""),
+    "v_probe": _probe_sql(),
+    "t_salt_models": _salts_sql(),
+    "t_imperfect": f"select record, start, \"end\", type, side, round(tm, 6) as tm, round(penalty, 6) as penalty, round(dg, 6) as dg, round(cast(dangling_dg as double), 6) as dangling_dg, cast(len(bad) as int) as mismatches, {POLICY} as policy from ({_terms_sql(_ends_sql(_sites_sql(THERMO)))})",
+    "t_profiles": _profile_sql(),
+    "t_iupac_policy": _policy_sql(),
+    "t_rank_score": f"select record, start, \"end\", type, round(base, 6) as score, row_number() over (partition by record order by round(base, 6) desc, start, \"end\", type) as rank from ({_scores_sql(_sites_sql(THERMO))})",
+    "t_legacy": _legacy_sql(),
+    "k_tsv": _lines_sql("concat_ws(chr(9), 'items.fa', record, experiment_id, start, \"end\", length, type, fwd_mm, rev_mm, fwd_mm_i, rev_mm_i)"),
+    "k_fasta": _lines_sql("'>' || experiment_id || '_' || n || ' start=' || start || ' end=' || \"end\" || ' len=' || length || ' source_file=items.fa' || chr(10) || s"),
+}

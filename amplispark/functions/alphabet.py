@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 
 from pyspark.sql import Column
@@ -60,3 +61,8 @@ def expanded(seq: Column, most: int) -> Column:
     letters = F.split(seq, "")
     grow = lambda done, c: F.slice(F.flatten(F.transform(done, lambda d: F.transform(F.split(table[c], ""), lambda b: F.concat(d, b)))), 1, most)
     return F.aggregate(F.filter(letters, lambda c: c != ""), F.array(F.lit("")), grow)
+
+
+def expansions(seq: str, most: int) -> list[str]:
+    """The first `most` plain sequences that seq stands for, in order of bases."""
+    return ["".join(x) for x in itertools.islice(itertools.product(*[BASES[c] for c in seq]), most)]

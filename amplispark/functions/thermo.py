@@ -65,24 +65,28 @@ def log_concentration(seq: Column, c: Conditions) -> Column:
     return F.when(self_complementary(seq), GAS * math.log(c.primer)).otherwise(GAS * math.log(c.primer / 4))
 
 
+def magnesium_shift(gc: Column | float, per_stack: Column | float, c: Conditions) -> Column | float:
+    """What mixed salts add to 1/Tm, by GC fraction and half the reciprocal of the number of stacks."""
+    mg, na = c.free_mg(), max(c.na, 1e-9)
+    ratio = math.sqrt(mg) / na
+    if mg <= 0 or ratio < 0.22:
+        return (4.29 * gc - 3.95) * 1e-5 * math.log(na) + 9.4e-6 * math.log(na) ** 2
+    a, d, g, x, y = 3.92, 1.42, 8.31, math.log(mg), math.log(na)
+    if ratio < 6:
+        a *= 0.843 - 0.352 * math.sqrt(na) * y
+        d *= 1.279 - 4.03e-3 * y - 8.03e-3 * y * y
+        g *= 0.486 - 0.258 * y + 5.25e-3 * y**3
+    return (a - 0.911 * x + gc * (6.26 + d * x) + per_stack * (-48.2 + 52.5 * x + g * x * x)) * 1e-5
+
+
 def tm(seq: Column, c: Conditions = Conditions()) -> Column:
     """Melting temperature in degrees C of a primer of plain bases with its perfect complement."""
     dh, ds, conc = enthalpy(seq), entropy(seq), log_concentration(seq, c)
     na = max(c.sodium(), 1e-9)
     if c.model != "owczarzy08":
         return dh * 1000 / (ds + 0.368 * math.log(na) * (F.length(seq) - 1) + conc) - 273.15
-    gc, mg, na = gc_fraction(seq), c.free_mg(), max(c.na, 1e-9)
-    ratio = math.sqrt(mg) / na
-    if mg <= 0 or ratio < 0.22:
-        shift = (4.29 * gc - 3.95) * 1e-5 * math.log(na) + 9.4e-6 * math.log(na) ** 2
-    else:
-        a, d, g, x, y = 3.92, 1.42, 8.31, math.log(mg), math.log(na)
-        if ratio < 6:
-            a *= 0.843 - 0.352 * math.sqrt(na) * y
-            d *= 1.279 - 4.03e-3 * y - 8.03e-3 * y * y
-            g *= 0.486 - 0.258 * y + 5.25e-3 * y**3
-        by_length = F.when(F.length(seq) > 1, (-48.2 + 52.5 * x + g * x * x) / (2.0 * (F.length(seq) - 1))).otherwise(0.0)
-        shift = (a - 0.911 * x + gc * (6.26 + d * x) + by_length) * 1e-5
+    per_stack = F.when(F.length(seq) > 1, 0.5 / (F.length(seq) - 1)).otherwise(0.0)
+    shift = magnesium_shift(gc_fraction(seq), per_stack, c)
     return 1 / (1 / (dh * 1000 / (ds + conc)) + shift) - 273.15
 
 
