@@ -1,6 +1,8 @@
 """Small hand-made cases of sites, amplicons, probes, panels, sources and sinks."""
 
 import gzip
+import json
+import os
 import random
 
 import pytest
@@ -127,4 +129,34 @@ def test_fasta_round(spark, tmp_path):
 def test_sinks(spark):
     rows = spark.createDataFrame([("f", "s", "p", 0, 9, 9, "forward", 0, 1, "", "3")], "source_file string, sequence_id string, experiment_id string, start int, end int, length int, type string, fwd_mm int, rev_mm int, fwd_mm_i string, rev_mm_i string")
     assert sinks.tsv_lines(rows).first()[0] == "f\ts\tp\t0\t9\t9\tforward\t0\t1\t\t3"
-    assert sinks.json_lines(rows).first()[0] == '{"source_file":"f","sequence_id":"s","experiment_id":"p","end":9,"length":9,"type":"forward","rev_mm":1,"rev_mm_i":"3"}'
+    assert sinks.json_lines(rows).first()[0] == '{"experiment_id":"p","sequence_id":"s","start":0,"end":9,"length":9,"type":"forward","rev_mm":1,"rev_mm_i":[3],"source_file":"f"}'
+
+
+def test_doubles_in_their_shortest_form(spark):
+    values = {0.0: "0", 12.0: "12", -1.5: "-1.5", 0.25: "0.25", 0.0001: "0.0001", -0.00025: "-0.00025", 1e-5: "1e-05", 1.5e6: "1.5e+06", 2e6: "2e+06", 3.25e7: "3.25e+07", float("nan"): "NaN", float("-inf"): "-Inf"}
+    rows = spark.createDataFrame([(k,) for k in values], "x double").select(sinks.shortest(F.col("x")))
+    assert [r[0] for r in rows.collect()] == list(values.values())
+
+
+def test_probe_and_nested_sinks(spark, tmp_path):
+    rows = spark.createDataFrame([("f", "s", "p", 0, 12, 12, "forward", 0, 0, "", "", "ACGTTTACGGGT", 1)], "source_file string, sequence_id string, experiment_id string, start long, end long, length long, type string, fwd_mm int, rev_mm int, fwd_mm_i string, rev_mm_i string, seq string, n int")
+    got, none = (annotate.with_probe(rows, "x", q) for q in ("TTTAC", "GGGGG"))
+    assert sinks.tsv_lines(got, sinks.PROBE).first()[0].endswith("\tx\tTTTAC\ttrue\t+\t3\t0\tTTTAC")
+    assert sinks.tsv_lines(none, sinks.PROBE).first()[0].endswith("\tx\tGGGGG\tfalse\t\t\t\t")
+    assert sinks.fasta_lines(got, "probe").first()[0] == ">p_1 start=0 end=12 len=12 source_file=f probe=x found=true\nACGTTTACGGGT"
+    assert sinks.json_lines(none, "probe").first()[0].endswith('"source_file":"f","probe_name":"x","probe_seq":"GGGGG","probe_found":false}')
+    inner = annotate.with_nested(rows, [panel.pair("i", "CGT", "CCC")])
+    assert sinks.tsv_lines(inner, sinks.NESTED).first()[0] == "f\ts\tp\t0\t12\t12\tforward\ti\ttrue\t1\t11\t10\tforward\t0\t0"
+    assert '"inner_found":true,"inner_experiment_id":"i","inner_start":1' in sinks.json_lines(inner, "nested").first()[0]
+    with pytest.raises(ValueError):
+        sinks.write(inner, str(tmp_path / "x"), "fasta", "nested")
+    for format in sinks.FORMATS:
+        sinks.write(got, str(tmp_path / format), format, "probe")
+        assert spark.read.text(str(tmp_path / format)).count() > 0
+    sinks.write(got.unionAll(got).unionAll(got), str(tmp_path / "three"), "json", "probe")
+    sinks.write(got.where("false"), str(tmp_path / "none"), "json", "probe")
+    for name, n in (("json", 1), ("three", 3), ("none", 0)):
+        parts = sorted(p for p in os.listdir(tmp_path / name) if p.startswith("part-"))
+        assert len(json.loads("".join((tmp_path / name / p).read_text() for p in parts))) == n
+    sinks.write_tsv(inner, str(tmp_path / "nested"), sinks.NESTED)
+    assert spark.read.option("sep", "\t").option("header", True).csv(str(tmp_path / "nested")).columns[2:7] == ["outer_experiment_id", "outer_start", "outer_end", "outer_length", "outer_type"]
