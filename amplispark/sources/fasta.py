@@ -21,9 +21,9 @@ def read_fasta(spark: SparkSession, *paths: str) -> DataFrame:
     return _parsed(spark.read.option("lineSep", "\n>").text(list(paths)))
 
 
-def stream_fasta(spark: SparkSession, folder: str) -> DataFrame:
+def stream_fasta(spark: SparkSession, folder: str, files_per_batch: int = 100) -> DataFrame:
     """The same for files as they arrive in a folder."""
-    return _parsed(spark.readStream.option("lineSep", "\n>").text(folder))
+    return _parsed(spark.readStream.option("lineSep", "\n>").option("maxFilesPerTrigger", files_per_batch).text(folder))
 
 
 def chunks(records: DataFrame, size: int, overlap: int) -> DataFrame:
