@@ -14,8 +14,8 @@ from .functions import duplex, thermo
 from .functions.structure import structure_of
 from .operators import annotate, panel, scoring
 from .operators.hits import hits, seed_hits
-from .operators.products import deduplicated, products, ranked, with_sequences
-from .session import ship, table
+from .operators.products import amplicons, deduplicated, ranked, with_sequences
+from .session import ship, spread, table
 from .sources import fasta, sinks
 
 PAIR = panel.pair("p1", "TAGCTAGC", "CTAGCARY", 0, 0)
@@ -29,7 +29,7 @@ SMALL = "benchmark", "item_id"
 
 def records(spark: SparkSession, sf_dir: str, name: str = "documents", key: str = "doc_id") -> DataFrame:
     ship(spark)
-    return table(spark, sf_dir, name).select(F.col(key).cast("string").alias("record"), al.dna(F.col("text")).alias("seq"))
+    return spread(table(spark, sf_dir, name).select(key, "text")).select(F.col(key).cast("string").alias("record"), al.dna(F.col("text")).alias("seq"))
 
 
 def small(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,16 +80,16 @@ def w_hit_cap(spark, sf_dir):
     return hits(small(spark, sf_dir), [SHORT], 1, 0, cap=3).select("record", "orient", "pos", "mm")
 
 
-def _products(rows: DataFrame, pairs, circular=False, low=0, most=MOST, mm=MM, window=WINDOW) -> DataFrame:
-    return products(hits(rows, pairs, mm, window), pairs, low, most, circular)
+def _products(rows: DataFrame, pairs, circular=False, low=0, most=MOST, mm=MM, window=WINDOW, kinds="forward revcomp") -> DataFrame:
+    return amplicons(rows, pairs, mm, window, low, most, circular, kinds=kinds)
 
 
 def j_forward(spark, sf_dir):
-    return shown(_products(records(spark, sf_dir), [PAIR])).where("type = 'forward'")
+    return shown(_products(records(spark, sf_dir), [PAIR], kinds="forward"))
 
 
 def j_revcomp(spark, sf_dir):
-    return shown(_products(records(spark, sf_dir), [PAIR])).where("type = 'revcomp'")
+    return shown(_products(records(spark, sf_dir), [PAIR], kinds="revcomp"))
 
 
 def j_length_bounds(spark, sf_dir):

@@ -6,9 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.alphabet import MASK, normalized, reverse_complement
-from .hits import hits
 from .panel import Pair
-from .products import products
+from .products import amplicons
 
 
 def probe_hit(seq: Column, probe: str, max_mm: int = 0) -> Column:
@@ -47,7 +46,7 @@ def with_nested(rows: DataFrame, inner: list[Pair], max_mm: int = 0, window: int
     """rows (with seq) and their best inner amplicon: fewest mismatches, longest, leftmost."""
     key = F.sha2(F.col("seq"), 256)
     templates = rows.select(key.alias("record"), "seq").distinct()
-    found = products(hits(templates, inner, max_mm, window), inner, min_length, max_length)
+    found = amplicons(templates, inner, max_mm, window, min_length, max_length)
     order = [F.col("fwd_mm") + F.col("rev_mm"), F.desc("length"), F.col("start"), F.col("end"), F.col("experiment_id"), F.col("type")]
     best = found.withColumn("n", F.row_number().over(Window.partitionBy("record").orderBy(*order))).where("n = 1")
     best = best.select(F.col("record").alias("inner_of"), F.col("experiment_id").alias("inner_experiment_id"), F.col("start").alias("inner_start"), F.col("end").alias("inner_end"), F.col("length").alias("inner_length"), F.col("type").alias("inner_type"), F.col("fwd_mm").alias("inner_fwd_mm"), F.col("rev_mm").alias("inner_rev_mm"))

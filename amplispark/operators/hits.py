@@ -34,11 +34,13 @@ def blocks(records: DataFrame, overlap: int, size: int = BLOCK_BASES) -> DataFra
     return rows.select("record", "len", "at", F.least(F.lit(size).cast("long"), F.col("len") - F.col("at")).alias("owned"), part.alias("seq"))
 
 
-def _patterns(pairs: list[Pair], max_mm: int, window: int) -> list[tuple[int, str, np.ndarray, int, int]]:
+def _patterns(pairs: list[Pair], max_mm: int, window: int, orients: str = "ABab") -> list[tuple[int, str, np.ndarray, int, int]]:
     """(pair, orientation, masks, first and end of the protected bases)."""
     out = []
     for i, p in enumerate(pairs):
         for name, seq in orientations(p).items():
+            if name not in orients:
+                continue
             n = len(seq)
             w = min(window, n)
             low, high = (n - w, n) if name in "AB" else (0, w)
@@ -95,8 +97,8 @@ def _rows(batch: pa.RecordBatch, patterns, max_mm: int) -> Iterator[pa.RecordBat
         )
 
 
-def hits(records: DataFrame, pairs: list[Pair], max_mm: int = 0, window: int = 0, cap: int = 0) -> DataFrame:
-    """Sites of all orientations of all pairs in records (record, seq).
+def hits(records: DataFrame, pairs: list[Pair], max_mm: int = 0, window: int = 0, cap: int = 0, orients: str = "ABab") -> DataFrame:
+    """Sites of the given orientations of all pairs in records (record, seq).
 
     N in a primer matches any base, N in a record none. Up to max_mm mismatches,
     none of them in the `window` bases at the primer's 3' end. cap, if not 0,
@@ -105,7 +107,7 @@ def hits(records: DataFrame, pairs: list[Pair], max_mm: int = 0, window: int = 0
     if max_mm < 0 or window < 0 or cap < 0:
         raise ValueError("mismatches, window and cap can't be negative")
     overlap = max((max(len(p.forward), len(p.reverse)) for p in pairs), default=1) - 1
-    found = blocks(records, overlap).select("record", "len", "at", "owned", "seq").mapInArrow(_scan(_patterns(pairs, max_mm, window), max_mm), SCHEMA)
+    found = blocks(records, overlap).select("record", "len", "at", "owned", "seq").mapInArrow(_scan(_patterns(pairs, max_mm, window, orients), max_mm), SCHEMA)
     if cap:
         rank = F.row_number().over(Window.partitionBy("record", "pair_ord", "orient").orderBy("pos"))
         found = found.withColumn("rank", rank).where(F.col("rank") <= cap).drop("rank")

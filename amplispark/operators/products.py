@@ -5,46 +5,54 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .hits import hits
 from .panel import Pair, panel_table
 
 COLUMNS = ("record", "pair_ord", "experiment_id", "start", "end", "length", "type", "fwd_mm", "rev_mm", "fwd_mm_i", "rev_mm_i", "is_wrap")
-ROLES = (("forward", "A", "b"), ("revcomp", "B", "a"))
 
 
 def products(found: DataFrame, pairs: list[Pair], min_length: int = 0, max_length: int = 0, circular: bool = False) -> DataFrame:
-    """Pairs of opposing sites as amplicons.
+    """Amplicons of sites that are there already: see amplicons()."""
+    orient = F.col("orient")
+    return _joined(found.where(orient.isin("A", "B")), found.where(orient.isin("a", "b")), pairs, min_length, max_length, circular)
+
+
+def amplicons(records: DataFrame, pairs: list[Pair], max_mm: int = 0, window: int = 0, min_length: int = 0, max_length: int = 0, circular: bool = False, cap: int = 0, kinds: str = "forward revcomp") -> DataFrame:
+    """Pairs of opposing sites in records (record, seq) as amplicons of the given kinds.
 
     The reverse site begins right of the forward site; on a circular record
-    also left of it, across the origin. Sites are joined by record, pair, and,
-    where the length is bounded, by stretches of the record as long as the bound,
-    of which an amplicon touches two at most.
+    also left of it, across the origin. Records are scanned once for the left
+    sites and once for the right ones, each orientation once. Sites are joined
+    by record, pair, type and, where the length is bounded, by stretches of the
+    record as long as the bound, of which an amplicon touches two at most.
     """
-    spark = found.sparkSession
-    bounds = F.broadcast(panel_table(spark, pairs))
+    roles = [o for kind, o in (("forward", "Ab"), ("revcomp", "Ba")) if kind in kinds]
+    left, right = (hits(records, pairs, max_mm, window, cap, "".join(o[i] for o in roles)) for i in (0, 1))
+    return _joined(left, right, pairs, min_length, max_length, circular)
+
+
+def _joined(left: DataFrame, right: DataFrame, pairs: list[Pair], min_length: int, max_length: int, circular: bool) -> DataFrame:
+    bounds = panel_table(left.sparkSession, pairs)
     low = F.when(F.col("min_length") > 0, F.col("min_length")).otherwise(min_length)
     high = F.when(F.col("max_length") > 0, F.col("max_length")).otherwise(max_length)
-    sites = found.join(bounds, "pair_ord").withColumn("low", low).withColumn("high", high)
-    out = None
-    for kind, left, right in ROLES:
-        rev_len = F.length("rev" if kind == "forward" else "fwd").cast("long")
-        lefts = sites.where(F.col("orient") == left).select("record", "pair_ord", F.col("pos").alias("start"), F.col("mm").alias("fwd_mm"), F.col("mm_idx").alias("fi"))
-        rights = sites.where(F.col("orient") == right).select("record", "pair_ord", "pair_id", "len", "low", "high", F.col("pos").alias("at"), rev_len.alias("n"), F.col("mm").alias("rev_mm"), F.col("mm_idx").alias("ri"))
-        for wrap in (False, True) if circular else (False,):
-            length = F.col("at") + F.col("n") - F.col("start") + (F.col("len") if wrap else 0)
-            fits = ((F.col("low") == 0) | (length >= F.col("low"))) & ((F.col("high") == 0) | (length <= F.col("high")))
-            side = F.col("at") < F.col("start") if wrap else F.col("at") > F.col("start")
-            on = ["record", "pair_ord"]
-            l, r = lefts, rights
-            if not wrap and max_length > 0 and all(p.max_length <= max_length for p in pairs):
-                width = F.lit(max_length).cast("long")
-                l = l.withColumn("bin", F.explode(F.array(F.floor(F.col("start") / width), F.floor(F.col("start") / width) + 1)))
-                r = r.withColumn("bin", F.floor(F.col("at") / width))
-                on = [*on, "bin"]
-            rows = l.join(r, on).where(side & fits)
-            flip = F.transform("ri", lambda i: F.col("n").cast("int") - 1 - i)
-            rows = rows.select("record", "pair_ord", F.col("pair_id").alias("experiment_id"), "start", (F.col("at") + F.col("n")).alias("end"), length.alias("length"), F.lit(kind).alias("type"), "fwd_mm", "rev_mm", F.array_join(F.col("fi").cast("array<string>"), ",").alias("fwd_mm_i"), F.array_join(flip.cast("array<string>"), ",").alias("rev_mm_i"), F.lit(wrap).alias("is_wrap"))
-            out = rows if out is None else out.unionAll(rows)
-    return out
+    kind = lambda name: F.when(F.col("orient") == name, "forward").otherwise("revcomp").alias("type")
+    n = F.when(F.col("orient") == "b", F.length("rev")).otherwise(F.length("fwd")).cast("long").alias("n")
+    lefts = left.select("record", "pair_ord", kind("A"), F.col("pos").alias("start"), F.col("mm").alias("fwd_mm"), F.col("mm_idx").alias("fi"))
+    rights = right.join(F.broadcast(bounds), "pair_ord").select("record", "pair_ord", kind("b"), "pair_id", "len", low.alias("low"), high.alias("high"), F.col("pos").alias("at"), n, F.col("mm").alias("rev_mm"), F.col("mm_idx").alias("ri"))
+    on = ["record", "pair_ord", "type"]
+    if not circular and max_length > 0 and all(p.max_length <= max_length for p in pairs):
+        width = F.lit(max_length).cast("long")
+        lefts = lefts.withColumn("bin", F.explode(F.array(F.floor(F.col("start") / width), F.floor(F.col("start") / width) + 1)))
+        rights = rights.withColumn("bin", F.floor(F.col("at") / width))
+        on = [*on, "bin"]
+    wrap = F.col("at") < F.col("start")
+    length = F.col("at") + F.col("n") - F.col("start") + F.when(wrap, F.col("len")).otherwise(0)
+    side = F.col("at") != F.col("start") if circular else F.col("at") > F.col("start")
+    fits = ((F.col("low") == 0) | (length >= F.col("low"))) & ((F.col("high") == 0) | (length <= F.col("high")))
+    flip = F.transform("ri", lambda i: F.col("n").cast("int") - 1 - i)
+    text = lambda idx: F.array_join(idx.cast("array<string>"), ",")
+    rows = lefts.join(rights, on).where(side & fits)
+    return rows.select("record", "pair_ord", F.col("pair_id").alias("experiment_id"), "start", (F.col("at") + F.col("n")).alias("end"), length.alias("length"), "type", "fwd_mm", "rev_mm", text(F.col("fi")).alias("fwd_mm_i"), text(flip).alias("rev_mm_i"), wrap.alias("is_wrap"))
 
 
 def sequence_of(seq: Column) -> Column:

@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.hits import hits
 from ..operators.panel import Pair
-from ..operators.products import products
+from ..operators.products import amplicons
 from ..session import ship
 from ..sources.fasta import stream_fasta
 
@@ -16,7 +15,7 @@ from ..sources.fasta import stream_fasta
 def amplicons_of(records: DataFrame, pairs: list[Pair], max_mm: int = 0, window: int = 0, min_length: int = 0, max_length: int = 2000, circular: bool = False) -> DataFrame:
     """Amplicons of one batch of (source_file, record, seq); ids may repeat between files, not within one."""
     key = F.concat_ws("\t", "source_file", "record")
-    found = products(hits(records.select(key.alias("record"), "seq"), pairs, max_mm, window), pairs, min_length, max_length, circular)
+    found = amplicons(records.select(key.alias("record"), "seq"), pairs, max_mm, window, min_length, max_length, circular)
     parts = F.split("record", "\t", 2)
     return found.withColumns({"source_file": parts[0], "sequence_id": parts[1]}).drop("record")
 
