@@ -6,6 +6,8 @@ that both engines evaluate alike.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,8 +51,8 @@ def f_derive_dna(spark, sf_dir):
     return rows.select("record", F.length("seq").cast("long").alias("len"), F.length(F.regexp_replace("seq", "[^N]", "")).cast("long").alias("n_count"), F.md5("seq").alias("digest"))
 
 
-def f_revcomp(spark, sf_dir):
-    return small(spark, sf_dir).select("record", al.revcomp(F.col("seq")).alias("rc"), F.round(al.gc_fraction(F.col("seq")), 6).alias("gc"))
+def f_revcomp(spark, sf_dir, source=small):
+    return source(spark, sf_dir).select("record", al.revcomp(F.col("seq")).alias("rc"), F.round(al.gc_fraction(F.col("seq")), 6).alias("gc"))
 
 
 def f_iupac_expand(spark, sf_dir):
@@ -58,26 +60,26 @@ def f_iupac_expand(spark, sf_dir):
     return rows.select("primer", F.posexplode(al.expanded(F.col("primer"), 16)).alias("ord", "variant"))
 
 
-def p_mismatch_hits(spark, sf_dir):
-    return hits(small(spark, sf_dir), [SHORT], 1, 0).select("record", "orient", "pos", "mm", csv("mm_idx").alias("mm_i"))
+def p_mismatch_hits(spark, sf_dir, source=small):
+    return hits(source(spark, sf_dir), [SHORT], 1, 0).select("record", "orient", "pos", "mm", csv("mm_idx").alias("mm_i"))
 
 
-def p_exact_hits(spark, sf_dir):
-    return hits(small(spark, sf_dir), [SHORT]).select("record", "orient", "pos")
+def p_exact_hits(spark, sf_dir, source=small):
+    return hits(source(spark, sf_dir), [SHORT]).select("record", "orient", "pos")
 
 
-def p_terminal_window(spark, sf_dir):
-    return hits(small(spark, sf_dir), [SHORT], 1, 2).select("record", "orient", "pos", "mm", csv("mm_idx").alias("mm_i"))
+def p_terminal_window(spark, sf_dir, source=small):
+    return hits(source(spark, sf_dir), [SHORT], 1, 2).select("record", "orient", "pos", "mm", csv("mm_idx").alias("mm_i"))
 
 
-def p_seed_join_hits(spark, sf_dir):
-    rows = small(spark, sf_dir)
+def p_seed_join_hits(spark, sf_dir, source=small):
+    rows = source(spark, sf_dir)
     each = [seed_hits(rows, s, o, 1, 2).select("record", F.lit(o).alias("orient"), F.col("pos").cast("long").alias("pos"), "mm", csv("mm_idx").alias("mm_i")) for o, s in panel.orientations(SHORT).items()]
     return each[0].unionAll(each[1]).unionAll(each[2]).unionAll(each[3])
 
 
-def w_hit_cap(spark, sf_dir):
-    return hits(small(spark, sf_dir), [SHORT], 1, 0, cap=3).select("record", "orient", "pos", "mm")
+def w_hit_cap(spark, sf_dir, source=small):
+    return hits(source(spark, sf_dir), [SHORT], 1, 0, cap=3).select("record", "orient", "pos", "mm")
 
 
 def _products(rows: DataFrame, pairs, circular=False, low=0, most=MOST, mm=MM, window=WINDOW, kinds="forward revcomp") -> DataFrame:
@@ -92,22 +94,22 @@ def j_revcomp(spark, sf_dir):
     return shown(_products(records(spark, sf_dir), [PAIR], kinds="revcomp"))
 
 
-def j_length_bounds(spark, sf_dir):
-    return shown(_products(small(spark, sf_dir), [SHORT], low=30, most=90, window=2))
+def j_length_bounds(spark, sf_dir, source=small):
+    return shown(_products(source(spark, sf_dir), [SHORT], low=30, most=90, window=2))
 
 
-def j_circular(spark, sf_dir):
-    rows = _products(small(spark, sf_dir), [SHORT], True, 0, 120, 1, 2)
+def j_circular(spark, sf_dir, source=small):
+    rows = _products(source(spark, sf_dir), [SHORT], True, 0, 120, 1, 2)
     return rows.select("record", "experiment_id", "start", "end", "length", "type", "fwd_mm", "rev_mm", "is_wrap")
 
 
-def j_self_pairs(spark, sf_dir):
-    return shown(_products(small(spark, sf_dir), panel.with_self_pairs([SHORT]), most=90, window=2))
+def j_self_pairs(spark, sf_dir, source=small):
+    return shown(_products(source(spark, sf_dir), panel.with_self_pairs([SHORT]), most=90, window=2))
 
 
-def j_multiplex_panel(spark, sf_dir):
+def j_multiplex_panel(spark, sf_dir, source=small):
     pairs = panel.from_pools(*POOLS) + panel.self_across_pools(*POOLS)
-    return shown(_products(small(spark, sf_dir), pairs, most=90, mm=0, window=0))
+    return shown(_products(source(spark, sf_dir), pairs, most=90, mm=0, window=0))
 
 
 def j_oligo_pairs(spark, sf_dir):
@@ -115,12 +117,12 @@ def j_oligo_pairs(spark, sf_dir):
     return panel.panel_table(spark, panel.oligo_pairs(oligos, True)).select("pair_id", "fwd", "rev")
 
 
-def o_coord_rank(spark, sf_dir):
-    return ranked(_products(small(spark, sf_dir), [SHORT], most=90, mm=0, window=0)).select("record", "start", "end", "type", F.col("rank").cast("long").alias("rank"))
+def o_coord_rank(spark, sf_dir, source=small):
+    return ranked(_products(source(spark, sf_dir), [SHORT], most=90, mm=0, window=0)).select("record", "start", "end", "type", F.col("rank").cast("long").alias("rank"))
 
 
-def p_product_seq(spark, sf_dir):
-    rows = small(spark, sf_dir)
+def p_product_seq(spark, sf_dir, source=small):
+    rows = source(spark, sf_dir)
     return with_sequences(_products(rows, [SHORT], most=90, mm=0, window=0), rows).select("record", "start", "end", "type", F.md5("seq").alias("digest"))
 
 
@@ -128,23 +130,23 @@ def g_products_per_pair(spark, sf_dir):
     return _products(records(spark, sf_dir), [PAIR]).groupBy("experiment_id").agg(F.count("*").alias("n"))
 
 
-def _amplicons(spark, sf_dir):
-    rows = small(spark, sf_dir)
+def _amplicons(spark, sf_dir, source=small):
+    rows = source(spark, sf_dir)
     return with_sequences(_products(rows, [SHORT], most=90, mm=0, window=0), rows)
 
 
-def v_probe(spark, sf_dir):
-    got = annotate.with_probe(_amplicons(spark, sf_dir), "probe", "ACTAC", 1)
+def v_probe(spark, sf_dir, source=small):
+    got = annotate.with_probe(_amplicons(spark, sf_dir, source), "probe", "ACTAC", 1)
     return got.select("record", "start", "end", "type", "probe_found", "probe_strand", "probe_pos", "probe_mm", "probe_site")
 
 
-def v_probe_require(spark, sf_dir):
-    got = annotate.with_probe(_amplicons(spark, sf_dir), "probe", "ACTAC", 0, True)
+def v_probe_require(spark, sf_dir, source=small):
+    got = annotate.with_probe(_amplicons(spark, sf_dir, source), "probe", "ACTAC", 0, True)
     return got.select("record", "start", "end", "type", "probe_strand", "probe_pos")
 
 
-def v_nested(spark, sf_dir):
-    got = annotate.with_nested(_amplicons(spark, sf_dir), [panel.pair("inner", "TAG", "CAC")])
+def v_nested(spark, sf_dir, source=small):
+    got = annotate.with_nested(_amplicons(spark, sf_dir, source), [panel.pair("inner", "TAG", "CAC")])
     return got.select("record", "start", "end", "type", "inner_found", "inner_start", "inner_end", "inner_length", "inner_type")
 
 
@@ -179,16 +181,16 @@ def f_selfcomp(spark, sf_dir):
     return rows.select("record", "seq", thermo.self_complementary(F.col("seq")).alias("self_complementary"))
 
 
-def p_reference_n_hits(spark, sf_dir):
+def p_reference_n_hits(spark, sf_dir, source=small):
     """Sites that hold an N of the record, each a mismatch."""
-    rows = small(spark, sf_dir)
+    rows = source(spark, sf_dir)
     got = hits(rows, [SHORT], 1, 0).join(rows, "record").withColumn("site", F.substring(F.col("seq"), F.col("pos").cast("int") + 1, F.lit(4)))
     return got.where("instr(site, 'N') > 0").select("record", "orient", "pos", "mm", "site")
 
 
-def d_dedupe_overlap(spark, sf_dir):
+def d_dedupe_overlap(spark, sf_dir, source=small):
     """Amplicons of overlapping chunks, each once, in the records' coordinates."""
-    pieces = fasta.chunks(small(spark, sf_dir), 200, 60)
+    pieces = fasta.chunks(source(spark, sf_dir), 200, 60)
     named = pieces.select(fasta.chunk_id(F.col("record"), F.col("at"), F.col("seq")).alias("record"), "seq")
     base, at = fasta.split_chunk_id(F.col("record"))
     found = _products(named, [SHORT], most=60, mm=0, window=0)
@@ -196,13 +198,13 @@ def d_dedupe_overlap(spark, sf_dir):
     return deduplicated(moved).select("record", "experiment_id", "start", "end", "length", "type")
 
 
-def v_nested_require(spark, sf_dir):
-    got = annotate.with_nested(_amplicons(spark, sf_dir), [panel.pair("inner", "TAG", "CAC")], require=True)
+def v_nested_require(spark, sf_dir, source=small):
+    got = annotate.with_nested(_amplicons(spark, sf_dir, source), [panel.pair("inner", "TAG", "CAC")], require=True)
     return got.select("record", "start", "end", "type", "inner_start", "inner_end", "inner_length", "inner_type")
 
 
-def _sites(spark, sf_dir, pairs):
-    rows = small(spark, sf_dir)
+def _sites(spark, sf_dir, pairs, source=small):
+    rows = source(spark, sf_dir)
     return scoring.with_primers(with_sequences(_products(rows, pairs, most=90, mm=1, window=0), rows), pairs)
 
 
@@ -210,31 +212,31 @@ def _six(*columns: str) -> list[Column]:
     return [F.round(c, 6).alias(c) for c in columns]
 
 
-def t_imperfect(spark, sf_dir):
-    got = scoring.scored(_sites(spark, sf_dir, [THERMO]))
+def t_imperfect(spark, sf_dir, source=small):
+    got = scoring.scored(_sites(spark, sf_dir, [THERMO], source))
     ends = [got.select("record", "start", "end", "type", F.lit(e).alias("side"), *[F.round(f"{e}_{x}", 6).alias(x) for x in ("tm", "penalty", "dg", "dangling_dg")], F.col(f"{e}_mismatches").alias("mismatches"), F.col(f"{e}_policy").alias("policy")) for e in scoring.ENDS]
     return ends[0].unionAll(ends[1])
 
 
-def t_profiles(spark, sf_dir):
-    got = scoring.scored(_sites(spark, sf_dir, [THERMO]))
+def t_profiles(spark, sf_dir, source=small):
+    got = scoring.scored(_sites(spark, sf_dir, [THERMO], source))
     score = lambda k: F.struct(F.lit(k).alias("profile"), F.round(duplex.profiled(F.col("base_score"), F.col("base_score"), F.col("length").cast("double"), PROFILES[k]), 6).alias("score"))
     return got.select("record", "start", "end", "type", F.inline(F.array(*[score(k) for k in PROFILES])))
 
 
-def t_iupac_policy(spark, sf_dir):
-    rows = _sites(spark, sf_dir, [SHORT])
+def t_iupac_policy(spark, sf_dir, source=small):
+    rows = _sites(spark, sf_dir, [SHORT], source)
     each = [scoring.by_policy(rows, p).select("record", "start", "end", "type", F.lit(p).alias("policy"), "variants", *_six("score")) for p in ("worst", "best", "mean")]
     return each[0].unionAll(each[1]).unionAll(each[2])
 
 
-def t_rank_score(spark, sf_dir):
-    got = scoring.scored(_sites(spark, sf_dir, [THERMO])).withColumn("score", F.round("score", 6))
+def t_rank_score(spark, sf_dir, source=small):
+    got = scoring.scored(_sites(spark, sf_dir, [THERMO], source)).withColumn("score", F.round("score", 6))
     return scoring.ranked_by_score(got).select("record", "start", "end", "type", "score", F.col("rank").cast("long").alias("rank"))
 
 
-def t_legacy(spark, sf_dir):
-    return scoring.older_score(_sites(spark, sf_dir, [THERMO])).select("record", "start", "end", "type", *_six("score"))
+def t_legacy(spark, sf_dir, source=small):
+    return scoring.older_score(_sites(spark, sf_dir, [THERMO], source)).select("record", "start", "end", "type", *_six("score"))
 
 
 def t_hairpin(spark, sf_dir):
@@ -247,48 +249,52 @@ def t_dimer(spark, sf_dir):
     return rows.select("record", "primer", structure_of("self-dimer")(F.col("primer")).alias("s")).select("record", "primer", *[F.round(f"s.{x}", 6).alias(x) for x in ("dg", "tm")], "s.stem", "s.both_anchored")
 
 
-def t_panel_dimer(spark, sf_dir):
+def t_panel_dimer(spark, sf_dir, source=small):
     """Scores with structures; the panel's other primers count against a pair."""
-    rows = scoring.scored(_sites(spark, sf_dir, [THERMO]))
+    rows = scoring.scored(_sites(spark, sf_dir, [THERMO], source))
     others = [THERMO, panel.pair("q", "ACTAGCTAGT", "GCTAGGCTAGC")]
     got = scoring.with_structures(rows, others)
     return got.select("record", "start", "end", "type", *_six("score", "structure_c", "panel_c", "panel_burden_c"), "panel_count", "panel_partner")
 
 
-def _probe_scores(spark, sf_dir, mode):
-    rows = scoring.scored(_sites(spark, sf_dir, [THERMO]))
+def _probe_scores(spark, sf_dir, mode, source=small):
+    rows = scoring.scored(_sites(spark, sf_dir, [THERMO], source))
     got = scoring.with_probe_score(rows, "probe", "ACTAC", 1, mode, least_margin=-150.0)
     return got.select("record", "start", "end", "type", "probe_found", "probe_strand", *_six("probe_margin", "score"))
 
 
-def t_probe_gate(spark, sf_dir):
-    return _probe_scores(spark, sf_dir, "gate")
+def t_probe_gate(spark, sf_dir, source=small):
+    return _probe_scores(spark, sf_dir, "gate", source)
 
 
-def t_probe_blend(spark, sf_dir):
-    return _probe_scores(spark, sf_dir, "blend")
+def t_probe_blend(spark, sf_dir, source=small):
+    return _probe_scores(spark, sf_dir, "blend", source)
 
 
-def _wire(spark, sf_dir):
-    rows = _amplicons(spark, sf_dir)
+def _wire(spark, sf_dir, source=small):
+    rows = _amplicons(spark, sf_dir, source)
     return rows.withColumns({"source_file": F.lit("items.fa"), "sequence_id": F.col("record")})
 
 
-def k_tsv(spark, sf_dir):
-    return sinks.tsv_lines(_wire(spark, sf_dir))
+def k_tsv(spark, sf_dir, source=small):
+    return sinks.tsv_lines(_wire(spark, sf_dir, source))
 
 
-def k_jsonl(spark, sf_dir):
-    return sinks.json_lines(_wire(spark, sf_dir))
+def k_jsonl(spark, sf_dir, source=small):
+    return sinks.json_lines(_wire(spark, sf_dir, source))
 
 
-def k_fasta(spark, sf_dir):
+def k_fasta(spark, sf_dir, source=small):
     """The number in a header counts a record's amplicons."""
-    return sinks.fasta_lines(ranked(_wire(spark, sf_dir)).withColumnRenamed("rank", "n"))
+    return sinks.fasta_lines(ranked(_wire(spark, sf_dir, source)).withColumnRenamed("rank", "n"))
 
 
 QUERIES = {f.__name__: f for f in (f_derive_dna, f_revcomp, f_iupac_expand, p_exact_hits, p_mismatch_hits, p_terminal_window, p_seed_join_hits, w_hit_cap, j_forward, j_revcomp, j_length_bounds, j_circular, j_self_pairs, j_multiplex_panel, j_oligo_pairs, o_coord_rank, p_product_seq, g_products_per_pair, v_probe, v_probe_require, v_nested, t_tm_perfect, t_salt_models, s_chunks, f_selfcomp, p_reference_n_hits, d_dedupe_overlap, v_nested_require, t_imperfect, t_profiles, t_iupac_policy, t_rank_score, t_legacy, t_hairpin, t_dimer, t_panel_dimer, t_probe_gate, t_probe_blend, k_tsv, k_jsonl, k_fasta)}
 
+#: The queries above whose SQL reads the benchmark, over all documents.
+WHOLE = ("f_revcomp", "p_exact_hits", "p_mismatch_hits", "p_terminal_window", "p_seed_join_hits", "w_hit_cap", "j_length_bounds", "j_circular", "j_self_pairs", "j_multiplex_panel", "o_coord_rank", "p_product_seq", "v_probe", "v_probe_require", "v_nested", "v_nested_require", "p_reference_n_hits", "d_dedupe_overlap", "t_imperfect", "t_profiles", "t_iupac_policy", "t_rank_score", "t_legacy", "t_panel_dimer", "t_probe_gate", "t_probe_blend", "k_tsv", "k_jsonl", "k_fasta")
+QUERIES |= {f"{name}_documents": partial(QUERIES[name], source=records) for name in WHOLE}
+
 
 def _records_sql(name: str, key: str) -> str:
     return f"select cast({key} as varchar) as record, {al.dna_sql('text')} as seq from {name}"

@@ -40,18 +40,23 @@ def _joined(left: DataFrame, right: DataFrame, pairs: list[Pair], min_length: in
     lefts = left.select("record", "pair_ord", kind("A"), F.col("pos").alias("start"), F.col("mm").alias("fwd_mm"), F.col("mm_idx").alias("fi"))
     rights = right.join(F.broadcast(bounds), "pair_ord").select("record", "pair_ord", kind("b"), "pair_id", "len", low.alias("low"), high.alias("high"), F.col("pos").alias("at"), n, F.col("mm").alias("rev_mm"), F.col("mm_idx").alias("ri"))
     on = ["record", "pair_ord", "type"]
-    if not circular and max_length > 0 and all(p.max_length <= max_length for p in pairs):
+    wrap = F.col("at") < F.col("start")
+    turn = F.lit(True)
+    if max_length > 0 and all(p.max_length <= max_length for p in pairs):
         width = F.lit(max_length).cast("long")
+        at = F.col("at")
+        if circular:  # a right site near the origin lies behind the record's end as well
+            rights = rights.withColumn("turned", F.explode(F.when(at < width, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
+            at, turn = at + F.when(F.col("turned"), F.col("len")).otherwise(0), F.col("turned") == wrap
         lefts = lefts.withColumn("bin", F.explode(F.array(F.floor(F.col("start") / width), F.floor(F.col("start") / width) + 1)))
-        rights = rights.withColumn("bin", F.floor(F.col("at") / width))
+        rights = rights.withColumn("bin", F.floor(at / width))
         on = [*on, "bin"]
-    wrap = F.col("at") < F.col("start")
     length = F.col("at") + F.col("n") - F.col("start") + F.when(wrap, F.col("len")).otherwise(0)
     side = F.col("at") != F.col("start") if circular else F.col("at") > F.col("start")
     fits = ((F.col("low") == 0) | (length >= F.col("low"))) & ((F.col("high") == 0) | (length <= F.col("high")))
     flip = F.transform("ri", lambda i: F.col("n").cast("int") - 1 - i)
     text = lambda idx: F.array_join(idx.cast("array<string>"), ",")
-    rows = lefts.join(rights, on).where(side & fits)
+    rows = lefts.join(rights, on).where(side & turn & fits)
     return rows.select("record", "pair_ord", F.col("pair_id").alias("experiment_id"), "start", (F.col("at") + F.col("n")).alias("end"), length.alias("length"), "type", "fwd_mm", "rev_mm", text(F.col("fi")).alias("fwd_mm_i"), text(flip).alias("rev_mm_i"), wrap.alias("is_wrap"))
 
 

@@ -1,0 +1,34 @@
+"""Queries over all documents, against the SQL of the same query where the documents' texts are benchmark items."""
+
+import duckdb
+import pytest
+
+from amplispark import catalog
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def folders(spark, tmp_path_factory):
+    """One with documents only, and one with the same texts as benchmark only."""
+    rows = spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").orderBy("item_id").limit(12)
+    rows = rows.union(spark.createDataFrame([(9001, ""), (9002, "a1"), (9003, "acta 1 gcaa. " * 40)], rows.schema)).coalesce(1)
+    base = str(tmp_path_factory.mktemp("sf"))
+    rows.withColumnRenamed("item_id", "doc_id").write.parquet(f"{base}/d/documents.parquet")
+    rows.write.parquet(f"{base}/b/benchmark.parquet")
+    return f"{base}/d", f"{base}/b"
+
+
+@pytest.mark.parametrize("name", catalog.WHOLE)
+def test_documents_equal_sql(spark, folders, name):
+    documents, items = folders
+    df = catalog.QUERIES[f"{name}_documents"](spark, documents)
+    columns = sorted(df.columns)
+    if name in catalog.ORACLE_SQL:
+        con = duckdb.connect()
+        con.execute(f"create view benchmark as select * from '{items}/benchmark.parquet/*.parquet'")
+        want = con.execute(f"select {', '.join(f'"{c}"' for c in columns)} from ({catalog.ORACLE_SQL[name]})").fetchall()
+    else:
+        want = catalog.QUERIES[name](spark, items).select(columns).collect()
+    got = sorted(tuple(map(str, r)) for r in df.select(columns).collect())
+    assert got and got == sorted(tuple(map(str, r)) for r in want)
