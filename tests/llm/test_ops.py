@@ -200,6 +200,21 @@ def test_licenses(spark):
     assert got == {0: "", 1: "", 2: "MIT", 3: "Apache-2.0", 4: "GPL-3.0", 5: "", 6: "CC-BY-NC-4.0", 7: "MPL-2.0"}
 
 
+def test_licenses_whatever_the_line_breaks(spark):
+    mit = license_scan.TEMPLATES["MIT-text"].split()
+    texts = [
+        "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy was not given",
+        "# Released under the\n# MIT License.",
+        "This is free and unencumbered software released into the\npublic domain.",
+        "To the extent possible under law, the author has\nwaived all copyright and related rights\nto this work. CC0 1.0 Universal.",
+        "\n".join(" ".join(mit[i : i + 3]) for i in range(0, len(mit), 3)),
+        "This work is licensed under the GNU Lesser General\nPublic License, version 3.",
+        "Released under the license of the house, says the driver.",
+    ]
+    got = {r["doc_id"]: r["licenses"] for r in license_scan.scan_licenses(docs(spark, texts)).collect()}
+    assert got == {0: "MPL-2.0", 1: "MIT", 2: "Unlicense", 3: "CC0-1.0", 4: "MIT-text", 5: "LGPL-3.0", 6: ""}
+
+
 def test_kneser_ney_probabilities_add_up(spark):
     rows = spark.createDataFrame([("the cat sat on the mat",), ("a cat and a hat",), (None,), ("",)], "text string")
     model = quality.Model(quality.train(rows))
