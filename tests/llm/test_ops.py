@@ -215,6 +215,17 @@ def test_licenses_whatever_the_line_breaks(spark):
     assert got == {0: "MPL-2.0", 1: "MIT", 2: "Unlicense", 3: "CC0-1.0", 4: "MIT-text", 5: "LGPL-3.0", 6: ""}
 
 
+def test_licenses_beside_sentences(spark):
+    texts = [
+        "Copyright 2021 Jane Doe and contributors, all rights reserved worldwide. Released under the MIT License.",
+        "The parts list follows below. Licensed under the Apache License, Version 2.0. Please read it with care today.",
+        "Released under the MIT License. Licensed under the Apache License, Version 2.0.",
+        "Released under the MIT License. " * 3,
+    ]
+    got = {r["doc_id"]: (r["n_blocks"], r["licenses"], r["n_diff"]) for r in license_scan.scan_licenses(docs(spark, texts)).collect()}
+    assert got == {0: (1, "MIT", 0), 1: (1, "Apache-2.0", 0), 2: (1, "Apache-2.0,MIT", 0), 3: (1, "MIT", 0)}
+
+
 def test_kneser_ney_probabilities_add_up(spark):
     rows = spark.createDataFrame([("the cat sat on the mat",), ("a cat and a hat",), (None,), ("",)], "text string")
     model = quality.Model(quality.train(rows))
