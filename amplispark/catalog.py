@@ -155,6 +155,12 @@ def primers(spark, sf_dir):
     return small(spark, sf_dir).select("record", F.substring(F.regexp_replace("seq", "N", ""), 1, 20).alias("primer"))
 
 
+def tiles(spark, sf_dir):
+    """Whole documents without their N as consecutive primers of 20 bases, the last one shorter, with their places."""
+    each = F.posexplode(F.regexp_extract_all(F.regexp_replace("seq", "N", ""), F.lit(".{1,20}"), F.lit(0))).alias("k", "primer")
+    return records(spark, sf_dir).select("record", each).select("record", (F.col("k") * 20).cast("long").alias("at"), "primer")
+
+
 def t_tm_perfect(spark, sf_dir):
     p = F.col("primer")
     return primers(spark, sf_dir).select("record", "primer", F.round(thermo.tm(p), 6).alias("tm"), F.round(thermo.delta_g(p), 6).alias("dg"))
@@ -291,6 +297,45 @@ def k_fasta(spark, sf_dir, source=small):
 
 QUERIES = {f.__name__: f for f in (f_derive_dna, f_revcomp, f_iupac_expand, p_exact_hits, p_mismatch_hits, p_terminal_window, p_seed_join_hits, w_hit_cap, j_forward, j_revcomp, j_length_bounds, j_circular, j_self_pairs, j_multiplex_panel, j_oligo_pairs, o_coord_rank, p_product_seq, g_products_per_pair, v_probe, v_probe_require, v_nested, t_tm_perfect, t_salt_models, s_chunks, f_selfcomp, p_reference_n_hits, d_dedupe_overlap, v_nested_require, t_imperfect, t_profiles, t_iupac_policy, t_rank_score, t_legacy, t_hairpin, t_dimer, t_panel_dimer, t_probe_gate, t_probe_blend, k_tsv, k_jsonl, k_fasta)}
 
+
+def t_tm_perfect_documents(spark, sf_dir):
+    """A last tile of one base has no stack, so its values are null, as in the SQL over items."""
+    p = F.col("primer")
+    stacked = lambda x: F.when(F.length(p) > 1, F.round(x, 6))
+    return tiles(spark, sf_dir).select("record", "at", "primer", stacked(thermo.tm(p)).alias("tm"), stacked(thermo.delta_g(p)).alias("dg"))
+
+
+def t_salt_models_documents(spark, sf_dir):
+    tm = lambda m: F.struct(F.lit(m).alias("model"), F.when(F.length("primer") > 1, F.round(thermo.tm(F.col("primer"), thermo.Conditions(model=m, dntp=0.0008)), 6)).alias("tm"))
+    return tiles(spark, sf_dir).select("record", "at", F.inline(F.array(*map(tm, ("monovalent", "owczarzy-lite", "owczarzy08")))))
+
+
+def f_selfcomp_documents(spark, sf_dir):
+    """Which tiles are their own reverse complement, those of every other record with theirs."""
+    p = F.col("primer")
+    rows = tiles(spark, sf_dir).select("record", "at", F.concat(p, F.when(F.length("record") % 2 == 0, al.revcomp(p)).otherwise("")).alias("seq"))
+    return rows.select("record", "at", "seq", thermo.self_complementary(F.col("seq")).alias("self_complementary"))
+
+
+def _tile_structures(spark, sf_dir, kind, last):
+    """Structures of the tiles, each distinct primer computed once."""
+    rows = tiles(spark, sf_dir)
+    found = rows.select(F.col("primer").alias("of")).distinct().withColumn("s", structure_of(kind)(F.col("of")))
+    return rows.join(found, F.col("primer") == F.col("of")).select("record", "at", "primer", *[F.round(f"s.{x}", 6).alias(x) for x in ("dg", "tm")], "s.stem", f"s.{last}")
+
+
+def t_hairpin_documents(spark, sf_dir):
+    return _tile_structures(spark, sf_dir, "hairpin", "loop")
+
+
+def t_dimer_documents(spark, sf_dir):
+    return _tile_structures(spark, sf_dir, "self-dimer", "both_anchored")
+
+
+#: The queries of primers over all bases of all documents.
+TILED = {f.__name__: f for f in (t_tm_perfect_documents, t_salt_models_documents, f_selfcomp_documents, t_hairpin_documents, t_dimer_documents)}
+QUERIES |= TILED
+
 #: The queries above whose SQL reads the benchmark, over all documents.
 WHOLE = ("f_revcomp", "p_exact_hits", "p_mismatch_hits", "p_terminal_window", "p_seed_join_hits", "w_hit_cap", "j_length_bounds", "j_circular", "j_self_pairs", "j_multiplex_panel", "o_coord_rank", "p_product_seq", "v_probe", "v_probe_require", "v_nested", "v_nested_require", "p_reference_n_hits", "d_dedupe_overlap", "t_imperfect", "t_profiles", "t_iupac_policy", "t_rank_score", "t_legacy", "t_panel_dimer", "t_probe_gate", "t_probe_blend", "k_tsv", "k_jsonl", "k_fasta")
 QUERIES |= {f"{name}_documents": partial(QUERIES[name], source=records) for name in WHOLE}

@@ -32,3 +32,35 @@ def test_documents_equal_sql(spark, folders, name):
         want = catalog.QUERIES[name](spark, items).select(columns).collect()
     got = sorted(tuple(map(str, r)) for r in df.select(columns).collect())
     assert got and got == sorted(tuple(map(str, r)) for r in want)
+
+
+@pytest.fixture(scope="module")
+def tiled(spark, tmp_path_factory):
+    """Documents, and each of their tiles as a benchmark item: the tile's 20 bases are all of its letters."""
+    rows = spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").orderBy("item_id").limit(6).collect()
+    letters = {**{100 + i: "".join(c for c in r["text"] if c.isascii() and c.isalpha()) for i, r in enumerate(rows)}, 7: "catgacgtacatgcatgtacgacgttagcatatt"}
+    place = {1000 + k: (str(i), at, t[at : at + 20]) for k, (i, t, at) in enumerate((i, t, at) for i, t in letters.items() for at in range(0, len(t), 20))}
+    base = str(tmp_path_factory.mktemp("tiles"))
+    spark.createDataFrame([(i, " ".join(t)) for i, t in letters.items()], "doc_id long, text string").coalesce(1).write.parquet(f"{base}/d/documents.parquet")
+    spark.createDataFrame([(k, t) for k, (_, _, t) in place.items()], "item_id long, text string").coalesce(1).write.parquet(f"{base}/b/benchmark.parquet")
+    return f"{base}/d", f"{base}/b", place
+
+
+@pytest.mark.parametrize("name", sorted(catalog.TILED))
+def test_tiles_cover_all_bases(spark, tiled, name):
+    documents, items, place = tiled
+    df = catalog.QUERIES[name](spark, documents)
+    got = sorted(tuple(map(str, r)) for r in df.collect())
+    if name == "f_selfcomp_documents":
+        turn = str.maketrans("ACGT", "TGCA")
+        primer = {r["record"]: r["primer"] for r in catalog.primers(spark, items).collect()}
+        seqs = [(i, at, primer[str(k)] + (primer[str(k)].translate(turn)[::-1] if len(i) % 2 == 0 else "")) for k, (i, at, _) in place.items()]
+        want = [(i, str(at), s, str(s == s.translate(turn)[::-1])) for i, at, s in seqs]
+    elif (of := name.removesuffix("_documents")) in catalog.ORACLE_SQL:
+        con = duckdb.connect()
+        con.execute(f"create view benchmark as select * from '{items}/benchmark.parquet/*.parquet'")
+        columns = ", ".join(c for c in df.columns if c != "at")
+        want = [(*map(str, place[int(r[0])][:2]), *map(str, r[1:])) for r in con.execute(f"select {columns} from ({catalog.ORACLE_SQL[of]})").fetchall()]
+    else:
+        want = [(*map(str, place[int(r[0])][:2]), *map(str, r[1:])) for r in catalog.QUERIES[of](spark, items).collect()]
+    assert len(got) > 20 and got == sorted(want)
