@@ -189,14 +189,18 @@ def _onto_least(edges: DataFrame, near: DataFrame) -> DataFrame:
     return dealt.join(least, ["u", "salt"]).select("u", "w", "m")
 
 
-def classes(fps: DataFrame, id_col: str, fp_col: str) -> DataFrame:
-    """(fp, component) for each fingerprint: the least id that is reachable by links."""
+def rooted(fps: DataFrame, id_col: str, fp_col: str) -> DataFrame:
+    """(fp, least, root) for each fingerprint: its least id, and the one fingerprint that stands for its component."""
     own = written(fps.groupBy(fp_col).agg(F.min(id_col).alias("least")).toDF("fp", "least"), "fingerprints")
     tree = components(links(own.select("fp")))
-    rooted = own.join(tree, own.fp == tree.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    rooted = written(rooted, "rooted")
-    least = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    return rooted.join(least, "root").select("fp", "component")
+    return written(own.join(tree, own.fp == tree.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
+
+
+def classes(fps: DataFrame, id_col: str, fp_col: str) -> DataFrame:
+    """(fp, component) for each fingerprint: the least id that is reachable by links."""
+    rows = rooted(fps, id_col, fp_col)
+    least = rows.groupBy("root").agg(F.min("least").alias("component"))
+    return rows.join(least, "root").select("fp", "component")
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -212,18 +216,26 @@ def hexed(fp: str) -> Column:
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id names their component, with docs' columns; repeated rows give one row.
+    """One row of docs for each component, with docs' columns: of its least id and, of that, the least fingerprint.
 
-    Rows without an id stay only where their whole component has none, one for each fingerprint.
+    A component whose rows all have no id gives one row as well. An id with texts of
+    several components may stay in each of them.
     """
     rows = written(docs.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col)).alias("fp")), "simhash")
-    found = classes(rows, "id", "fp")
-    gone = rows.join(found, "fp").where(~F.col("id").eqNullSafe(F.col("component")))
-    gone = gone.select("id").distinct()
+    first = F.min(F.struct(F.col("least").isNull(), F.col("least").alias("id"), F.col("fp").alias("fp")))
+    stay = written(rooted(rows, "id", "fp").groupBy("root").agg(first.alias("s")).select(F.col("s.id").alias("stay_id"), F.col("s.fp").alias("stay_fp")), "survivors")
     key = fresh(docs, "gone_id")
-    kept = docs.join(gone.select(F.col("id").alias(key)), F.col(id_col).eqNullSafe(F.col(key)), "left_anti")
-    many = written(rows.groupBy("id").count().where("count > 1").select(F.col("id").alias(key)), "repeated")
-    if many.isEmpty():
-        return kept
-    same = F.col(id_col).eqNullSafe(F.col(key))
-    return kept.join(many, same, "left_anti").unionByName(kept.join(many, same, "left_semi").dropDuplicates([id_col]))
+    both = F.col("id").eqNullSafe(F.col("stay_id")) & (F.col("fp") == F.col("stay_fp"))
+    gone = rows.where("id is not null").join(stay, both, "left_anti").select(F.col("id").alias(key)).distinct()
+    many = written(rows.where("id is not null").groupBy("id").count().where("count > 1").select(F.col("id").alias(key)), "repeated")
+    own = docs.where(F.col(id_col).isNotNull())
+    if many.isEmpty() and rows.where("id is null").isEmpty():
+        return own.join(gone, F.col(id_col) == F.col(key), "left_anti")
+    # the id alone tells where it has one row; of the others also the fingerprint is needed
+    repeated = F.col(id_col) == F.col(key)
+    once = own.join(many, repeated, "left_anti").join(gone, repeated, "left_anti")
+    fp, stay_id, stay_fp = (fresh(docs, x) for x in ("own_fp", "stay_id", "stay_fp"))
+    others = docs.where(F.col(id_col).isNull()).unionByName(own.join(many, repeated, "left_semi"))
+    others = others.withColumn(fp, fingerprint(F.col(text_col))).dropDuplicates([id_col, fp])
+    kept = others.join(stay.toDF(stay_id, stay_fp), F.col(id_col).eqNullSafe(F.col(stay_id)) & (F.col(fp) == F.col(stay_fp)), "left_semi")
+    return once.unionByName(kept.drop(fp))

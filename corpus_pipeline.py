@@ -1,7 +1,8 @@
 """A corpus pipeline of five stages; each takes (spark, docs, sf_dir) and returns the documents that stay.
 
 Nulls and edge cases are those of the operators: a document without text is
-rejected by the first stage; rows with repeated ids give one in the third.
+rejected by the first stage; of rows with repeated or null ids the third keeps
+one for each group of near duplicates, as of others.
 Extra columns of documents are kept up to the last stage.
 """
 

@@ -74,6 +74,16 @@ def test_simhash_equals_brute_force(spark):
     assert simhash.simhash_components(docs(spark, texts).limit(0)).count() == 0
 
 
+def test_one_of_each_component_whatever_the_ids(spark):
+    text = lambda k: " ".join(f"w{i * 7919 % 1009}x{k}" for i in range(300))
+    rows = [(None, text(1)), (None, text(2)), (None, text(2)), (5, text(3)), (None, text(3)), (7, text(4)), (7, text(5)), (3, text(4)), (7, text(5)), (9, text(6)), (9, text(7)), (9, text(7))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = simhash.one_of_each(df)
+    names = {text(k): k for k in range(1, 8)}
+    assert sorted((r["doc_id"] or 0, names[r["text"]]) for r in got.collect()) == [(0, 1), (0, 2), (3, 4), (5, 3), (7, 5), (9, 6), (9, 7)]
+    assert got.columns == df.columns and simhash.one_of_each(df.limit(0)).count() == 0
+
+
 def test_fuzzy_keys_miss_no_pair():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
