@@ -12,8 +12,8 @@ A document is kept if its perplexity is at most a quantile of that of the
 held-back trusted texts of its language.
 
 Nulls and edge cases: a null or empty text has null perplexity and isn't kept.
-A null language, or one with fewer than LEAST_HELD held-back texts, takes the
-quantile of all; without any held-back text, all texts are kept. Labels with
+A language takes its own quantile, of however many texts; a null language, or
+one without any held-back text, takes the quantile of all; without any held-back text, all texts are kept. Labels with
 null id or quality are ignored, and a document with contradicting labels isn't
 trusted. Repeated rows stay; other columns are kept by `good`; an empty table
 gives an empty result. Characters above U+0FFF are folded to 12 bits.
@@ -39,7 +39,7 @@ BLOCK_BYTES, CHUNK_BYTES = 16 << 20, 512 << 10
 SHARD_ROWS, KEPT_ROWS = 400_000, 2_000_000
 #: Trusted ids that are broadcast at most; more of them are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
-HIGH, LEAST_HELD = 0.99, 200
+HIGH = 0.99
 MASK = (1 << BITS) - 1
 
 
@@ -225,7 +225,7 @@ def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     held = written(trusted(few, labels, "id", True).select("lang", perplexity("text").alias("ppl")), "held").where("ppl is not null")  # a filter before writing would be pushed below the join, and score all texts
     q = lambda p: F.percentile("ppl", F.lit(p))
     overall = held.agg(q(HIGH)).first()[0]
-    of_lang = held.where("lang is not null").groupBy("lang").agg(q(HIGH).alias("high"), F.count("*").alias("n")).where(F.col("n") >= LEAST_HELD).collect()
+    of_lang = held.where("lang is not null").groupBy("lang").agg(q(HIGH).alias("high")).collect()
     name = fresh(docs, "perplexity")
     scored = docs.withColumn(name, perplexity(F.col(text_col)))
     high = F.lit(overall).cast("double")

@@ -261,6 +261,19 @@ def test_quality_rejects_damaged_text(spark):
     assert quality.quality(rows.limit(0), labels).count() == 0
 
 
+def test_quality_thresholds_are_each_languages_own(spark):
+    rows = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = rows.union(rows.orderBy("doc_id").limit(1).select(F.lit(9001), "text", F.lit("xx"), "source", "n_chars"))
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    good = {r["doc_id"] for r in labels.groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").collect()}
+    got = quality.quality(rows, labels).collect()
+    held = [(r["lang"], r["perplexity"]) for r in got if r["doc_id"] in good and zlib.crc32(str(r["doc_id"]).encode()) % 8 == 0 and r["perplexity"] is not None]
+    langs = {lang for lang, _ in held}
+    assert len(langs) > 1
+    for r in got:
+        assert np.isclose(r["threshold"], np.quantile([p for lang, p in held if lang == r["lang"] or r["lang"] not in langs], 0.99))
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
