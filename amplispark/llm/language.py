@@ -109,22 +109,33 @@ def scores(texts: pa.Array, model: np.ndarray) -> np.ndarray:
     return np.concatenate(out) + model[-1]
 
 
+def n_grams(texts: pa.Array) -> np.ndarray:
+    """Number of n-grams of each text."""
+    out = [np.zeros(0)]
+    for part in text.chunks(texts):
+        found, bounds = text.words(*text.flat(part))
+        size = pc.utf8_length(found).to_numpy(zero_copy_only=False).astype(np.int64) + 2
+        out.append(text.sums(sum(np.maximum(size - n + 1, 0) for n in ORDERS).astype(np.float64), bounds) if len(found) else np.zeros(len(part)))
+    return np.concatenate(out)
+
+
 def predictor(langs: list[str], model: np.ndarray, docs: DataFrame):
-    """A UDF of a text that gives struct(lang, score)."""
+    """A UDF of a text that gives struct(lang, score, fit): fit is the log probability of an n-gram, to three places."""
     shared = docs.sparkSession.sparkContext.broadcast((langs, model))
 
-    @F.arrow_udf("lang string, score double")
+    @F.arrow_udf("lang string, score double, fit double")
     def predict(texts: pa.Array) -> pa.Array:
         names, matrix = shared.value
-        lang, score = np.full(len(texts), "und", object), np.zeros(len(texts))
+        lang, score, fit = np.full(len(texts), "und", object), np.zeros(len(texts)), np.full(len(texts), np.nan)
         some = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)
         if names and some.any():
             logs = scores(texts, matrix)[some]
             best = logs.argmax(1)
             lang[some] = np.array(names, object)[best]
             score[some] = 1 / np.exp(logs - logs.max(1, keepdims=True)).sum(1)
+            fit[some] = np.round((logs.max(1) - matrix[-1][best]) / np.maximum(n_grams(texts.filter(pa.array(some))), 1), 3)
         text.release()
-        return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score)], ["lang", "score"])
+        return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score), pa.array(fit, mask=np.isnan(fit))], ["lang", "score", "fit"])
 
     return predict
 

@@ -18,6 +18,8 @@ from amplispark.session import ship, table
 
 #: Least posterior of a language for a document to stay.
 MIN_LANGUAGE_SCORE = 0.5
+#: Quantile of the fit of a language's learning rows that a document has to reach.
+LANGUAGE_FIT = 0.01
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,12 +29,20 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that was learned, with a sure enough score."""
+    """Documents in a language that was learned, with a sure enough score and n-grams as likely as in its learning rows.
+
+    The posterior alone says which language is nearest, not that a text is in it.
+    """
     ship(spark)
     langs, model = language.fit(docs.where(~language.held_out()))
     name = fresh(docs, "language")
-    got = docs.withColumn(name, language.predictor(langs, model, docs)("text"))
-    return got.where((F.col(f"{name}.lang") != "und") & (F.col(f"{name}.score") >= MIN_LANGUAGE_SCORE)).drop(name)
+    got = written(docs.withColumn(name, language.predictor(langs, model, docs)("text")), "languages")
+    learned = got.where(~language.held_out() & (F.col("lang") == F.col(f"{name}.lang")))
+    least = F.lit(None).cast("double")
+    for r in learned.groupBy("lang").agg(F.percentile(f"{name}.fit", F.lit(LANGUAGE_FIT)).alias("least")).collect():
+        least = F.when(F.col(f"{name}.lang") == r["lang"], r["least"]).otherwise(least)
+    fits = F.coalesce(F.col(f"{name}.fit") >= least, F.lit(False))
+    return got.where((F.col(f"{name}.lang") != "und") & (F.col(f"{name}.score") >= MIN_LANGUAGE_SCORE) & fits).drop(name)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

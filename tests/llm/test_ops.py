@@ -274,6 +274,17 @@ def test_quality_thresholds_are_each_languages_own(spark):
         assert np.isclose(r["threshold"], np.quantile([p for lang, p in held if lang == r["lang"] or r["lang"] not in langs], 0.99))
 
 
+def test_pipeline_rejects_languages_never_learned(spark):
+    import corpus_pipeline
+
+    rows = spark.read.parquet(f"{SF}/documents.parquet")
+    other = ["Привет, как дела? Это обычный русский текст о погоде и о жизни.", "これは日本語の文章です。今日は天気がいいです。", "To jest zwykłe polskie zdanie o życiu w dużym mieście na północy kraju.", "xqzj wvkp zzqx jkqw vbnm qqrt plmk xzcv wqpo", "123"]
+    more = spark.createDataFrame([(9010 + i, t, None, "s", len(t)) for i, t in enumerate(other)], DOCS)
+    got = corpus_pipeline.language_id(spark, rows.union(more), SF)
+    assert got.columns == rows.columns and got.where("doc_id >= 9010").count() == 0
+    assert got.count() >= 0.95 * rows.count()
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
