@@ -19,6 +19,8 @@ from ..functions.alphabet import MASK
 from .panel import Pair, orientations
 
 BLOCK_BASES, SCAN_BASES = 1 << 20, 2 << 20
+#: Bases of a block, and k-mers of a seed at most, in the seed join.
+SEED_BASES, MOST_KMERS = 1024, 50_000
 SCHEMA = "record string, len long, pair_ord int, orient string, pos long, mm int, mm_idx array<int>"
 
 GENOME = np.zeros(256, np.uint8)
@@ -114,25 +116,38 @@ def hits(records: DataFrame, pairs: list[Pair], max_mm: int = 0, window: int = 0
     return found
 
 
+def _seed_kmers(letters: str) -> list[str]:
+    """Plain k-mers of a seed; none where there is no seed, or it stands for too many."""
+    kmers = [""] if letters else []
+    for c in letters:
+        kmers = [x + b for x in kmers for b in "ACGT" if MASK[b] & MASK[c]]
+        if len(kmers) > MOST_KMERS:
+            return []
+    return kmers
+
+
 def seed_hits(records: DataFrame, seq: str, orient: str, max_mm: int = 0, window: int = 0, seed: int = 12) -> DataFrame:
     """Sites of one pattern in DataFrame operations: the seed's k-mers are joined, then all letters verified.
 
     The seed is the run of letters at the protected end; with mismatches allowed
-    outside the protected window, only that window is a seed.
+    outside the protected window, only that window is a seed. Where that leaves no
+    exact seed, or one of too many k-mers, the orientation is scanned as in hits().
     """
     n = len(seq)
     k = min(seed, n) if max_mm == 0 else min(window, n, seed)
-    if k == 0:
-        raise ValueError("mismatches without a protected window leave no exact seed")
     first = n - k if orient in "AB" else 0
-    kmers = [""]
-    for c in seq[first : first + k]:
-        kmers = [x + b for x in kmers for b in "ACGT" if MASK[b] & MASK[c]]
-        if len(kmers) > 50_000:
-            raise ValueError("the seed stands for too many k-mers")
+    kmers = _seed_kmers(seq[first : first + k])
+    w = min(window, n)
+    low, high = (n - w, n) if orient in "AB" else (0, w)
+    if not kmers:
+        pattern = (0, orient, np.array([MASK[c] for c in seq], np.uint8), low, high)
+        found = blocks(records, n - 1).select("record", "len", "at", "owned", "seq").mapInArrow(_scan([pattern], max_mm), SCHEMA)
+        return found.select("record", "pos", "mm_idx", "mm")
     table = F.broadcast(records.sparkSession.createDataFrame([(x,) for x in kmers], "kmer string"))
-    rows = records.select("record", "seq", F.explode(F.sequence(F.lit(0), F.length("seq") - n)).alias("pos")).where(F.length("seq") >= n)
-    rows = rows.withColumn("kmer", F.substring("seq", F.col("pos") + first + 1, F.lit(k))).join(table, "kmer")
-    bad = F.filter(F.array(*[F.when(~F.substring("seq", F.col("pos") + j + 1, F.lit(1)).isin(*[b for b in "ACGT" if MASK[b] & MASK[c]]), j) for j, c in enumerate(seq)]), lambda x: x.isNotNull())
-    return rows.select("record", "pos", bad.alias("mm_idx")).withColumn("mm", F.size("mm_idx")).where(F.col("mm") <= max_mm)
-
+    # letters of a long string are slow to reach, so it is cut first
+    rows = blocks(records, n - 1, SEED_BASES).where(F.length("seq") >= n)
+    rows = rows.select("record", "at", "seq", F.explode(F.sequence(F.lit(0), F.least(F.col("owned").cast("int"), F.length("seq") - n + 1) - 1)).alias("off"))
+    rows = rows.withColumn("kmer", F.substring("seq", F.col("off") + first + 1, F.lit(k))).join(table, "kmer")
+    bad = F.filter(F.array(*[F.when(~F.substring("seq", F.col("off") + j + 1, F.lit(1)).isin(*[b for b in "ACGT" if MASK[b] & MASK[c]]), j) for j, c in enumerate(seq)]), lambda x: x.isNotNull())
+    found = rows.select("record", (F.col("at") + F.col("off")).alias("pos"), bad.alias("mm_idx")).withColumn("mm", F.size("mm_idx")).where(F.col("mm") <= max_mm)
+    return found.where(~F.exists("mm_idx", lambda j: (j >= low) & (j < high)))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from amplispark.functions import alphabet as al
 from amplispark.functions import thermo
 from amplispark.operators import annotate, panel
+from amplispark.operators import hits as hits_module
 from amplispark.operators.hits import hits
 from amplispark.operators.products import products, with_sequences
 from amplispark.sources import fasta, sinks
@@ -160,3 +161,17 @@ def test_probe_and_nested_sinks(spark, tmp_path):
         assert len(json.loads("".join((tmp_path / name / p).read_text() for p in parts))) == n
     sinks.write_tsv(inner, str(tmp_path / "nested"), sinks.NESTED)
     assert spark.read.option("sep", "\t").option("header", True).csv(str(tmp_path / "nested")).columns[2:7] == ["outer_experiment_id", "outer_start", "outer_end", "outer_length", "outer_type"]
+
+
+@pytest.mark.parametrize("forward, max_mm, window", [("ACGTTA", 1, 0), ("N" * 12, 2, 0), ("N" * 10 + "AC", 0, 0), ("GNACTTACGTTAACG", 2, 14), ("ACGTTA", 1, 3)])
+def test_seed_join_equals_the_scan(spark, monkeypatch, forward, max_mm, window):
+    monkeypatch.setattr(hits_module, "SEED_BASES", 16)
+    seq = "TTACGTTANNACGTCACGTGACGTAGACTTACGTTAACGTAACGTAAACGTGACGTC" * 2
+    rows = spark.createDataFrame([("r", seq), ("short", "AC"), ("none", "")], "record string, seq string")
+    pair = panel.pair("p", forward, "ACGT")
+    for orient, pattern in panel.orientations(pair).items():
+        if orient not in "Aa":
+            continue
+        got = hits_module.seed_hits(rows, pattern, orient, max_mm, window).select("record", "pos", "mm", "mm_idx").collect()
+        want = hits_module.hits(rows, [pair], max_mm, window, orients=orient).select("record", "pos", "mm", "mm_idx").collect()
+        assert sorted(map(str, got)) == sorted(map(str, want)) and (want or orient == "a")
