@@ -1,12 +1,13 @@
-"""Quality by perplexity under an interpolated modified Kneser-Ney model of character n-grams.
+"""Quality by perplexity under an interpolated modified Kneser-Ney model of UTF-8 byte n-grams.
 
 The model is trained on trusted texts: those labelled of good quality, but for
 an eighth of them, which are kept to set thresholds. n-grams of ORDER
-characters are counted in blocks of text, summed by key, and turned into
+bytes are counted in blocks of text, summed by key, and turned into
 probabilities order by order in joins of counts with the statistics of their
 contexts and the next lower order. The result is written in shards by key, each
-of bounded size; scoring reads the shards that a block's distinct n-grams
-need, a few at a time, so neither a task nor the driver ever holds the model.
+of bounded size. Scoring looks up the distinct n-grams of a batch of texts, one
+shard after the other, so neither a task nor the driver ever holds the model:
+a join of all texts' n-grams with it would shuffle the texts as well.
 
 A document is kept if its perplexity is at most a quantile of that of the
 held-back trusted texts of its language.
@@ -16,7 +17,7 @@ A language takes its own quantile, of however many texts; a null language, or
 one without any held-back text, takes the quantile of all; without any held-back text, all texts are kept. Labels with
 null id or quality are ignored, and a document with contradicting labels isn't
 trusted. Repeated rows stay; other columns are kept by `good`; an empty table
-gives an empty result. Characters above U+0FFF are folded to 12 bits.
+gives an empty result. A text of any length is scored whole, in pieces.
 """
 
 from __future__ import annotations
@@ -31,31 +32,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text
-from .common import fresh, fresh_path, open_fs, written
+from .common import fresh, fresh_path, held, open_fs, written
 
-ORDER, BITS = 5, 12
+#: Bytes of an n-gram, and bits for each: 0 is the padding before a text, a byte counts from 1.
+ORDER, BITS = 6, 9
 BLOCK_BYTES, CHUNK_BYTES = 16 << 20, 512 << 10
 #: n-grams in a shard, about, and in the shards that a worker keeps at once.
 SHARD_ROWS, KEPT_ROWS = 400_000, 2_000_000
 #: Trusted ids that are broadcast at most; more of them are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 HIGH = 0.99
-MASK = (1 << BITS) - 1
+#: Accuracy of the thresholds: the share of texts below is right to one part in so many.
+ACCURACY = 10_000
 
 
 def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the n-grams that end at each character, with padding before each text, and the n + 1 bounds."""
-    strings = texts.fill_null("").to_pylist()
-    size = np.fromiter(map(len, strings), np.int64, len(strings))
-    points = np.frombuffer("".join(strings).encode("utf-32-le"), np.uint32).astype(np.int64) & MASK
-    points = np.maximum(points, 1)
-    bounds = np.concatenate([[0], np.cumsum(size)])
-    room = np.arange(len(points)) - np.repeat(bounds[:-1], size)
+    """Keys of the n-grams that end at each byte, with padding before each text, and the n + 1 bounds."""
+    data, bounds = text.flat(texts)
+    points = data.astype(np.int64) + 1
     keys = points.copy()
+    starts = bounds[:-1][bounds[:-1] < len(points)]
     for back in range(1, ORDER):
         earlier = np.zeros(len(points), np.int64)
         earlier[back:] = points[:-back] if len(points) > back else 0
-        keys |= np.where(room >= back, earlier, 0) << (BITS * back)
+        for k in range(back):  # the first bytes of each text have nothing before them
+            at = starts + k
+            earlier[at[at < len(points)]] = 0
+        keys |= earlier << (BITS * back)
     return keys, bounds
 
 
@@ -84,10 +87,10 @@ def train(texts: DataFrame, text_col: str = "text") -> str:
     rows = texts.select(F.col(text_col).alias("text")).where("text is not null and text != ''")
     counts = rows.mapInArrow(_count, "key long, n long").groupBy("key").agg(F.sum("n").alias("a"))
     by_order = {ORDER: written(counts, "ngrams")}
-    for n in range(ORDER - 1, 0, -1):  # continuation counts: distinct characters before
+    for n in range(ORDER - 1, 0, -1):  # continuation counts: distinct bytes before
         by_order[n] = written(by_order[n + 1].groupBy(F.col("key").bitwiseAND((1 << (BITS * n)) - 1).alias("key")).agg(F.count("*").alias("a")), "ngrams")
     uri = fresh_path(texts.sparkSession, "kneser-ney")
-    meta = {"shards": {}, "unknown": 0.0}
+    meta = {"shards": {}, "unknown": 0.0, "rows": 0}
     lower = None
     for n in range(1, ORDER + 1):
         own = by_order[n].withColumn("context", F.shiftright("key", BITS) if n > 1 else F.lit(0).cast("long"))
@@ -110,6 +113,7 @@ def train(texts: DataFrame, text_col: str = "text") -> str:
         lower = written(p.select("key", "p", "context", "gamma"), "smoothed")
         shards = max(1, -(-c[4] // SHARD_ROWS))
         meta["shards"][str(n)] = shards
+        meta["rows"] += 2 * c[4]
         for kind, table in (("p", lower.select("key", F.log("p").cast("float").alias("value"))), ("g", lower.select(F.col("context").alias("key"), F.log("gamma").cast("float").alias("value")).distinct())):
             table.withColumn("shard", F.pmod("key", F.lit(shards))).repartition(shards, "shard").sortWithinPartitions("shard", "key").write.partitionBy("shard").parquet(f"{uri}/{kind}{n}")
     where, path = open_fs(uri)
@@ -161,7 +165,7 @@ class Model:
         return out
 
     def log_p(self, keys: np.ndarray) -> np.ndarray:
-        """Log probability of each n-gram's last character after the others, backing off where needed."""
+        """Log probability of each n-gram's last byte after the others, backing off where needed."""
         out, back = np.full(len(keys), np.nan), np.zeros(len(keys))
         left = np.arange(len(keys))
         for n in range(ORDER, 0, -1):
@@ -184,26 +188,49 @@ def _selector(folder: str):
     return fs.FileSelector(folder)
 
 
-_models: dict[str, Model] = {}
+def pieces(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first text, keys, bounds) of consecutive texts of about CHUNK_BYTES; a longer text comes in several pieces, with bounds as in one."""
+    at = 0
+    for part in text.chunks(texts, CHUNK_BYTES):
+        keys, bounds = grams(part)
+        for i in range(0, max(len(keys), 1), 2 * CHUNK_BYTES):
+            yield at, keys[i : i + 2 * CHUNK_BYTES], np.clip(bounds - i, 0, min(2 * CHUNK_BYTES, len(keys) - i))
+        at += len(part)
+
+
+def perplexities(texts: pa.Array, model: Model) -> np.ndarray:
+    """Perplexity by byte of each text, NaN if it is empty.
+
+    A model that a worker can't keep whole is read through once for all of texts, instead of once a piece.
+    """
+    total, n = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+    known = None
+    if model.meta["rows"] > KEPT_ROWS:
+        known = np.unique(np.concatenate([np.zeros(0, np.int64), *(np.unique(keys) for _, keys, _ in pieces(texts))]))
+        known_logs = model.log_p(known)
+    for at, keys, bounds in pieces(texts):
+        if known is None:
+            coded = pa.array(keys).dictionary_encode()
+            logs = model.log_p(coded.dictionary.to_numpy())[coded.indices.to_numpy()]
+        else:
+            logs = known_logs[np.searchsorted(known, keys)]
+        total[at : at + len(bounds) - 1] += text.sums(logs, bounds)
+        n[at : at + len(bounds) - 1] += np.diff(bounds)
+    return np.where(n > 0, np.exp(-total / np.maximum(n, 1)), np.nan)
 
 
 def scorer(uri: str):
-    """A UDF of a text: its perplexity by character, null if it is empty."""
+    """A UDF of a text: its perplexity by byte, null if it is empty."""
 
     @F.arrow_udf("double")
     def perplexity(texts: pa.Array) -> pa.Array:
-        if uri not in _models:
-            _models.clear()
-            _models[uri] = Model(uri)
-        out = []
-        for part in text.chunks(texts, CHUNK_BYTES):
-            keys, bounds = grams(part)
-            coded = pa.array(keys).dictionary_encode()
-            logs = _models[uri].log_p(coded.dictionary.to_numpy())
-            total, n = text.sums(logs[coded.indices.to_numpy()], bounds), np.diff(bounds)
-            out.append(pa.array(np.exp(-total / np.maximum(n, 1)), mask=n == 0))
+        own = held("quality")
+        if uri not in own:
+            own.clear()
+            own[uri] = Model(uri)
+        got = perplexities(texts, own[uri])
         text.release()
-        return pa.concat_arrays(out or [pa.array([], pa.float64())])
+        return pa.array(got, mask=np.isnan(got))
 
     return perplexity
 
@@ -223,7 +250,7 @@ def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     few = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     perplexity = scorer(train(trusted(few, labels, "id", False)))
     held = written(trusted(few, labels, "id", True).select("lang", perplexity("text").alias("ppl")), "held").where("ppl is not null")  # a filter before writing would be pushed below the join, and score all texts
-    q = lambda p: F.percentile("ppl", F.lit(p))
+    q = lambda p: F.percentile_approx("ppl", p, ACCURACY)
     overall = held.agg(q(HIGH)).first()[0]
     of_lang = held.where("lang is not null").groupBy("lang").agg(q(HIGH).alias("high")).collect()
     name = fresh(docs, "perplexity")
