@@ -32,14 +32,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text
-from .common import fresh_path, open_fs
+from .common import fresh_path, held, open_fs, written
 
 #: Words in the lexicon, and bytes of the longest.
 LEXICON_WORDS, WORD_BYTES = 1 << 17, 64
 #: Bytes of text whose words are counted together.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: Bytes of text encoded together: the larger, the fewer distinct words are looked up.
-ENCODE_BYTES = 3 << 20
+ENCODE_BYTES = 1 << 20
 
 #: Unicode white space, and the pattern of the tokenizer's pieces.
 WHITE = r"\t-\r \x85\xa0  -     　"
@@ -343,21 +343,20 @@ class Encoder:
         return [raw[a : max(a, b - 1)] for a, b in zip(at, at[1:], strict=False)]
 
 
-_loaded: dict = {}
-
-
 def _vocabulary(path: str) -> Vocabulary:
-    if path not in _loaded:
-        _loaded[path] = Vocabulary(path)
-    return _loaded[path]
+    own = held("bpe")
+    if path not in own:
+        own[path] = Vocabulary(path)
+    return own[path]
 
 
 def _encoder(path: str, lexicon_uri: str) -> Encoder:
-    if (path, lexicon_uri) not in _loaded:
-        for k in [k for k in _loaded if isinstance(k, tuple)]:
-            del _loaded[k]
-        _loaded[path, lexicon_uri] = Encoder(_vocabulary(path), Lexicon.load(lexicon_uri))
-    return _loaded[path, lexicon_uri]
+    own = held("bpe")
+    if (path, lexicon_uri) not in own:
+        for k in [k for k in own if isinstance(k, tuple)]:
+            del own[k]
+        own[path, lexicon_uri] = Encoder(_vocabulary(path), Lexicon.load(lexicon_uri))
+    return own[path, lexicon_uri]
 
 
 def _count_words(path: str):
@@ -392,13 +391,28 @@ def fit_lexicon(docs: DataFrame, path: str, text_col: str = "text", size: int =
     """Count runs over all texts, compile the most frequent single pieces, and return the folder."""
     rows = docs.select(F.col(text_col).alias("text")).where("text is not null")
     counts = rows.mapInArrow(_count_words(path), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "word").limit(size).select("word").toArrow()["word"].to_pylist()
+    top = frequent(written(counts, "word-counts"), size)
     vocabulary = _vocabulary(path)
     words = [w for w in top if w not in vocabulary.special and PIECES.findall(w) == [w]]
     words += [p for w in top if w not in vocabulary.special for p in PIECES.findall(w)]
     return save_lexicon(docs.sparkSession, words, path)
 
 
+def frequent(counts: DataFrame, size: int) -> list[str]:
+    """At most size words of counts (word, n): all those of at least some number, by eighths of a power of two.
+
+    A few hundred sums settle that number, so no task ranks words.
+    """
+    level = F.floor(8 * F.log2("n")).cast("int")
+    words, least = 0, None
+    for r in counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
+        words += r["count"]
+        if words > size:
+            break
+        least = r["level"]
+    return [] if least is None else counts.where(level >= least).select("word").toArrow()["word"].to_pylist()
+
+
 def save_lexicon(spark: SparkSession, words: list[str], path: str) -> str:
     vocabulary, uri = _vocabulary(path), fresh_path(spark, "lexicon")
     Lexicon.build([w.encode() for w in words], vocabulary.merge_all).save(uri)
@@ -429,7 +443,7 @@ def encoded(path: str, lexicon_uri: str):
     @F.arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
         own = _encoder(path, lexicon_uri)
-        got = [own.encode(part) for part in text.chunks(texts)]
+        got = [own.encode(part) for part in text.chunks(texts, ENCODE_BYTES)]
         return pa.concat_arrays([pa.ListArray.from_arrays(b.astype(np.int32), pa.array(i, pa.int32())) for i, b in got] or [pa.array([], pa.list_(pa.int32()))])
 
     return encode
@@ -440,7 +454,8 @@ def decoded(path: str):
 
     @F.arrow_udf("string")
     def decode(ids: pa.Array) -> pa.Array:
-        own = _loaded.setdefault(("decoder", path), Encoder(_vocabulary(path), Lexicon.build([], _vocabulary(path).merge_all)))
+        kept = held("bpe")
+        own = kept.get(("decoder", path)) or kept.setdefault(("decoder", path), Encoder(_vocabulary(path), Lexicon.build([], _vocabulary(path).merge_all)))
         return pa.array([None if x is None else own.decode(np.array(x, np.int64), np.array([0, len(x)]))[0] for x in ids.to_pylist()], pa.string())
 
     return decode

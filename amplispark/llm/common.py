@@ -12,10 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where it is unset (tests, one machine) a local one is made and set.
+    Only where it is unset the folder of setCheckpointDir counts, or, on a local
+    master (tests), one is made and set; on a cluster nobody would share that.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="amplispark-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -45,6 +48,16 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+_held: dict[str, dict] = {}
+
+
+def held(owner: str) -> dict:
+    """What a worker keeps between batches for one operator; that of all others goes, as workers live on from stage to stage."""
+    for name in [n for n in _held if n != owner]:
+        del _held[name]
+    return _held.setdefault(owner, {})
+
+
 def open_fs(uri: str) -> tuple[fs.FileSystem, str]:
     """File system and path of a URI, for workers that read or write shared files themselves."""
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")

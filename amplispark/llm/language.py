@@ -8,7 +8,7 @@ doesn't depend on the rows, and it is broadcast.
 
 Nulls and edge cases: a null text, or one without a letter, is `und` with score
 0. Rows with a null language are not learned from. A null doc_id is not held
-out. If nothing can be learned, all is `und`. Repeated rows and ties are
+out. More than MOST_LANGUAGES values of the language are an error. If nothing can be learned, all is `und`. Repeated rows and ties are
 handled alike: a tie goes to the language that sorts first. Other columns are
 ignored.
 """
@@ -25,6 +25,10 @@ from pyspark.sql import functions as F
 
 from . import text
 
+#: Languages at most: the matrix of BUCKETS rows by languages is broadcast.
+MOST_LANGUAGES = 500
+#: Characters whose n-grams a worker holds at once.
+SLICE_CHARACTERS = 1 << 16
 ORDERS = (1, 2, 3, 4)
 BUCKETS = 1 << 15
 SMOOTHING = 0.5
@@ -56,6 +60,14 @@ def ngrams(words: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out)[order], np.searchsorted(of[order], np.arange(len(size) + 1))
 
 
+def _slices(words: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """Consecutive slices of words of about SLICE_CHARACTERS, and where they begin."""
+    at = 0
+    for part in text.chunks(words, SLICE_CHARACTERS):
+        yield at, part
+        at += len(part)
+
+
 def _counted(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -68,8 +80,10 @@ def _counted(buckets: int):
                     if not len(coded):
                         continue
                     seen = np.bincount(coded.indices.to_numpy(), minlength=len(coded.dictionary))
-                    grams, bounds = ngrams(coded.dictionary, buckets)
-                    mine += np.bincount(grams, np.repeat(seen, np.diff(bounds)), buckets).astype(np.int64)
+                    for at, some in _slices(coded.dictionary):
+                        grams, bounds = ngrams(some, buckets)
+                        mine += np.bincount(grams, np.repeat(seen[at : at + len(some)], np.diff(bounds)), buckets).astype(np.int64)
+            text.release()
         for lang, counts in total.items():
             at = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(counts[at])], ["lang", "bucket", "n"])
@@ -81,9 +95,11 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", buckets
     """Languages, and the matrix (buckets + 1, languages) of log probabilities, the last row the log priors."""
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = known.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    rows_of = {x["lang"]: x["count"] for x in rows.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
+    if len(rows_of) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} different values of {lang_col}")
     counts = rows.mapInArrow(_counted(buckets), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    got = counts.toArrow()
-    rows_of = {x["lang"]: x["count"] for x in rows.groupBy("lang").count().collect()}
+    got = counts.toArrow()  # at most buckets times MOST_LANGUAGES rows
     langs = sorted(rows_of)
     model = np.full((buckets + 1, len(langs)), SMOOTHING)
     place = {x: i for i, x in enumerate(langs)}
@@ -103,8 +119,11 @@ def scores(texts: pa.Array, model: np.ndarray) -> np.ndarray:
             out.append(np.zeros((len(part), model.shape[1])))
             continue
         coded = found.dictionary_encode()
-        grams, at = ngrams(coded.dictionary, len(model) - 1)
-        of_word = text.sums(model[grams].astype(np.float64), at)
+        of_word = []
+        for _, some in _slices(coded.dictionary):
+            grams, at = ngrams(some, len(model) - 1)
+            of_word.append(text.sums(model[grams].astype(np.float64), at))
+        of_word = np.concatenate(of_word)
         out.append(text.sums(of_word[coded.indices.to_numpy()], bounds))
     return np.concatenate(out) + model[-1]
 

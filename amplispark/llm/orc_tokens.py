@@ -7,12 +7,13 @@ has the number of ids before it in its file; with the files' sums, which are
 one number a file, that gives the place of every document in the whole.
 
 Nulls and edge cases: a null text is like an empty one and has the end id only.
-Null ids come first. Rows of equal ids are ordered by their text; equal rows
-stay. Other columns are ignored; an empty table gives an empty result.
+Null ids come first. Rows of equal ids are ordered by a hash of their text;
+equal rows stay. Other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -25,9 +26,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import text
-from .common import fresh_path
+from .common import fresh_path, held
 
 END_ID = 2
+BROADCAST_FILES = 200_000
 STRIPE_BYTES, INDEX_ROWS = 16 << 20, 1000
 #: Words that a worker remembers with their ids.
 REMEMBERED = 500_000
@@ -97,12 +99,10 @@ class WordEncoder:
         return out, np.concatenate([[0], ends + 1])
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _encoders.get(path) or _encoders.setdefault(path, WordEncoder(path))
+        kept = held("orc_tokens")
+        own = kept.get(path) or kept.setdefault(path, WordEncoder(path))
         before = 0
         for batch in batches:
             at = 0
@@ -120,8 +120,8 @@ def _encode(path: str):
 def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> None:
     """Encode every text and write (doc_id, before, ids) as ORC in ascending order of the id."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    parts = parts or max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    order = F.col("doc_id"), F.xxhash64("text"), F.col("text")  # many rows of one id, or of none, go to several files
+    rows = (rows.repartitionByRange(parts, *order[:2]) if parts else rows.repartitionByRange(*order[:2])).sortWithinPartitions(*order)
     ids = rows.mapInArrow(_encode(tokenizer_path), "doc_id long, before long, ids array<int>")
     options = {"compression": "zstd", "orc.create.index": "true", "orc.row.index.stride": str(INDEX_ROWS), "orc.stripe.size": str(STRIPE_BYTES), "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01"}
     ids.write.options(**options).orc(path)
@@ -141,8 +141,9 @@ def ids_crc32(ids: pa.Array) -> pa.Array:
 
 
 def file_starts(tokens: DataFrame) -> DataFrame:
-    """(file, base): the number of ids in the files before. One row a file is gathered."""
-    sums = sorted(tuple(x) for x in tokens.groupBy("file").agg(F.sum(F.size("ids")).alias("n")).collect())
+    """(file, base): the number of ids in the files before, which go by their number. One row a file is gathered."""
+    number = lambda name: int(re.match(r"part-(\d+)", name)[1])
+    sums = sorted((tuple(x) for x in tokens.groupBy("file").agg(F.sum(F.size("ids")).alias("n")).collect()), key=lambda x: (number(x[0]), x[0]))
     base, rows = 0, []
     for name, n in sums:
         rows.append((name, base))
@@ -155,5 +156,8 @@ def token_table(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", te
     path = path or fresh_path(docs.sparkSession, "tokens")
     write_tokens(docs, tokenizer_path, path, id_col, text_col)
     tokens = read_tokens(docs.sparkSession, path)
-    got = tokens.join(F.broadcast(file_starts(tokens)), "file")
+    starts = file_starts(tokens)
+    if starts.count() <= BROADCAST_FILES:
+        starts = F.broadcast(starts)
+    got = tokens.join(starts, "file")
     return got.select("doc_id", (F.col("base") + F.col("before")).alias("start"), F.size("ids").cast("long").alias("n_tokens"), ids_crc32("ids").alias("ids_crc32"))

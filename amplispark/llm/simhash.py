@@ -21,6 +21,7 @@ an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import text
-from .common import fresh, written
+from .common import fresh, held, written
 
 SHINGLE_WORDS, SEED, MAX_BITS = 3, 42, 2
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
@@ -98,9 +99,7 @@ def fingerprint(texts: pa.Array) -> pa.Array:
 
 def _golay() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """By syndrome: the nearest error pattern, then all patterns of up to four bits and where they start."""
-    v = np.arange(1 << 23, dtype=np.int32)
-    weight = np.bitwise_count(v)
-    low = v[weight <= 4]
+    low = np.array([sum(1 << b for b in bits) for n in range(5) for bits in combinations(range(23), n)], np.int32)
     low = low[np.lexsort((low, np.bitwise_count(low)))]
     s = syndrome(low)
     order = np.argsort(s, kind="stable")
@@ -116,14 +115,12 @@ def syndrome(v: np.ndarray) -> np.ndarray:
     return v
 
 
-_tables: list = []
-
-
 def keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows (position in fps, key, whether it is the key under which the fingerprint is filed)."""
-    if not _tables:
-        _tables.append(_golay())
-    nearest, patterns, starts = _tables[0]
+    own = held("simhash")
+    if not own:
+        own["golay"] = _golay()
+    nearest, patterns, starts = own["golay"]
     parts = [((fps >> np.uint64(at)) & np.uint64((1 << bits) - 1)).astype(np.int64) for at, bits in SEGMENTS]
     n = np.arange(len(fps))
     rows, found, filed = [], [], []
@@ -147,10 +144,11 @@ def keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         fps = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        for i in range(0, len(fps), 20_000):
-            part = fps[i : i + 20_000]
+        for i in range(0, len(fps), 5_000):
+            part = fps[i : i + 5_000]
             at, key, filed = keys(part.view(np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(part[at]), pa.array(filed)], ["key", "fp", "filed"])
+        text.release()
 
 
 def links(fps: DataFrame) -> DataFrame:
