@@ -39,7 +39,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     got = written(docs.withColumn(name, language.predictor(langs, model, docs)("text")), "languages")
     learned = got.where(~language.held_out() & (F.col("lang") == F.col(f"{name}.lang")))
     least = F.lit(None).cast("double")
-    for r in learned.groupBy("lang").agg(F.percentile(f"{name}.fit", F.lit(LANGUAGE_FIT)).alias("least")).collect():
+    for r in learned.groupBy("lang").agg(F.percentile_approx(f"{name}.fit", LANGUAGE_FIT, quality.ACCURACY).alias("least")).collect():
         least = F.when(F.col(f"{name}.lang") == r["lang"], r["least"]).otherwise(least)
     fits = F.coalesce(F.col(f"{name}.fit") >= least, F.lit(False))
     return got.where((F.col(f"{name}.lang") != "und") & (F.col(f"{name}.score") >= MIN_LANGUAGE_SCORE) & fits).drop(name)
