@@ -36,9 +36,9 @@ from .common import fresh, fresh_path, held, open_fs, written
 
 #: Bytes of an n-gram, and bits for each: 0 is the padding before a text, a byte counts from 1.
 ORDER, BITS = 6, 9
-BLOCK_BYTES, CHUNK_BYTES = 16 << 20, 512 << 10
+BLOCK_BYTES, CHUNK_BYTES, GROUP_BYTES = 16 << 20, 512 << 10, 8 << 20
 #: n-grams in a shard, about, and in the shards that a worker keeps at once.
-SHARD_ROWS, KEPT_ROWS = 400_000, 2_000_000
+SHARD_ROWS, KEPT_ROWS = 400_000, 4_000_000
 #: Trusted ids that are broadcast at most; more of them are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 HIGH = 0.99
@@ -90,7 +90,7 @@ def train(texts: DataFrame, text_col: str = "text") -> str:
     for n in range(ORDER - 1, 0, -1):  # continuation counts: distinct bytes before
         by_order[n] = written(by_order[n + 1].groupBy(F.col("key").bitwiseAND((1 << (BITS * n)) - 1).alias("key")).agg(F.count("*").alias("a")), "ngrams")
     uri = fresh_path(texts.sparkSession, "kneser-ney")
-    meta = {"shards": {}, "unknown": 0.0, "rows": 0}
+    meta = {"shards": {}, "unknown": 0.0}
     lower = None
     for n in range(1, ORDER + 1):
         own = by_order[n].withColumn("context", F.shiftright("key", BITS) if n > 1 else F.lit(0).cast("long"))
@@ -113,7 +113,6 @@ def train(texts: DataFrame, text_col: str = "text") -> str:
         lower = written(p.select("key", "p", "context", "gamma"), "smoothed")
         shards = max(1, -(-c[4] // SHARD_ROWS))
         meta["shards"][str(n)] = shards
-        meta["rows"] += 2 * c[4]
         for kind, table in (("p", lower.select("key", F.log("p").cast("float").alias("value"))), ("g", lower.select(F.col("context").alias("key"), F.log("gamma").cast("float").alias("value")).distinct())):
             table.withColumn("shard", F.pmod("key", F.lit(shards))).repartition(shards, "shard").sortWithinPartitions("shard", "key").write.partitionBy("shard").parquet(f"{uri}/{kind}{n}")
     where, path = open_fs(uri)
@@ -201,21 +200,28 @@ def pieces(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 def perplexities(texts: pa.Array, model: Model) -> np.ndarray:
     """Perplexity by byte of each text, NaN if it is empty.
 
-    A model that a worker can't keep whole is read through once for all of texts, instead of once a piece.
+    The distinct n-grams of about GROUP_BYTES are looked up together and in order.
     """
     total, n = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
-    known = None
-    if model.meta["rows"] > KEPT_ROWS:
-        known = np.unique(np.concatenate([np.zeros(0, np.int64), *(np.unique(keys) for _, keys, _ in pieces(texts))]))
-        known_logs = model.log_p(known)
+    held, size = [], 0
+
+    def add() -> None:
+        known = np.unique(np.concatenate([np.zeros(0, np.int64), *(x[1] for x in held)]))
+        logs = model.log_p(known)
+        for at, keys, codes, bounds in held:
+            own = logs[np.searchsorted(known, keys)]
+            total[at : at + len(bounds) - 1] += text.sums(own[codes], bounds)
+            n[at : at + len(bounds) - 1] += np.diff(bounds)
+        held.clear()
+
     for at, keys, bounds in pieces(texts):
-        if known is None:
-            coded = pa.array(keys).dictionary_encode()
-            logs = model.log_p(coded.dictionary.to_numpy())[coded.indices.to_numpy()]
-        else:
-            logs = known_logs[np.searchsorted(known, keys)]
-        total[at : at + len(bounds) - 1] += text.sums(logs, bounds)
-        n[at : at + len(bounds) - 1] += np.diff(bounds)
+        coded = pa.array(keys).dictionary_encode()
+        held.append((at, coded.dictionary.to_numpy(), coded.indices.to_numpy(), bounds))
+        size += len(keys)
+        if size >= GROUP_BYTES:
+            add()
+            size = 0
+    add()
     return np.where(n > 0, np.exp(-total / np.maximum(n, 1)), np.nan)
 
 
