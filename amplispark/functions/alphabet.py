@@ -51,6 +51,27 @@ def validated(raw: Column) -> Column:
     return F.when(seq.rlike(f"^[{LETTERS}]+$"), seq).otherwise(F.raise_error(F.concat(F.lit("no IUPAC nucleotide sequence: "), raw)))
 
 
+def matches(p: str, g: str) -> bool:
+    """Whether two IUPAC letters, of either case, have a base in common; letters outside the alphabet match nothing."""
+    return bool(MASK.get(p.upper(), 0) & MASK.get(g.upper(), 0))
+
+
+def matches_letters(p: Column, g: Column) -> Column:
+    """The same for columns of single letters."""
+    table = F.create_map(*[F.lit(x) for c, m in MASK.items() for x in (c, m)])
+    return F.coalesce(table[F.upper(p)].bitwiseAND(table[F.upper(g)]) != 0, F.lit(False))
+
+
+def slices(seq: Column, starts: Column, size: int) -> Column:
+    """array of struct(at, seq): size bytes from each start.
+
+    Bytes are cut, not letters of a string, which would be counted from its
+    beginning for each cut; the record is bound once, so it isn't converted again.
+    """
+    cut = lambda r: F.transform(starts, lambda at: F.struct(at.alias("at"), F.substring(r, (at + 1).cast("int"), F.lit(size)).alias("seq")))
+    return F.flatten(F.transform(F.array(seq.cast("binary")), cut))
+
+
 def gc_fraction(seq: Column) -> Column:
     return F.when(F.length(seq) > 0, F.length(F.regexp_replace(seq, "[^GC]", "")) / F.length(seq)).otherwise(0.0)
 

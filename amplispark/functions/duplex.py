@@ -29,6 +29,7 @@ INTERNAL = {
     "T": {"AA": 0.69, "AC": 0.92, "AG": 0.42, "CA": 1.33, "CC": 1.05, "CT": 0.97, "GA": 0.74, "GG": 0.44, "GT": 0.43, "TC": 0.75, "TG": 0.34, "TT": 0.68},
 }
 #: Cost (kcal/mol) of a mismatch of primer and target base where its neighbours aren't matched pairs.
+#: It holds whatever the neighbours are: neighbours only change the cost of a base that isn't known.
 PAIR = {
     "GT": 0.60, "TG": 0.60, "AG": 0.85, "GA": 0.85, "CT": 0.85, "TC": 0.85, "AC": 1.10, "CA": 1.10,
     "AA": 1.40, "CC": 1.40, "GG": 1.40, "TT": 1.40,
@@ -40,6 +41,8 @@ DANGLING_3 = {"A": (-0.12, 0.28, -0.01, 0.13), "C": (-0.82, -0.31, -0.01, -0.52)
 PARTNER = {"A": "T", "C": "G", "G": "C", "T": "A"}
 #: What a mismatch with an unknown base costs, and how much less among mostly G and C.
 UNKNOWN, UNKNOWN_IN_GC = 1.0, 0.05
+#: Degrees that any mismatch costs where no denominator is known.
+NO_DENOMINATOR_C = 4.0
 #: Bases at either end whose mismatches weigh more, the weights, and what the very last base adds in degrees.
 END, WEIGHT_5, WEIGHT_3, LAST_5, LAST_3 = 3, 1.5, 2.0, 0.5, 1.5
 
@@ -91,6 +94,11 @@ def mismatch_costs(primer: Column, target: Column) -> Column:
     return F.transform(wrong, one)
 
 
+def in_degrees(cost: Column, denominator: Column | float) -> Column:
+    d = denominator if isinstance(denominator, Column) else F.lit(denominator)
+    return F.when(d <= 0, NO_DENOMINATOR_C).otherwise(cost * 1000 / d)
+
+
 def imperfect(rows: DataFrame, primer: str, target: str, prefix: str, c: Conditions = Conditions(), beside_3: str = "", beside_5: str = "") -> DataFrame:
     """rows and, under the prefix, tm, margin, dg, denominator, mismatches, penalty, dangling_dg and policy.
 
@@ -108,7 +116,7 @@ def imperfect(rows: DataFrame, primer: str, target: str, prefix: str, c: Conditi
     n = F.length(col("p"))
     weight = lambda i: F.when(i >= n - END, WEIGHT_3).when(i < END, WEIGHT_5).otherwise(1.0)
     last = lambda i: F.when(i == n - 1, LAST_3).when(i == 0, LAST_5).otherwise(0.0)
-    degrees = F.transform(col("bad"), lambda m: F.greatest(F.lit(0.0), m["cost"] * 1000 / col("denominator") * weight(m["i"]) + last(m["i"])))
+    degrees = F.transform(col("bad"), lambda m: F.greatest(F.lit(0.0), in_degrees(m["cost"], col("denominator")) * weight(m["i"]) + last(m["i"])))
     end = F.lit(0.0)
     for beside, table, at in ((beside_3, DANGLING_5, F.length(col("t"))), (beside_5, DANGLING_3, F.lit(1))):
         if beside:
@@ -132,7 +140,7 @@ def old_penalty(primer: Column, target: Column, denominator: Column | float = 20
     """The older model's penalty in degrees without gaps: weighted mismatches, 0 at least; 0 where the primer isn't of plain bases."""
     n = F.length(primer)
     weight = lambda i: F.when(i >= n - END, WEIGHT_3).when(i < END, WEIGHT_5).otherwise(1.0)
-    costs = F.transform(mismatch_costs(primer, target), lambda m: m["cost"] * 1000 / denominator * weight(m["i"]))
+    costs = F.transform(mismatch_costs(primer, target), lambda m: in_degrees(m["cost"], denominator) * weight(m["i"]))
     total = F.aggregate(costs, F.lit(0.0), lambda a, x: a + x)
     return F.when(primer.rlike("^[ACGT]+$") & (F.length(primer) == F.length(target)), F.greatest(F.lit(0.0), total)).otherwise(0.0)
 

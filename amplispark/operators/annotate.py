@@ -2,42 +2,82 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.alphabet import MASK, normalized, reverse_complement
+from .hits import GENOME
 from .panel import Pair
 from .products import amplicons
 
 
+#: Bases that are compared with a probe at once; a longer amplicon is taken whole.
+PROBE_BASES = 1 << 20
+PROBE_SCHEMA = "mm int, pos int, strand string, site string"
+
+
+def _parts(size: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Spans of consecutive rows of about PROBE_BASES."""
+    ends, start = np.cumsum(size), 0
+    while start < len(size):
+        stop = max(start + 1, int(np.searchsorted(ends, ends[start] - size[start] + PROBE_BASES, "right")))
+        yield start, stop
+        start = stop
+
+
+def _best_places(texts: list[bytes], probe: str, max_mm: int) -> list[tuple[int, int, int] | None]:
+    """(mismatches, place, strand) of the best place in each text."""
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    base, n = GENOME[np.frombuffer(b"".join(texts), np.uint8)], len(probe)
+    ends = np.cumsum(size)
+    count = len(base) - n + 1
+    plus_first = max_mm == 0 and not set(probe) - set("ACGT")
+    best = np.full(len(texts), np.iinfo(np.int64).max)
+    if count > 0:
+        row = np.repeat(np.arange(len(texts)), size)[:count]
+        at = np.arange(count)
+        place = at - (ends - size)[row]
+        fits = ends[row] - at >= n
+        for strand, pattern in enumerate((probe, reverse_complement(probe))):
+            mm = np.zeros(count, np.int64)
+            for j, c in enumerate(pattern):
+                mm += (base[j : j + count] & MASK[c]) == 0
+            ok = np.flatnonzero(fits & (mm <= max_mm))
+            rank = (mm[ok] << 48) | (strand << 47 | place[ok] if plus_first else place[ok] << 1 | strand)
+            np.minimum.at(best, row[ok], rank)
+    out = []
+    for x in best.tolist():
+        low = x & ((1 << 48) - 1)
+        place, strand = (low & ((1 << 47) - 1), low >> 47) if plus_first else (low >> 1, low & 1)
+        out.append(None if x == np.iinfo(np.int64).max else (x >> 48, place, strand))
+    return out
+
+
 def probe_hit(seq: Column, probe: str, max_mm: int = 0) -> Column:
-    """struct(mm, pos, strand, site) of the best place of the probe in seq, or null.
+    """struct(mm, pos, strand, site) of the best place of the probe in seq, or null; scanned in Arrow batches.
 
     An exact probe of plain bases prefers the plus strand, wherever it is;
     otherwise fewest mismatches, then leftmost, then plus.
     """
     probe = normalized(probe)
-    n = len(probe)
-    plain = not set(probe) - set("ACGT")
-
-    def places(pattern: str, strand: int) -> Column:
-        def at(pos: Column) -> Column:
-            wrong = [F.when(F.substring(seq, pos + j + 1, F.lit(1)).isin(*[b for b in "ACGT" if MASK[b] & MASK[c]]), 0).otherwise(1) for j, c in enumerate(pattern)]
-            mm = wrong[0]
-            for w in wrong[1:]:
-                mm = mm + w
-            return F.struct(mm.alias("mm"), (F.lit(strand) if max_mm == 0 and plain else F.lit(0)).alias("first"), pos.alias("pos"), F.lit(strand).alias("strand"))
 
-        steps = F.when(F.length(seq) >= n, F.sequence(F.lit(0), F.length(seq) - n)).otherwise(F.array().cast("array<int>"))
-        return F.filter(F.transform(steps, at), lambda x: x["mm"] <= max_mm)
+    @F.arrow_udf(PROBE_SCHEMA)
+    def best(seqs: pa.Array) -> pa.Array:
+        texts = [b"" if x is None else x.encode() for x in seqs.to_pylist()]
+        found = [x for a, b in _parts(np.array(list(map(len, texts)), np.int64)) for x in _best_places(texts[a:b], probe, max_mm)]
+        rows = [None if x is None else {"mm": x[0], "pos": x[1], "strand": "+-"[x[2]], "site": t[x[1] : x[1] + len(probe)].decode()} for t, x in zip(texts, found, strict=True)]
+        return pa.array(rows, pa.struct([("mm", pa.int32()), ("pos", pa.int32()), ("strand", pa.string()), ("site", pa.string())]))
 
-    best = F.array_min(F.concat(places(probe, 0), places(reverse_complement(probe), 1)))
-    return F.when(best.isNotNull(), F.struct(best["mm"].alias("mm"), best["pos"].alias("pos"), F.when(best["strand"] == 0, "+").otherwise("-").alias("strand"), F.substring(seq, best["pos"] + 1, F.lit(n)).alias("site")))
+    return best(seq)
 
 
 def with_probe(rows: DataFrame, name: str, probe: str, max_mm: int = 0, require: bool = False) -> DataFrame:
     """rows (with seq) and the probe's columns; with require only those where it is found."""
-    got = rows.withColumn("probe", F.explode(F.array(probe_hit(F.col("seq"), probe, max_mm))))
+    got = rows.withColumn("probe", probe_hit(F.col("seq"), probe, max_mm))
     got = got.select(*rows.columns, F.lit(name).alias("probe_name"), F.lit(normalized(probe)).alias("probe_seq"), F.col("probe").isNotNull().alias("probe_found"), F.col("probe.strand").alias("probe_strand"), F.col("probe.pos").alias("probe_pos"), F.col("probe.mm").alias("probe_mm"), F.col("probe.site").alias("probe_site"))
     return got.where("probe_found") if require else got
 
@@ -45,8 +85,8 @@ def with_probe(rows: DataFrame, name: str, probe: str, max_mm: int = 0, require:
 def with_nested(rows: DataFrame, inner: list[Pair], max_mm: int = 0, window: int = 0, min_length: int = 0, max_length: int = 0, require: bool = False) -> DataFrame:
     """rows (with seq) and their best inner amplicon: fewest mismatches, longest, leftmost."""
     key = F.sha2(F.col("seq"), 256)
-    templates = rows.select(key.alias("record"), "seq").distinct()
-    found = amplicons(templates, inner, max_mm, window, min_length, max_length)
+    templates = rows.select(key.alias("record"), "seq").dropDuplicates(["record"])
+    found = amplicons(templates, inner, max_mm, window, min_length, max_length)  # unbounded by default, as its record is an amplicon
     order = [F.col("fwd_mm") + F.col("rev_mm"), F.desc("length"), F.col("start"), F.col("end"), F.col("experiment_id"), F.col("type")]
     best = found.withColumn("n", F.row_number().over(Window.partitionBy("record").orderBy(*order))).where("n = 1")
     best = best.select(F.col("record").alias("inner_of"), F.col("experiment_id").alias("inner_experiment_id"), F.col("start").alias("inner_start"), F.col("end").alias("inner_end"), F.col("length").alias("inner_length"), F.col("type").alias("inner_type"), F.col("fwd_mm").alias("inner_fwd_mm"), F.col("rev_mm").alias("inner_rev_mm"))

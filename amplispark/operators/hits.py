@@ -9,18 +9,20 @@ needs less one; a block owns the sites that begin in it, so each is found once.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.alphabet import MASK
+from ..functions.alphabet import BASES, MASK, slices
 from .panel import Pair, orientations
 
 BLOCK_BASES, SCAN_BASES = 1 << 20, 2 << 20
-#: Bases of a block, and k-mers of a seed at most, in the seed join.
-SEED_BASES, MOST_KMERS = 1024, 50_000
+#: Bases of a block in the seed join, k-mers of a seed at most, and of all seeds that are broadcast.
+SEED_BASES, MOST_KMERS, BROADCAST_KMERS = 4096, 50_000, 500_000
 SCHEMA = "record string, len long, pair_ord int, orient string, pos long, mm int, mm_idx array<int>"
 
 GENOME = np.zeros(256, np.uint8)
@@ -29,11 +31,11 @@ for _c in "ACGT":
 
 
 def blocks(records: DataFrame, overlap: int, size: int = BLOCK_BASES) -> DataFrame:
-    """(record, seq) cut into (record, len, at, owned, seq)."""
-    rows = records.select("record", "seq", F.length("seq").cast("long").alias("len")).where("len > 0")
-    rows = rows.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("len") - 1, F.lit(size).cast("long"))))
-    part = F.substring("seq", (F.col("at") + 1).cast("int"), F.lit(size + overlap))
-    return rows.select("record", "len", "at", F.least(F.lit(size).cast("long"), F.col("len") - F.col("at")).alias("owned"), part.alias("seq"))
+    """(record, seq) cut into (record, len, at, owned, seq), seq in bytes."""
+    rows = records.select("record", "seq", F.octet_length("seq").cast("long").alias("len")).where("len > 0")
+    starts = F.sequence(F.lit(0).cast("long"), F.col("len") - 1, F.lit(size).cast("long"))
+    rows = rows.select("record", "len", F.inline(slices(F.col("seq"), starts, size + overlap)))
+    return rows.select("record", "len", "at", F.least(F.lit(size).cast("long"), F.col("len") - F.col("at")).alias("owned"), "seq")
 
 
 def _patterns(pairs: list[Pair], max_mm: int, window: int, orients: str = "ABab") -> list[tuple[int, str, np.ndarray, int, int]]:
@@ -50,21 +52,21 @@ def _patterns(pairs: list[Pair], max_mm: int, window: int, orients: str = "ABab"
     return out
 
 
-def _scan(patterns, max_mm: int):
+def _scan(patterns, max_mm: int, cap: int = 0):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size = np.array([len(x) for x in batch.column(4).to_pylist()])
+            size = pc.binary_length(batch.column(4)).to_numpy()
             start = 0
             while start < batch.num_rows:
                 stop = max(start + 1, int(np.searchsorted(np.cumsum(size[start:]), SCAN_BASES, "right")) + start)
-                yield from _rows(batch.slice(start, stop - start), patterns, max_mm)
+                yield from _rows(batch.slice(start, stop - start), patterns, max_mm, cap)
                 start = stop
 
     return run
 
 
-def _rows(batch: pa.RecordBatch, patterns, max_mm: int) -> Iterator[pa.RecordBatch]:
-    texts = [x.encode() for x in batch.column(4).to_pylist()]
+def _rows(batch: pa.RecordBatch, patterns, max_mm: int, cap: int = 0) -> Iterator[pa.RecordBatch]:
+    texts = batch.column(4).to_pylist()
     size = np.array([len(x) for x in texts])
     ends = np.cumsum(size)
     base = GENOME[np.frombuffer(b"".join(texts), np.uint8)]
@@ -87,9 +89,13 @@ def _rows(batch: pa.RecordBatch, patterns, max_mm: int) -> Iterator[pa.RecordBat
         mm = bad.sum(1)
         keep = mm <= max_mm
         places, bad, mm = places[keep], bad[keep], mm[keep]
+        of = row[places]
+        if cap:  # a record's leftmost sites are among its blocks' leftmost ones
+            first = np.searchsorted(of, of)
+            keep = np.arange(len(of)) - first < cap
+            places, bad, mm, of = places[keep], bad[keep], mm[keep], of[keep]
         if not len(places):
             continue
-        of = row[places]
         idx = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(mm)]), pa.int32()), pa.array(np.nonzero(bad)[1], pa.int32()))
         pos = places - (ends - size)[of] + at[of]
         take = pa.array(of)
@@ -109,45 +115,79 @@ def hits(records: DataFrame, pairs: list[Pair], max_mm: int = 0, window: int = 0
     if max_mm < 0 or window < 0 or cap < 0:
         raise ValueError("mismatches, window and cap can't be negative")
     overlap = max((max(len(p.forward), len(p.reverse)) for p in pairs), default=1) - 1
-    found = blocks(records, overlap).select("record", "len", "at", "owned", "seq").mapInArrow(_scan(_patterns(pairs, max_mm, window, orients), max_mm), SCHEMA)
+    found = blocks(records, overlap).select("record", "len", "at", "owned", "seq").mapInArrow(_scan(_patterns(pairs, max_mm, window, orients), max_mm, cap), SCHEMA)
     if cap:
         rank = F.row_number().over(Window.partitionBy("record", "pair_ord", "orient").orderBy("pos"))
         found = found.withColumn("rank", rank).where(F.col("rank") <= cap).drop("rank")
     return found
 
 
-def _seed_kmers(letters: str) -> list[str]:
-    """Plain k-mers of a seed; none where there is no seed, or it stands for too many."""
-    kmers = [""] if letters else []
-    for c in letters:
-        kmers = [x + b for x in kmers for b in "ACGT" if MASK[b] & MASK[c]]
-        if len(kmers) > MOST_KMERS:
-            return []
-    return kmers
+def seed_size(seq: str, protected: range, off: int, k: int, max_mm: int) -> int:
+    """Number of k-mers over A, C, G, T and N within max_mm mismatches of the letters at off, none of them in protected places."""
+    by_mm = [1] + [0] * max_mm
+    for j in range(off, off + k):
+        fits = len(BASES[seq[j]])
+        other = 0 if j in protected else 5 - fits
+        by_mm = [by_mm[m] * fits + (by_mm[m - 1] * other if m else 0) for m in range(max_mm + 1)]
+    return sum(by_mm)
+
+
+def seed_place(seq: str, protected: range, max_mm: int, seed: int) -> tuple[int, int, int]:
+    """(number of k-mers, place, length) of the seed with fewest k-mers; of equal ones that with most protected places, then the first."""
+    k = min(seed, len(seq))
+    each = [(seed_size(seq, protected, off, k, max_mm), -len(set(range(off, off + k)) & set(protected)), off) for off in range(len(seq) - k + 1)]
+    size, _, off = min(each)
+    return size, off, k
 
 
-def seed_hits(records: DataFrame, seq: str, orient: str, max_mm: int = 0, window: int = 0, seed: int = 12) -> DataFrame:
-    """Sites of one pattern in DataFrame operations: the seed's k-mers are joined, then all letters verified.
+def seed_kmers(seq: str, protected: range, off: int, k: int, max_mm: int) -> list[str]:
+    """The k-mers that seed_size() counts."""
+    found = [("", 0)]
+    for j in range(off, off + k):
+        fits, free = BASES[seq[j]], j not in protected
+        found = [(kmer + b, mm + (b not in fits)) for kmer, mm in found for b in "ACGTN" if b in fits or (free and mm < max_mm)]
+    return [kmer for kmer, _ in found]
 
-    The seed is the run of letters at the protected end; with mismatches allowed
-    outside the protected window, only that window is a seed. Where that leaves no
-    exact seed, or one of too many k-mers, the orientation is scanned as in hits().
+
+def seed_hits(records: DataFrame, pairs: list[Pair], max_mm: int = 0, window: int = 0, seed: int = 12, orients: str = "ABab") -> DataFrame:
+    """The sites that hits() finds, in DataFrame operations: one join of all places with the seeds of the whole panel.
+
+    Each orientation has one seed of at most `seed` letters, where it stands for
+    fewest k-mers, with all k-mers within max_mm mismatches of it. Its places are
+    verified letter by letter. An orientation whose seed stands for more than
+    MOST_KMERS k-mers is scanned as in hits().
     """
-    n = len(seq)
-    k = min(seed, n) if max_mm == 0 else min(window, n, seed)
-    first = n - k if orient in "AB" else 0
-    kmers = _seed_kmers(seq[first : first + k])
-    w = min(window, n)
-    low, high = (n - w, n) if orient in "AB" else (0, w)
-    if not kmers:
-        pattern = (0, orient, np.array([MASK[c] for c in seq], np.uint8), low, high)
-        found = blocks(records, n - 1).select("record", "len", "at", "owned", "seq").mapInArrow(_scan([pattern], max_mm), SCHEMA)
-        return found.select("record", "pos", "mm_idx", "mm")
-    table = F.broadcast(records.sparkSession.createDataFrame([(x,) for x in kmers], "kmer string"))
-    # letters of a long string are slow to reach, so it is cut first
-    rows = blocks(records, n - 1, SEED_BASES).where(F.length("seq") >= n)
-    rows = rows.select("record", "at", "seq", F.explode(F.sequence(F.lit(0), F.least(F.col("owned").cast("int"), F.length("seq") - n + 1) - 1)).alias("off"))
-    rows = rows.withColumn("kmer", F.substring("seq", F.col("off") + first + 1, F.lit(k))).join(table, "kmer")
-    bad = F.filter(F.array(*[F.when(~F.substring("seq", F.col("off") + j + 1, F.lit(1)).isin(*[b for b in "ACGT" if MASK[b] & MASK[c]]), j) for j, c in enumerate(seq)]), lambda x: x.isNotNull())
-    found = rows.select("record", (F.col("at") + F.col("off")).alias("pos"), bad.alias("mm_idx")).withColumn("mm", F.size("mm_idx")).where(F.col("mm") <= max_mm)
-    return found.where(~F.exists("mm_idx", lambda j: (j >= low) & (j < high)))
+    if max_mm < 0 or window < 0 or seed < 1:
+        raise ValueError("mismatches and window can't be negative, and a seed has a letter")
+    spark, kmers, scanned = records.sparkSession, {}, []
+    overlap = max((max(len(p.forward), len(p.reverse)) for p in pairs), default=1) - 1
+    for i, p in enumerate(pairs):
+        for name, seq in orientations(p).items():
+            if name not in orients:
+                continue
+            n = len(seq)
+            w = min(window, n)
+            protected = range(n - w, n) if name in "AB" else range(w)
+            size, off, k = seed_place(seq, protected, max_mm, seed)
+            if size > MOST_KMERS:
+                scanned.append((i, name))
+            else:
+                accepts = [BASES[c] for c in seq]
+                kmers.setdefault(k, []).extend((x, i, name, off, accepts, protected.start, protected.stop) for x in seed_kmers(seq, protected, off, k, max_mm))
+    got = [found.where((F.col("pair_ord") == i) & (F.col("orient") == name)) for i, name in scanned for found in [hits(records, pairs, max_mm, window, 0, name)]]
+    rows = blocks(records, overlap, SEED_BASES).withColumn("size", F.octet_length("seq"))
+    for k, seeds in sorted(kmers.items()):
+        table = spark.createDataFrame(seeds, "kmer string, pair_ord int, orient string, off int, accepts array<string>, low int, high int")
+        if len(seeds) <= BROADCAST_KMERS:
+            table = F.broadcast(table)
+        places = F.when(F.col("size") >= k, F.sequence(F.lit(0), F.col("size") - k)).otherwise(F.array().cast("array<int>"))
+        words = rows.select("record", "len", "at", "owned", "seq", "size", F.inline(slices(F.col("seq"), places, k)).alias("place", "kmer"))
+        near = words.withColumn("kmer", F.regexp_replace(F.col("kmer").cast("string"), "[^ACGT]", "N")).join(table, "kmer")
+        start, n = F.col("place") - F.col("off"), F.size("accepts")
+        near = near.where((start >= 0) & (start < F.col("owned")) & (start + n <= F.col("size")))
+        near = near.withColumn("site", F.substring(F.col("seq"), start + 1, n).cast("string"))
+        bad = F.filter(F.sequence(F.lit(0), n - 1), lambda j: ~F.contains(F.get("accepts", j), F.substring(F.col("site"), j + 1, F.lit(1))))
+        near = near.select("record", "len", "pair_ord", "orient", (F.col("at") + start).alias("pos"), "low", "high", bad.alias("mm_idx"))
+        near = near.where((F.size("mm_idx") <= max_mm) & ~F.exists("mm_idx", lambda j: (j >= F.col("low")) & (j < F.col("high"))))
+        got.append(near.select("record", "len", "pair_ord", "orient", "pos", F.size("mm_idx").alias("mm"), "mm_idx"))
+    return reduce(DataFrame.unionByName, got)

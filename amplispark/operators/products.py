@@ -5,19 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.alphabet import slices
+from ..session import cut, small
 from .hits import hits
 from .panel import Pair, panel_table
 
+#: Longest amplicon unless asked otherwise; 0 asks for any length, which joins all sites of a record and pair.
+MOST_LENGTH = 2000
+#: Bases of a block from which amplicons are cut, and of the next block that it holds as well.
+SEQUENCE_BLOCK, SEQUENCE_MORE = 1 << 16, 1 << 12
+KEY = ("record", "pair_ord", "start", "end", "type", "is_wrap")
 COLUMNS = ("record", "pair_ord", "experiment_id", "start", "end", "length", "type", "fwd_mm", "rev_mm", "fwd_mm_i", "rev_mm_i", "is_wrap")
 
 
-def products(found: DataFrame, pairs: list[Pair], min_length: int = 0, max_length: int = 0, circular: bool = False) -> DataFrame:
+def products(found: DataFrame, pairs: list[Pair], min_length: int = 0, max_length: int = MOST_LENGTH, circular: bool = False) -> DataFrame:
     """Amplicons of sites that are there already: see amplicons()."""
     orient = F.col("orient")
     return _joined(found.where(orient.isin("A", "B")), found.where(orient.isin("a", "b")), pairs, min_length, max_length, circular)
 
 
-def amplicons(records: DataFrame, pairs: list[Pair], max_mm: int = 0, window: int = 0, min_length: int = 0, max_length: int = 0, circular: bool = False, cap: int = 0, kinds: str = "forward revcomp") -> DataFrame:
+def amplicons(records: DataFrame, pairs: list[Pair], max_mm: int = 0, window: int = 0, min_length: int = 0, max_length: int = MOST_LENGTH, circular: bool = False, cap: int = 0, kinds: str = "forward revcomp") -> DataFrame:
     """Pairs of opposing sites in records (record, seq) as amplicons of the given kinds.
 
     The reverse site begins right of the forward site; on a circular record
@@ -38,7 +45,7 @@ def _joined(left: DataFrame, right: DataFrame, pairs: list[Pair], min_length: in
     kind = lambda name: F.when(F.col("orient") == name, "forward").otherwise("revcomp").alias("type")
     n = F.when(F.col("orient") == "b", F.length("rev")).otherwise(F.length("fwd")).cast("long").alias("n")
     lefts = left.select("record", "pair_ord", kind("A"), F.col("pos").alias("start"), F.col("mm").alias("fwd_mm"), F.col("mm_idx").alias("fi"))
-    rights = right.join(F.broadcast(bounds), "pair_ord").select("record", "pair_ord", kind("b"), "pair_id", "len", low.alias("low"), high.alias("high"), F.col("pos").alias("at"), n, F.col("mm").alias("rev_mm"), F.col("mm_idx").alias("ri"))
+    rights = right.join(small(bounds, len(pairs)), "pair_ord").select("record", "pair_ord", kind("b"), "pair_id", "len", low.alias("low"), high.alias("high"), F.col("pos").alias("at"), n, F.col("mm").alias("rev_mm"), F.col("mm_idx").alias("ri"))
     on = ["record", "pair_ord", "type"]
     wrap = F.col("at") < F.col("start")
     turn = F.lit(True)
@@ -68,18 +75,77 @@ def sequence_of(seq: Column) -> Column:
 
 
 def with_sequences(rows: DataFrame, records: DataFrame) -> DataFrame:
-    return rows.join(records.select("record", F.col("seq").alias("template")), "record").withColumn("seq", sequence_of(F.col("template"))).drop("template")
+    """rows with their bases, seq, cut from blocks of the records.
+
+    A block holds the first SEQUENCE_MORE bases of the next, so an amplicon of no
+    more is cut from the block it begins in; longer ones and those across the
+    origin are put together from the blocks they touch. No record is shuffled
+    whole, nor stands beside each of its amplicons.
+    """
+    size = SEQUENCE_BLOCK
+    starts = F.sequence(F.lit(0).cast("long"), F.octet_length("seq").cast("long") - 1, F.lit(size).cast("long"))
+    blocks = records.where("seq != ''").select(F.col("record").alias("of"), F.inline(slices(F.col("seq"), starts, size + SEQUENCE_MORE)))
+    blocks = blocks.select("of", F.floor(F.col("at") / size).alias("block"), F.col("seq").alias("raw"))
+    columns, short = rows.columns, ~F.col("is_wrap") & (F.col("length") <= SEQUENCE_MORE)
+    block = F.floor(F.col("start") / size)
+    whole = rows.where(short).join(blocks, (F.col("record") == F.col("of")) & (block == F.col("block")))
+    whole = whole.select(*columns, F.substring("raw", (F.col("start") - F.col("block") * size + 1).cast("int"), F.col("length").cast("int")).cast("string").alias("seq"))
+    end = F.col("start") + F.col("length")  # beyond the record's end where it wraps, which has length - end + start bases
+    length = F.when(F.col("is_wrap"), end - F.col("end"))
+    span = lambda lo, hi: F.struct(lo.cast("long").alias("lo"), hi.cast("long").alias("hi"))
+    spans = F.when(F.col("is_wrap"), F.array(span(F.col("start"), length), span(F.lit(0), F.col("end")))).otherwise(F.array(span(F.col("start"), end)))
+    parts = rows.where(~short).select(*columns, F.posexplode(spans).alias("n", "span")).where("span.hi > span.lo")
+    parts = parts.select(*columns, "n", "span", F.explode(F.sequence(F.floor(F.col("span.lo") / size), F.floor((F.col("span.hi") - 1) / size))).alias("part"))
+    low, high = F.greatest("span.lo", F.col("part") * size), F.least("span.hi", (F.col("part") + 1) * size)
+    parts = parts.join(blocks, (F.col("record") == F.col("of")) & (F.col("part") == F.col("block")))
+    piece = F.substring("raw", (low - F.col("part") * size + 1).cast("int"), (high - low).cast("int")).cast("string")
+    rest = [c for c in columns if c not in KEY]
+    grouped = parts.groupBy(*KEY).agg(F.first(F.struct(*rest)).alias("rest"), F.array_sort(F.collect_list(F.struct("n", "part", piece.alias("piece")))).alias("pieces"))
+    long = grouped.select(*[F.col(c) if c in KEY else F.col(f"rest.{c}").alias(c) for c in columns], F.array_join(F.transform("pieces", lambda x: x["piece"]), "").alias("seq"))
+    return whole.unionByName(long)
 
 
 def deduplicated(rows: DataFrame) -> DataFrame:
-    """One row for each amplicon, as overlapping chunks would give several."""
-    return rows.dropDuplicates(["record", "pair_ord", "start", "end", "type", "is_wrap"])
+    """One row for each amplicon, as overlapping chunks would give several; files are told apart where rows name them."""
+    return rows.dropDuplicates([*(c for c in ("source_file",) if c in rows.columns), *KEY])
+
+
+def coordinate_order(rows: DataFrame | None = None) -> list[Column]:
+    """The total order of amplicons: by file, record, place, length and type, then all else; of rows only what they have."""
+    names = ("source_file", "record", "start", "end", "length", "type", "experiment_id", "fwd_mm", "rev_mm", "fwd_mm_i", "rev_mm_i", "sequence_id", "seq")
+    return [F.col(c) for c in names if rows is None or c in rows.columns]
+
 
+def numbered(rows: DataFrame, order: list[Column], name: str = "n") -> DataFrame:
+    """rows in order, with their place in the whole from 1.
 
-def coordinate_order() -> list[Column]:
-    return [F.col(c) for c in ("record", "start", "end", "type", "experiment_id", "fwd_mm", "rev_mm", "fwd_mm_i", "rev_mm_i")]
+    A range sort deals rows out over all tasks; each then only needs the number
+    of rows in the parts before its own, one number a part.
+    """
+    if name in rows.columns:
+        raise ValueError(f"there is a column {name} already")
+    placed = cut(rows.orderBy(*order).withColumn("placed_at", F.monotonically_increasing_id()))
+    part = F.shiftright("placed_at", 33)
+    before, starts = 0, []
+    for r in placed.groupBy(part.alias("part")).count().orderBy("part").collect():
+        starts.append((r["part"], before))
+        before += r["count"]
+    table = rows.sparkSession.createDataFrame(starts, "part_of long, before long")
+    got = placed.join(small(table, len(starts)), part == F.col("part_of"))
+    return got.select(*rows.columns, (F.col("before") + F.col("placed_at").bitwiseAND((1 << 33) - 1) + 1).alias(name))
+
+
+def sorted_globally(rows: DataFrame) -> DataFrame:
+    """rows in the total order, as one output would have them."""
+    return rows.orderBy(*coordinate_order(rows))
 
 
-def ranked(rows: DataFrame) -> DataFrame:
-    """Place of each amplicon within its record, in order of coordinates."""
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("record").orderBy(*coordinate_order()[1:])))
+def ranked(rows: DataFrame, order: list[Column] | None = None, name: str = "rank") -> DataFrame:
+    """Place of each amplicon within its record, in order of coordinates unless another is given.
+
+    From places in the whole, less those before the record: no task sorts a whole record.
+    """
+    got = numbered(rows, [F.col("record"), *(order or coordinate_order(rows))], "place_of_all")
+    first = got.groupBy(F.col("record").alias("first_of")).agg(F.min("place_of_all").alias("first"))
+    got = got.join(first, F.col("record") == F.col("first_of"))
+    return got.select(*rows.columns, (F.col("place_of_all") - F.col("first") + 1).alias(name))

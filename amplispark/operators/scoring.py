@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import duplex
@@ -10,9 +10,10 @@ from ..functions.alphabet import expanded, expansions, normalized
 from ..functions.duplex import Profile
 from ..functions.structure import SCHEMA, penalty, structure_of
 from ..functions.thermo import Conditions
+from ..session import small
 from .annotate import with_probe
 from .panel import Pair, panel_table
-from .products import coordinate_order
+from .products import coordinate_order, numbered, ranked
 
 KEY = ("record", "pair_ord", "start", "end", "type", "is_wrap")
 POLICIES = ("strict", "worst", "best", "mean", "enumerate")
@@ -23,7 +24,7 @@ def with_primers(rows: DataFrame, pairs: list[Pair]) -> DataFrame:
     """rows with fwd and rev, the primers at the left and right end; a revcomp amplicon has them swapped."""
     bounds = panel_table(rows.sparkSession, pairs).select("pair_ord", F.col("fwd").alias("a"), F.col("rev").alias("b"))
     forward = F.col("type") == "forward"
-    got = rows.join(F.broadcast(bounds), "pair_ord")
+    got = rows.join(small(bounds, len(pairs)), "pair_ord")
     return got.withColumns({"fwd": F.when(forward, F.col("a")).otherwise(F.col("b")), "rev": F.when(forward, F.col("b")).otherwise(F.col("a"))}).drop("a", "b")
 
 
@@ -81,14 +82,19 @@ def by_policy(rows: DataFrame, policy: str = "worst", most: int = 256, c: Condit
     return got.groupBy(*KEY).agg(*aggregates).withColumns({"fwd": no, "rev": no})
 
 
-def score_order() -> list[Column]:
+def score_order(rows: DataFrame | None = None) -> list[Column]:
     """Highest score first, NaN and then null last, ties by coordinates."""
-    return [F.col("score").isNull(), F.isnan("score"), F.desc("score"), *coordinate_order()]
+    return [F.col("score").isNull(), F.isnan("score"), F.desc("score"), *coordinate_order(rows)]
 
 
 def ranked_by_score(rows: DataFrame) -> DataFrame:
     """Place of each amplicon within its record, best score first."""
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("record").orderBy(*score_order())))
+    return ranked(rows, score_order(rows))
+
+
+def numbered_by_score(rows: DataFrame) -> DataFrame:
+    """Place of each amplicon in the whole output, best score first."""
+    return numbered(rows, score_order(rows), "rank")
 
 
 def older_score(rows: DataFrame, denominator: float = 200.0) -> DataFrame:

@@ -3,12 +3,19 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
+#: Bounds of Arrow batches that are set where the session has Spark's defaults.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+DEFAULT_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "10000", "spark.sql.execution.arrow.maxBytesPerBatch": str(64 << 20)}
+#: Rows of a table built on the driver that is broadcast at most.
+BROADCAST_ROWS = 100_000
 
 
 def ship(spark: SparkSession) -> None:
@@ -17,9 +24,10 @@ def ship(spark: SparkSession) -> None:
     The zip is served by the driver through addPyFile, so no shared folder is
     needed and replacement executors fetch it as well.
     """
-    # whole texts go to Python: bound what a batch holds
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    # whole texts go to Python: bound what a batch holds, unless the session's owner has done so
+    for key, value in BATCHES.items():
+        if spark.conf.get(key) == DEFAULT_BATCHES[key]:
+            spark.conf.set(key, value)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
@@ -45,9 +53,17 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """df, of so many rows, to be broadcast unless those are too many."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df as a reliable checkpoint, in the shared folder of spark.checkpoint.dir or, only where that is unset, a local one."""
+    """df as a reliable checkpoint, in the shared folder of spark.checkpoint.dir or, only where that is unset on a local master, a local one."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="amplispark-checkpoint-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="amplispark-checkpoint-"))
     return df.checkpoint()

@@ -1,6 +1,7 @@
 """Small hand-made cases of sites, amplicons, probes, panels, sources and sinks."""
 
 import gzip
+import io
 import json
 import os
 import random
@@ -12,6 +13,7 @@ from amplispark.functions import alphabet as al
 from amplispark.functions import thermo
 from amplispark.operators import annotate, panel
 from amplispark.operators import hits as hits_module
+from amplispark.operators import products as products_module
 from amplispark.operators.hits import hits
 from amplispark.operators.products import products, with_sequences
 from amplispark.sources import fasta, sinks
@@ -163,15 +165,130 @@ def test_probe_and_nested_sinks(spark, tmp_path):
     assert spark.read.option("sep", "\t").option("header", True).csv(str(tmp_path / "nested")).columns[2:7] == ["outer_experiment_id", "outer_start", "outer_end", "outer_length", "outer_type"]
 
 
-@pytest.mark.parametrize("forward, max_mm, window", [("ACGTTA", 1, 0), ("N" * 12, 2, 0), ("N" * 10 + "AC", 0, 0), ("GNACTTACGTTAACG", 2, 14), ("ACGTTA", 1, 3)])
+@pytest.mark.parametrize("forward, max_mm, window", [("ACGTTA", 1, 0), ("N" * 12, 2, 0), ("N" * 10 + "AC", 0, 0), ("GNACTTACGTTAACG", 2, 14), ("ACGTTA", 1, 3), ("ACGTAACGTAAACG", 2, 0)])
 def test_seed_join_equals_the_scan(spark, monkeypatch, forward, max_mm, window):
     monkeypatch.setattr(hits_module, "SEED_BASES", 16)
-    seq = "TTACGTTANNACGTCACGTGACGTAGACTTACGTTAACGTAACGTAAACGTGACGTC" * 2
+    seq = "TTACGTTANNACGTCACGTGACGTAGACTTACGTTAACGTRACGTAAACGTGACGTC" * 2
     rows = spark.createDataFrame([("r", seq), ("short", "AC"), ("none", "")], "record string, seq string")
-    pair = panel.pair("p", forward, "ACGT")
-    for orient, pattern in panel.orientations(pair).items():
-        if orient not in "Aa":
-            continue
-        got = hits_module.seed_hits(rows, pattern, orient, max_mm, window).select("record", "pos", "mm", "mm_idx").collect()
-        want = hits_module.hits(rows, [pair], max_mm, window, orients=orient).select("record", "pos", "mm", "mm_idx").collect()
-        assert sorted(map(str, got)) == sorted(map(str, want)) and (want or orient == "a")
+    pairs = [panel.pair("p", forward, "ACGT"), panel.pair("q", "TTAACG", "GACGTC")]
+    columns = ["record", "len", "pair_ord", "orient", "pos", "mm", "mm_idx"]
+    got = hits_module.seed_hits(rows, pairs, max_mm, window).select(columns).collect()
+    want = hits_module.hits(rows, pairs, max_mm, window).select(columns).collect()
+    assert sorted(map(str, got)) == sorted(map(str, want)) and want
+
+
+def test_a_seed_is_placed_where_it_stands_for_fewest_kmers():
+    assert hits_module.seed_place("NNACGTACNN", range(0), 0, 4) == (1, 2, 4)
+    assert hits_module.seed_place("ACGTACGTAC", range(7, 10), 1, 4)[1] == 6  # three protected letters: fewer variants
+    for seq, protected, off, k, mm in (("ACGN", range(0), 0, 4, 0), ("ACGT", range(1, 2), 0, 4, 2), ("RYN", range(0), 0, 3, 1)):
+        kmers = hits_module.seed_kmers(seq, protected, off, k, mm)
+        assert len(kmers) == len(set(kmers)) == hits_module.seed_size(seq, protected, off, k, mm)
+
+
+def test_cap_takes_the_leftmost_over_all_blocks(spark, monkeypatch):
+    monkeypatch.setattr(hits_module, "blocks", lambda records, overlap, f=hits_module.blocks: f(records, overlap, 8))
+    rows = spark.createDataFrame([("r", "ACGTTACGTACGACGTTTACG"), ("s", "ACG")], "record string, seq string")
+    got = hits_module.hits(rows, [panel.pair("p", "ACG", "ACG")], cap=3, orients="A").select("record", "pos").collect()
+    assert sorted(map(tuple, got)) == [("r", 0), ("r", 5), ("r", 9), ("s", 0)]
+
+
+def test_sequences_from_blocks(spark, monkeypatch):
+    monkeypatch.setattr(products_module, "SEQUENCE_BLOCK", 7)
+    monkeypatch.setattr(products_module, "SEQUENCE_MORE", 3)
+    seq = "ACGTTACGTACGACGTTTACGAAC"
+    records = spark.createDataFrame([("r", seq), ("s", "")], "record string, seq string")
+    rows = [("r", 0, a, b, b - a, "forward", False) for a in range(len(seq)) for b in range(a + 1, len(seq) + 1)]
+    rows += [("r", 0, a, b, len(seq) - a + b, "forward", True) for a in range(1, len(seq)) for b in range(1, a)]
+    df = spark.createDataFrame(rows, "record string, pair_ord int, start long, end long, length long, type string, is_wrap boolean")
+    got = with_sequences(df, records).collect()
+    assert len(got) == len(rows)
+    assert all(r["seq"] == (seq[r["start"] :] + seq[: r["end"]] if r["is_wrap"] else seq[r["start"] : r["end"]]) for r in got)
+
+
+def test_places_in_the_whole_and_within_records(spark):
+    rows = [(f"r{i % 3}", i * 7919 % 101, 5 + i % 2) for i in range(60)]
+    df = spark.createDataFrame(rows, "record string, start long, end long").repartition(5)
+    order = [F.col("record"), F.col("start"), F.col("end")]
+    got = sorted((r["n"], r["record"], r["start"], r["end"]) for r in products_module.numbered(df, order).collect())
+    assert [x[1:] for x in got] == sorted(rows) and [x[0] for x in got] == list(range(1, 61))
+    for r in products_module.ranked(df, order[1:]).collect():
+        assert r["rank"] == 1 + sorted(x[1:] for x in rows if x[0] == r["record"]).index((r["start"], r["end"]))
+    assert products_module.numbered(df.limit(0), order).count() == 0
+
+
+def test_files_with_equal_ids_stay_apart_when_deduplicated(spark):
+    row = ("r", 0, 1, 9, "forward", False)
+    df = spark.createDataFrame([("a", *row), ("a", *row), ("b", *row)], "source_file string, record string, pair_ord int, start long, end long, type string, is_wrap boolean")
+    assert products_module.deduplicated(df).count() == 2 and products_module.deduplicated(df.drop("source_file")).count() == 1
+
+
+def test_fasta_odd_files(spark, tmp_path):
+    (tmp_path / "lead.fa").write_text("ACGT\nGGTT\n>r1 x\nac gt\n\n>r2\nAA>A\n")
+    with gzip.open(tmp_path / "zipped.fa", "wt") as f:  # told by its first bytes, not by its name
+        f.write(">z\nGG\n")
+    (tmp_path / "empty.fa").write_text("")
+    (tmp_path / "none.fa").write_text("ACGT\n")
+    got = sorted((r["record"], r["seq"]) for r in fasta.read_fasta(spark, str(tmp_path / "*.fa")).collect())
+    assert got == [("r1", "AC GT"), ("r2", "AA>A"), ("z", "GG")]
+    with pytest.raises(FileNotFoundError):
+        fasta.read_fasta(spark, str(tmp_path / "*.no"))
+
+
+def test_fasta_splits_lose_no_record():
+    text = b"lead\n" + b"".join(b">r%d x\nACGT\nAC\n" % i for i in range(40)) + b">last"
+    for data in (text, text[5:], text + b"\n", b">a\n>b\n>c"):
+        want = [x.split(b"\n", 1)[0] for x in (b"\n" + data).split(b"\n>")[1:]]
+        for step in (1, 2, 3, 7, 50, 10_000):
+            got = []
+            for at in range(0, len(data), step):
+                for size in (1, 4, 1 << 20):
+                    f = io.BytesIO(data)
+                    f.seek(max(at - 1, 0))
+                    found = list(fasta.bodies(lambda n, f=f, size=size: f.read(min(n, size)), at, at + step))
+                got += found
+            assert [x.split(b"\n", 1)[0] for x in got] == want
+
+
+def test_fasta_from_standard_input(spark, monkeypatch):
+    class In:
+        buffer = io.BytesIO(b">s one\nac\ngt\n>t\nTT")
+
+    monkeypatch.setattr("sys.stdin", In)
+    got = fasta.read_fasta(spark, "-").collect()
+    assert [(r["source_file"], r["record"], r["seq"]) for r in got] == [("-", "s", "ACGT"), ("-", "t", "TT")]
+
+
+def test_wrapped_chunks_and_chunk_policy(spark):
+    rows = spark.createDataFrame([("r", "ACGTACGTAC"), ("s", "ACG")], "record string, seq string")
+    got = sorted(tuple(r) for r in fasta.wrapped_chunks(rows, 4).collect())
+    assert got == [("r", 0, "ACGT", False, False), ("r", 4, "ACGT", False, False), ("r", 6, "GTAC", True, True), ("r", 8, "AC", False, False), ("s", 0, "ACG", False, True)]
+    assert sorted(tuple(r)[1:] for r in fasta.wrapped_chunks(rows, 4, False).where("record = 'r'").collect()) == [(0, "ACGT", False, False), (4, "ACGT", False, False), (8, "AC", False, True)]
+    assert fasta.wrapped_chunks(rows, 0).where("is_last").count() == 2
+    assert fasta.chunk_policy(1000, 200, 20) == (1000, 200, "") and fasta.chunk_policy(0, 200, 20) == (0, 0, "")
+    assert all(fasta.chunk_policy(*x)[:2] == (0, 0) and fasta.chunk_policy(*x)[2] for x in ((1000, 0, 20), (100, 100, 20), (1000, 200, 20, True)))
+
+
+def test_letters_match_if_they_share_a_base(spark):
+    assert al.matches("R", "g") and al.matches("n", "T") and not al.matches("R", "Y") and not al.matches("U", "T")
+    pairs = spark.createDataFrame([("R", "g"), ("R", "Y"), ("U", "T"), (None, "A")], "p string, g string")
+    assert [r[0] for r in pairs.select(al.matches_letters(F.col("p"), F.col("g"))).collect()] == [True, False, False, False]
+
+
+def test_probe_equals_brute_force(spark):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ACGTN") for _ in range(rng.randrange(0, 40))) for _ in range(60)]
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "seq string")
+    for probe, mm in (("ACG", 0), ("ACG", 1), ("ARN", 0), ("ACGTA", 2)):
+        plus = mm == 0 and not set(probe) - set("ACGT")
+        for r in df.withColumn("h", annotate.probe_hit(F.col("seq"), probe, mm)).collect():
+            found = []
+            for strand, pattern in ((0, probe), (1, al.reverse_complement(probe))):
+                for i in range(len(r["seq"] or "") - len(probe) + 1):
+                    bad = sum(r["seq"][i + j] not in al.BASES[c] for j, c in enumerate(pattern))
+                    if bad <= mm:
+                        found.append((bad, strand if plus else 0, i, strand))
+            h = r["h"]
+            assert (h is None) == (not found)
+            if found:
+                bad, _, i, strand = min(found)
+                assert (h["mm"], h["pos"], h["strand"], h["site"]) == (bad, i, "+-"[strand], r["seq"][i : i + len(probe)])
