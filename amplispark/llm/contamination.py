@@ -11,7 +11,8 @@ One pass over the texts finds all places of the items' shingles, compared word
 by word, and writes them down; counts, prefixes and windows come from there, and
 a window is exact if the shingles that cover its words follow each other.
 Shingles are broadcast in blocks of at most BLOCK_SHINGLES rows; a larger
-benchmark takes more blocks, each a pass over the documents. No document text
+benchmark takes more blocks, each a pass over the documents. Up to
+BROADCAST_PREFIXES windows that occur are broadcast too, more are joined by a shuffle. No document text
 is shuffled: what is dealt out is one row a document and one a found shingle.
 
 Nulls and edge cases: a null or empty text has no words. Items with null id are
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import fresh, written
 
 WINDOW_WORDS, SHINGLE_WORDS = 10, 3
-BLOCK_SHINGLES = 200_000
+BLOCK_SHINGLES, BROADCAST_PREFIXES = 200_000, 50_000
 #: What separates words, and letters other than A-Z that have a lower case.
 CUT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 OTHER_CAPITALS = r"[[\p{IsUppercase}\p{Lt}]&&[^A-Z]]"
@@ -124,6 +125,8 @@ def hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
     prefix = ranked.groupBy("window", "n", "items").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "shingle", "at")).alias("best"), need)
     prefix = written(prefix.where("best.count > 0").select("best.shingle", "best.at", "n", F.array_join("window", " ").alias("window"), "items", "need"), "prefixes")
 
+    if prefix.count() <= BROADCAST_PREFIXES:  # a frequent word that is an item, or a much-shared shingle, is then no hot key
+        prefix = F.broadcast(prefix)
     start = F.col("pos") - F.col("at")
     fits = (start >= 0) & (start + F.col("n") <= F.col("n_words"))
     near = seen.join(prefix, "shingle").where(fits).select("id", "mark", start.alias("start"), "n", "window", "items", "need")

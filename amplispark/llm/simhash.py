@@ -39,6 +39,8 @@ SEGMENTS = ((0, 23), (23, 23), (46, 18))
 GOLAY = 0xAE3
 #: Parts into which the links of one fingerprint are dealt in a join.
 SALTS = 8
+#: Rows from which on a fingerprint is heavy, and heavy ones at most that are broadcast; there are no more than rows / HEAVY.
+HEAVY, BROADCAST_HEAVY = 1000, 500_000
 
 
 def fingerprints(texts: pa.Array) -> np.ndarray:
@@ -189,23 +191,30 @@ def _onto_least(edges: DataFrame, near: DataFrame) -> DataFrame:
 
 def rooted(fps: DataFrame, id_col: str, fp_col: str) -> DataFrame:
     """(fp, least, root) for each fingerprint: its least id, and the one fingerprint that stands for its component."""
-    own = written(fps.groupBy(fp_col).agg(F.min(id_col).alias("least")).toDF("fp", "least"), "fingerprints")
+    own = written(fps.groupBy(fp_col).agg(F.min(id_col).alias("least"), F.count("*").alias("rows")).toDF("fp", "least", "rows"), "fingerprints")
     tree = components(links(own.select("fp")))
-    return written(own.join(tree, own.fp == tree.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
+    return written(own.join(tree, own.fp == tree.node, "left").select("fp", "least", "rows", F.coalesce("root", "fp").alias("root")), "rooted")
 
 
 def classes(fps: DataFrame, id_col: str, fp_col: str) -> DataFrame:
-    """(fp, component) for each fingerprint: the least id that is reachable by links."""
+    """(fp, component, rows) for each fingerprint: the least id that is reachable by links, and how many rows have it."""
     rows = rooted(fps, id_col, fp_col)
     least = rows.groupBy("root").agg(F.min("least").alias("component"))
-    return rows.join(least, "root").select("fp", "component")
+    return written(rows.join(least, "root").select("fp", "component", "rows"), "classes")
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, fingerprint in hex and component id."""
     rows = written(docs.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col)).alias("fp")), "simhash")
     found = classes(rows, "id", "fp").withColumnRenamed("fp", "fp2")
-    out = rows.join(found, F.col("fp") == F.col("fp2"))
+    same = F.col("fp") == F.col("fp2")
+    heavy = found.where(F.col("rows") > HEAVY)
+    if heavy.count() <= BROADCAST_HEAVY:  # a text that a third of all rows have isn't sent to one task
+        often = rows.join(F.broadcast(heavy), same)
+        rest = rows.join(F.broadcast(heavy), same, "left_anti")
+        out = often.unionByName(rest.join(found.where(F.col("rows") <= HEAVY), same))
+    else:
+        out = rows.join(found, same)
     return out.select(F.col("id").alias(id_col), hexed("fp").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
