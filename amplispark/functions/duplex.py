@@ -76,9 +76,11 @@ def complement(seq: Column) -> Column:
     return F.translate(seq, "ACGT", "TGCA")
 
 
-def mismatch_costs(primer: Column, target: Column) -> Column:
-    """array of struct(i, triplet, known, cost): one for each mismatch, cost in kcal/mol."""
-    top, low = F.concat(F.lit("N"), primer, F.lit("N")), F.concat(F.lit("N"), target, F.lit("N"))
+def mismatch_costs(primer: Column, target: Column, before_primer: Column | None = None, before_target: Column | None = None) -> Column:
+    """array of struct(i, triplet, known, cost): one for each mismatch, cost in kcal/mol; bases before the strands are their neighbours."""
+    unknown_base = F.lit("N")
+    top = F.concat(unknown_base if before_primer is None else before_primer, primer, unknown_base)
+    low = F.concat(unknown_base if before_target is None else before_target, target, unknown_base)
     steps = F.when(F.length(primer) > 0, F.sequence(F.lit(0), F.length(primer) - 1)).otherwise(F.array().cast("array<int>"))
     wrong = F.filter(steps, lambda i: complement(F.substring(primer, i + 1, F.lit(1))) != F.substring(target, i + 1, F.lit(1)))
 
@@ -94,6 +96,16 @@ def mismatch_costs(primer: Column, target: Column) -> Column:
     return F.transform(wrong, one)
 
 
+def shifted_costs(primer: Column, target: Column, longer: Column) -> Column:
+    """mismatch_costs() of the pairs behind a gap: with the target's first base left out where it is longer, else the primer's.
+
+    Neighbours are those of the whole strands.
+    """
+    p, t = F.when(longer, primer).otherwise(F.substring(primer, F.lit(2), F.length(primer))), F.when(longer, F.substring(target, F.lit(2), F.length(target))).otherwise(target)
+    head = F.when(longer, F.lit("N")).otherwise(F.substring(primer, 1, 1)), F.when(longer, F.substring(target, 1, 1)).otherwise(F.lit("N"))
+    return mismatch_costs(p, t, *head)
+
+
 def in_degrees(cost: Column, denominator: Column | float) -> Column:
     d = denominator if isinstance(denominator, Column) else F.lit(denominator)
     return F.when(d <= 0, NO_DENOMINATOR_C).otherwise(cost * 1000 / d)

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+import re
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,6 +21,27 @@ INITIATION, TERMINAL_AT, SYMMETRY = (0.2, -5.7), (2.2, 6.9), (0.0, -1.4)
 GAS, MG_DNTP = 1.9872, 3e4
 
 
+SALT_MODELS = ("monovalent", "owczarzy-lite", "owczarzy08")
+UNITS = {"": 1.0, "m": 1.0, "mm": 1e-3, "um": 1e-6, "nm": 1e-9}
+
+
+def concentration(text: str) -> float:
+    """mol/l of 50mM, 250 nM, 3uM, 3µM or a bare number."""
+    found = re.fullmatch(r"\s*\+?(\d+\.?\d*(?:e[+-]?\d+)?|\.\d+(?:e[+-]?\d+)?)\s*([a-zµμ]*)\s*", text.lower())
+    unit = found[2].replace("µ", "u").replace("μ", "u") if found else None
+    if unit not in UNITS:
+        raise ValueError(f"no concentration: {text!r}")
+    return float(found[1]) * UNITS[unit]
+
+
+def salt_model(text: str) -> str:
+    """The name of a salt model; monovalent if it is empty."""
+    name = text.strip().lower() or SALT_MODELS[0]
+    if name not in SALT_MODELS:
+        raise ValueError(f"no salt model: {text!r}")
+    return name
+
+
 @dataclass(frozen=True)
 class Conditions:
     anneal_c: float = 60.0
@@ -29,6 +51,15 @@ class Conditions:
     primer: float = 2.5e-7
     model: str = "monovalent"
 
+    def __post_init__(self):
+        if self.model not in SALT_MODELS:
+            raise ValueError(f"no salt model: {self.model!r}")
+
+    def with_defaults(self) -> Conditions:
+        """The usual values where temperature, sodium or primer are 0; no magnesium is a condition like any other."""
+        usual = Conditions()
+        return replace(self, **{k: getattr(usual, k) for k in ("anneal_c", "na", "primer") if not getattr(self, k)})
+
     def free_mg(self) -> float:
         """Magnesium left by the dNTPs."""
         if self.mg <= 0 or self.dntp <= 0:

@@ -56,11 +56,20 @@ def parse_oligos(lines: Iterable[str]) -> list[tuple[str, str]]:
     return out
 
 
+def distinct(pool: list[str]) -> list[str]:
+    """The sequences of a pool, normalized, each once in order of its first use."""
+    return list(dict.fromkeys(map(normalized, pool)))
+
+
 def from_pools(forwards: list[str], reverses: list[str], min_length: int = 0, max_length: int = 0) -> list[Pair]:
+    """Every forward primer with every reverse one, each sequence of a pool once."""
+    forwards, reverses = distinct(forwards), distinct(reverses)
     return [pair(f"F{i}+R{j}", f, r, min_length, max_length) for i, f in enumerate(forwards, 1) for j, r in enumerate(reverses, 1)]
 
 
 def self_across_pools(forwards: list[str], reverses: list[str]) -> list[Pair]:
+    """Every primer with every one of its own pool."""
+    forwards, reverses = distinct(forwards), distinct(reverses)
     return [pair(f"{side}{i}+{side}{j}:self", a, b) for side, pool in (("F", forwards), ("R", reverses)) for i, a in enumerate(pool, 1) for j, b in enumerate(pool, 1)]
 
 

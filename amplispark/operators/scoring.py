@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import duplex
-from ..functions.alphabet import expanded, expansions, normalized
+from ..functions import duplex, thermo
+from ..functions.alphabet import expanded, expansions, normalized, revcomp
 from ..functions.duplex import Profile
 from ..functions.structure import SCHEMA, penalty, structure_of
 from ..functions.thermo import Conditions
@@ -28,6 +28,12 @@ def with_primers(rows: DataFrame, pairs: list[Pair]) -> DataFrame:
     return got.withColumns({"fwd": F.when(forward, F.col("a")).otherwise(F.col("b")), "rev": F.when(forward, F.col("b")).otherwise(F.col("a"))}).drop("a", "b")
 
 
+def with_sites(rows: DataFrame) -> DataFrame:
+    """rows (fwd, rev, seq) with the bases that each primer binds, read in the primer's direction."""
+    seq = F.col("seq")
+    return rows.withColumns({"fwd_site": F.substring(seq, F.lit(1), F.length("fwd")), "rev_site": revcomp(F.right(seq, F.length("rev")))})
+
+
 def with_targets(rows: DataFrame) -> DataFrame:
     """rows (fwd, rev, seq) with both targets, 3' to 5' under their primers, and the amplicon's bases beside the primers' 3' ends."""
     seq, f, r = F.col("seq"), F.length("fwd"), F.length("rev")
@@ -97,16 +103,63 @@ def numbered_by_score(rows: DataFrame) -> DataFrame:
     return numbered(rows, score_order(rows), "rank")
 
 
-def older_score(rows: DataFrame, denominator: float = 200.0) -> DataFrame:
+#: Degrees of a gap in the older model, by place as a mismatch is; what a base at a primer's end gives on a single strand,
+#: and degrees a kcal/mol of the target's own hairpin, at most so many.
+GAP, SINGLE_END, HAIRPIN, MOST_HAIRPIN = 6.0, {"A": 0.10, "T": 0.10, "C": 0.20, "G": 0.20}, 1.5, 6.0
+
+
+def auto_denominator(primer: Column, c: Conditions = Conditions()) -> Column:
+    """What turns kcal/mol into degrees for a primer, from its own perfect duplex; 200 where it isn't of plain bases."""
+    plain = F.when(primer.rlike("^[ACGT]{2,}$"), primer)
+    found = F.abs(thermo.enthalpy(plain) * 1000 / (thermo.tm(plain, c) + 273.15))
+    return F.coalesce(F.when(~F.isnan(found) & (found > 0), found), F.lit(200.0))
+
+
+def gapped_penalty(primer: Column, target: Column, denominator: Column | float = 200.0, gaps: bool = True) -> Column:
+    """The older model's penalty where the target is one base longer or shorter: one gap, at its cheapest place.
+
+    Without gaps it can only be behind all pairs. Lengths further apart cost nothing, as in that model.
+    """
+    n, m = F.length(primer), F.length(target)
+    longer = m > n
+    weight = lambda i: F.when(i >= n - duplex.END, duplex.WEIGHT_3).when(i < duplex.END, duplex.WEIGHT_5).otherwise(1.0)
+    moved, last = F.when(longer, 0).otherwise(1), F.when(longer, n).otherwise(n - 1)
+    # degrees by place of the pairs before a gap, and of those behind it, where one strand is moved by a base
+    degrees = lambda costs, move: F.transform(costs, lambda x: F.struct((x["i"] + move).alias("i"), (duplex.in_degrees(x["cost"], denominator) * weight(x["i"] + move)).alias("c")))
+    total = lambda pairs, keep: F.aggregate(F.filter(pairs, keep), F.lit(0.0), lambda a, x: a + x["c"])
+    both = F.struct(degrees(duplex.mismatch_costs(primer, target), F.lit(0)).alias("before"), degrees(duplex.shifted_costs(primer, target, longer), moved).alias("after"))
+    at = lambda s, k: total(s["before"], lambda x: x["i"] < k) + GAP * weight(k) + total(s["after"], lambda x: x["i"] >= k + moved)
+    places = F.sequence(F.lit(0), last) if gaps else F.array(last)
+    best = F.element_at(F.transform(F.array(both), lambda s: F.array_min(F.transform(places, lambda k: at(s, k)))), 1)  # bound once
+    return F.when(F.abs(n - m) == 1, best).otherwise(F.when(n == m, duplex.old_penalty(primer, target, denominator)).otherwise(0.0))
+
+
+def older_score(rows: DataFrame, denominator: float | str = 200.0, gaps: bool = False, single_strand: bool = False, c: Conditions = Conditions()) -> DataFrame:
     """rows with the older model's score, 0 for two perfect sites of which the right one reads as its own complement.
 
     It lays the right primer on the complement of its site without turning it
-    round; that peculiarity is kept.
+    round; that peculiarity is kept. With denominator "auto" each primer has its
+    own. On a single strand an end gains a little by its base, and the target's
+    own hairpin costs. A site is as long as its primer, so gaps only count for
+    targets given to gapped_penalty() itself.
     """
     seq = F.col("seq")
-    left = duplex.complement(F.substring(seq, F.lit(1), F.length("fwd")))
-    right = duplex.complement(F.right(seq, F.length("rev")))
-    return rows.withColumn("score", -(duplex.old_penalty(F.col("fwd"), left, denominator) + duplex.old_penalty(F.col("rev"), right, denominator)))
+    sides = {"fwd": duplex.complement(F.substring(seq, F.lit(1), F.length("fwd"))), "rev": duplex.complement(F.right(seq, F.length("rev")))}
+    total = F.lit(0.0)
+    got = rows.withColumns({f"{end}_older_target": target for end, target in sides.items()})
+    hairpin = structure_of("hairpin", "stem", Conditions())
+    for end in ENDS:
+        p, t = F.col(end), F.col(f"{end}_older_target")
+        d = auto_denominator(p, c) if denominator == "auto" else denominator
+        cost = gapped_penalty(p, t, d) if gaps else duplex.old_penalty(p, t, d)
+        if single_strand:
+            ends = F.create_map(*[F.lit(x) for kv in SINGLE_END.items() for x in kv])
+            bonus = sum((F.coalesce(ends[F.substring(p, at, 1)], F.lit(0.0)) for at in (1, -1)), F.lit(0.0))
+            got = got.withColumn(f"{end}_hairpin_dg", hairpin(F.when(t.rlike("^[ACGT]+$"), F.reverse(t)))["dg"])
+            own = F.greatest(F.lit(0.0), F.least(F.lit(MOST_HAIRPIN), -HAIRPIN * F.coalesce(F.col(f"{end}_hairpin_dg"), F.lit(0.0))))
+            cost = F.when(p.rlike("^[ACGT]+$"), F.greatest(F.lit(0.0), cost - bonus + own)).otherwise(0.0)
+        total = total + cost
+    return got.withColumn("score", -total).select(*rows.columns, *(() if "score" in rows.columns else ("score",)))
 
 
 def panel_primers(pairs: list[Pair], most: int = 256) -> list[tuple[str, str]]:
@@ -202,12 +255,14 @@ def with_probe_score(rows: DataFrame, name: str, probe: str, max_mm: int = 0, mo
         each = duplex.imperfect(each, "probe_variant", "probe_target", "probe_", c)
         rest = F.first(F.struct(*[x for x in kept if x not in KEY])).alias("rest")
         if policy in ("mean", "enumerate"):
-            chosen = [F.avg(x).alias(x) for x in terms]
+            chosen = [F.avg(x).alias(x) for x in terms] + [F.lit("").alias("probe_variant")]
         else:
             order = F.struct("probe_margin", "ord") if policy == "worst" else F.struct(-F.col("probe_margin"), "ord")
-            chosen = [F.min_by(x, order).alias(x) for x in terms]
-        got = each.groupBy(*KEY).agg(rest, *chosen).select(*KEY, "rest.*", *terms)
-    got = got.select(*rows.columns, "probe_found", "probe_strand", "probe_pos", "probe_mm", "probe_site", *terms)
+            chosen = [F.min_by(x, order).alias(x) for x in (*terms, "probe_variant")]
+        got = each.groupBy(*KEY).agg(rest, *chosen).select(*KEY, "rest.*", *terms, "probe_variant")
+    whole = len(expansions(normalized(probe), most + 1))
+    labels = {"probe_iupac_thermo_policy": F.lit(policy), "probe_iupac_expansion_count": F.lit(len(variants)), "probe_iupac_expansion_capped": F.lit(whole > most), "probe_iupac_effective_variant": F.when(F.col("probe_found"), F.col("probe_variant"))}
+    got = got.withColumns(labels).select(*rows.columns, "probe_found", "probe_strand", "probe_pos", "probe_mm", "probe_site", *terms, *labels)
     if mode == "gate":
         return got.where(F.col("probe_found") & (F.col("probe_margin") >= least_margin))
     if mode == "blend":

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,12 +50,23 @@ def with_score(columns: tuple[str, ...]) -> tuple[str, ...]:
     return (*columns, "score")
 
 
+def tsv_value(rows: DataFrame, columns: tuple[str, ...] = PRODUCT) -> Column:
+    return F.concat_ws("\t", *[_text(rows, c) for c in columns])
+
+
 def tsv_lines(rows: DataFrame, columns: tuple[str, ...] = PRODUCT) -> DataFrame:
-    return rows.select(F.concat_ws("\t", *[_text(rows, c) for c in columns]).alias("value"))
+    return rows.select(tsv_value(rows, columns).alias("value"))
+
+
+def write_lines(lines: DataFrame, path: str, header: str | None = None) -> None:
+    """Lines as files of text; a header is a first file of its own."""
+    if header is not None:
+        lines = lines.sparkSession.range(0, 1, 1, 1).select(F.lit(header).alias("value")).unionAll(lines)
+    lines.write.text(path)
 
 
 def json_lines(rows: DataFrame, kind: str = "product") -> DataFrame:
-    """One object a row, with the wire's fields that rows have; mismatch places become lists."""
+    """One object a row, with the wire's fields that rows have; mismatch places become lists, a struct `thermo` an object."""
     types = dict(rows.dtypes)
     wire = []
     for group in KINDS[kind][1]:
@@ -66,6 +80,8 @@ def json_lines(rows: DataFrame, kind: str = "product") -> DataFrame:
             elif name in rest.split():
                 value = F.when(value != "" if types[name] == "string" else value != 0, value)
             wire.append(value.alias(name))
+    if "thermo" in types:
+        wire.append(F.col("thermo"))
     return rows.select(F.to_json(F.struct(*wire), {"ignoreNullFields": "true"}).alias("value"))
 
 
@@ -100,13 +116,29 @@ def write(rows: DataFrame, path: str, format: str = "tsv", kind: str = "product"
     elif format == "jsonl":
         json_lines(rows, kind).write.text(path)
     else:
-        _json_array(cut(json_lines(rows, kind))).write.text(path)
+        write_json(rows, path, kind)
+
+
+def indented(line: str) -> str:
+    """One object of a JSON array as it stands in an indented one."""
+    return "  " + json.dumps(json.loads(line), indent=2, ensure_ascii=False).replace("\n", "\n  ")
+
+
+def write_json(rows: DataFrame, path: str, kind: str = "product") -> None:
+    """rows as one indented JSON array, in part files that joined in order of their names are the array."""
+    lines = cut(json_lines(rows, kind))
+
+    @F.arrow_udf("string")
+    def pretty(found: pa.Array) -> pa.Array:
+        return pa.array(map(indented, found.to_pylist()), pa.string())
+
+    _json_array(lines.select(pretty("value").alias("value")), "", ",\n").write.text(path)
 
 
-def _json_array(lines: DataFrame) -> DataFrame:
+def _json_array(lines: DataFrame, first_mark: str = "  ", mark: str = ", ") -> DataFrame:
     """Lines of an array: each object in its own partition's place, all but the first after a comma."""
     spark, placed = lines.sparkSession, lines.select("value", F.monotonically_increasing_id().alias("at"))
     first = placed.agg(F.min("at")).first()[0]
-    objects = placed.select(F.concat(F.when(F.col("at") == first, "  ").otherwise(", "), F.col("value")).alias("value"))
+    objects = placed.select(F.concat(F.when(F.col("at") == first, first_mark).otherwise(mark), F.col("value")).alias("value"))
     bracket = lambda c: spark.range(0, 1, 1, 1).select(F.lit(c).alias("value"))
     return bracket("[").unionAll(objects).unionAll(bracket("]"))

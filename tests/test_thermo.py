@@ -1,6 +1,7 @@
 """Imperfect duplexes, profiles, policies, structures and probe scores on hand-made cases with known values."""
 
 import itertools
+import json
 import math
 import random
 
@@ -176,3 +177,124 @@ def test_older_score_keeps_its_peculiarity(spark):
     assert scoring.older_score(palindrome).select("score").first()[0] == pytest.approx(0.0)
     other = amplicons(spark, SEQ, [panel.pair("p", "ACGTAGGATCC", "GCATGCCAACTT")])
     assert scoring.older_score(other).select("score").first()[0] < 0
+
+
+def cost_at(p, t, i, j):
+    """Cost of the pair of p[i] and t[j] among its neighbours in degrees, at the place's weight."""
+    at = lambda s, k: s[k] if 0 <= k < len(s) else "N"
+    if duplex.PARTNER[p[i]] == t[j]:
+        return 0.0
+    key = at(p, i - 1) + p[i] + at(p, i + 1) + at(t, j - 1) + t[j] + at(t, j + 1)
+    cost = duplex.triplets().get(key, duplex.PAIR.get(p[i] + t[j], 1.0))
+    return cost * 1000 / 200 * weight_at(i, len(p))
+
+
+def weight_at(i, n):
+    return 2.0 if i >= n - 3 else 1.5 if i < 3 else 1.0
+
+
+def one_gap(p, t, gaps=True):
+    """Every alignment with one gap, by its definition."""
+    n, m = len(p), len(t)
+    if n == m:
+        return sum(cost_at(p, t, i, i) for i in range(n))
+    if abs(n - m) != 1:
+        return 0.0
+    long = m > n
+    places = range(n + 1 if long else n) if gaps else [n if long else n - 1]
+    each = []
+    for k in places:
+        total = sum(cost_at(p, t, i, i) for i in range(k)) + 6.0 * weight_at(k, n)
+        each.append(total + (sum(cost_at(p, t, i, i + 1) for i in range(k, n)) if long else sum(cost_at(p, t, i, i - 1) for i in range(k + 1, n))))
+    return min(each)
+
+
+@pytest.mark.parametrize("gaps", [True, False])
+def test_gapped_penalty_equals_all_alignments(spark, gaps):
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    rows = []
+    for n in (1, 2, 5, 12):
+        for d in (-2, -1, 0, 1, 2):
+            for _ in range(4):
+                p = word(n)
+                t = list(p.translate(str.maketrans("ACGT", "TGCA")))
+                if d == 1:
+                    t.insert(rng.randrange(n + 1), rng.choice("ACGT"))
+                rows.append((p, "".join(t) if d in (0, 1) else word(max(0, n + d))))
+    df = spark.createDataFrame(rows, "p string, t string").select("p", "t", scoring.gapped_penalty(F.col("p"), F.col("t"), 200.0, gaps).alias("got"))
+    for r in df.collect():
+        assert r.got == pytest.approx(one_gap(r.p, r.t, gaps), abs=1e-9), r
+
+
+def test_older_score_known_values(spark):
+    rows = amplicons(spark, "ACGTACAAAAAAGGTACC", [panel.pair("p", "AAGTAC", "GGTACC")], 1)
+    assert min(r.score for r in scoring.older_score(rows).collect()) == pytest.approx(-29.625)
+    auto = scoring.older_score(rows, "auto").orderBy("start", "end").collect()
+    own = rows.select("start", "end", scoring.auto_denominator(F.col("fwd")).alias("f"), scoring.auto_denominator(F.col("rev")).alias("r")).orderBy("start", "end").collect()
+    assert len(auto) == len(own) and all(100 < x.f < 250 and 100 < x.r < 250 for x in own)
+    plain = {(r.start, r.end): r.score for r in scoring.older_score(rows).collect()}
+    single = {(r.start, r.end): r.score for r in scoring.older_score(rows, single_strand=True).collect()}
+    assert plain.keys() == single.keys() and all(single[k] <= 0 for k in single)
+    assert spark.range(1).select(scoring.auto_denominator(F.lit("ACGN"))).first()[0] == 200.0
+
+
+def test_pair_costs_hold_whatever_the_neighbours(spark):
+    """A mismatch at an end has no triplet, so its family's cost holds, weighted and with what the very end adds."""
+    for primer, target, cost in (("GGGGGGGGGG", "ACCCCCCCCC", 0.85), ("GAAAAAAAAA", "TTTTTTTTTT", 0.60), ("CCCCCCCCCC", "CGGGGGGGGG", 1.40)):
+        got = terms(spark, primer, target)
+        assert got.x_penalty == pytest.approx(cost * 1000 / got.x_denominator * 1.5 + 0.5) and got.x_policy == "pair"
+
+
+def test_mismatches_weigh_more_at_the_3_prime_end(spark):
+    perfect = "CCCCCCCCCC"
+    at = lambda i: terms(spark, "GGGGGGGGGG", perfect[:i] + "A" + perfect[i + 1 :]).x_penalty
+    assert at(9) > at(0) > 0 and at(4) > 0
+
+
+def test_no_denominator(spark):
+    assert spark.range(1).select(F.array(duplex.in_degrees(F.lit(1.0), 0.0), duplex.in_degrees(F.lit(1.0), 200.0))).first()[0] == [4.0, 5.0]
+
+
+def test_concentrations_and_conditions():
+    assert [thermo.concentration(x) for x in ("50mM", "250 nM", "3uM", "3µM", "3 μM", "0.05", "1e-3M")] == pytest.approx([0.05, 2.5e-7, 3e-6, 3e-6, 3e-6, 0.05, 1e-3])
+    for bad in ("-3mM", "x", "3kM", "", "3 m M"):
+        with pytest.raises(ValueError):
+            thermo.concentration(bad)
+    assert Conditions(anneal_c=0, na=0, mg=0, primer=0).with_defaults() == Conditions(mg=0)
+    assert thermo.salt_model(" OWCZARZY08 ") == "owczarzy08" and thermo.salt_model("") == "monovalent"
+    with pytest.raises(ValueError):
+        Conditions(model="none")
+    with pytest.raises(ValueError):
+        thermo.salt_model("none")
+
+
+def test_details_of_a_known_duplex(spark):
+    from amplispark.operators import details
+    from amplispark.sources import sinks
+
+    rows = amplicons(spark, SEQ, [panel.pair("p", "ACGTAGGATCC", "GCATGCCAACTT")], 1)
+    got = details.with_details(scoring.scored(rows))
+    r = got.where("fwd_mm = 0 and rev_mm = 0").first().asDict()
+    assert len(details.COLUMNS) == len(set(details.COLUMNS)) == 113 and set(details.COLUMNS) <= set(got.columns)
+    assert (r["thermo_model"], r["fwd_mismatch_policy"], r["fwd_mismatch_count"], r["fwd_mismatch_sources"], r["structure_penalty_c"]) == ("nn-duplex-v1", "nn-perfect", 0, "", 0.0)
+    line = details.detail_lines(got.where("fwd_mm = 0 and rev_mm = 0")).first()[0].split("\t")
+    assert len(line) == 113 and line[0] == "nn-duplex-v1" and line[details.COLUMNS.index("fwd_mismatch_count")] == "" and line[details.COLUMNS.index("probe_found")] == ""
+    thermo_object = json.loads(sinks.json_lines(got.withColumns({"thermo": details.thermo_struct(got), "sequence_id": F.lit("s"), "experiment_id": F.lit("p")})).first()[0])["thermo"]
+    assert thermo_object["model"] == "nn-duplex-v1" and "mismatch_count" not in thermo_object["fwd"] and thermo_object["fwd"]["side"] == "fwd"
+    whole = scoring.with_probe_score(scoring.with_structures(scoring.scored(rows)), "x", "CATTNTG", 1, "annotate")
+    all_of_it = details.with_details(whole, probe_mode="annotate").first().asDict()
+    assert all_of_it["thermo_model"] == "nn-structure-v1" and all_of_it["probe_iupac_expansion_count"] == 4 and all_of_it["hairpin_penalty_c"] is not None
+    assert len(details.detail_lines(details.with_details(whole)).first()[0].split("\t")) == 113
+
+
+def test_details_of_a_mismatch(spark):
+    from amplispark.operators import details
+
+    df = spark.createDataFrame([("ACGTACGTACGTACGT", "TGCATGCCTGCATGCA"), ("GGGGGGGGGG", "CCCCCCCCCA")], "p string, t string")
+    got = duplex.imperfect(df, "p", "t", "x_")
+    terms_of = details.end_terms(F.col("p"), F.col("t"), F.col("x_denominator"), F.col("x_penalty"), F.col("x_dangling_dg"), F.lit(False))
+    a, b = got.select(*[c.alias(k.replace("3p", "three").replace("5p", "five")) for k, c in terms_of.items()]).collect()
+    assert (a.mismatch_count, a.five_mismatch_count, a.three_mismatch_count, a.mismatch_triplet_count, a.mismatch_curated_pair_count, a.mismatch_fallback_count) == (1, 0, 0, 1, 0, 0)
+    assert a.mismatch_dg_kcal == pytest.approx(3.97, abs=1e-9) and a.mismatch_sources == "triplet-ddg" and a.end_effect_policy == "none"
+    assert (b.mismatch_curated_pair_count, b.three_terminal_mismatch_penalty_c, b.five_terminal_mismatch_penalty_c, b.end_effect_policy) == (1, 1.5, 0.0, "nn-terminal-mismatch-v1")
