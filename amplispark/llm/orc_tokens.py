@@ -32,7 +32,7 @@ END_ID = 2
 BROADCAST_FILES = 200_000
 STRIPE_BYTES, INDEX_ROWS = 16 << 20, 1000
 #: Words that a worker remembers with their ids.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 #: Bytes of text encoded together: the larger, the fewer distinct words are looked up.
 ENCODE_BYTES = 4 << 20
 #: Fixed value: the split pattern of the tokenizer's file.
@@ -41,12 +41,57 @@ SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]
 PLAIN = regex.compile(r"[!-~\xa1-\xac\xae-\xff]+")
 
 
+#: Kinds of bytes: white space, letters, digits, other printable ASCII, and those whose word is cut by the pattern itself.
+SPACE, LETTER, DIGIT, OTHER, ODD = range(5)
+KIND = np.full(256, ODD, np.uint8)
+KIND[33:127] = OTHER
+KIND[ord("'")] = ODD
+KIND[48:58] = DIGIT
+KIND[65:91] = KIND[97:123] = LETTER
+KIND[text.SPACE] = SPACE
+
+
+def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """What the pattern makes of plain words, other words whole, and each text's n + 1 bounds among them.
+
+    Plain words are of printable ASCII without apostrophes and the letters from
+    U+00C0 to U+00FF, which are pairs of bytes that begin with C3; these become
+    lower case here.
+    """
+    n = len(data)
+    if not n:
+        return text.strings(data, np.zeros(1, np.int64)), np.zeros(len(offsets), np.int64)
+    kind = KIND[data]
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    after = data[lead + 1]
+    letter = (after >= 0x80) & (after <= 0xBF) & (after != 0x97) & (after != 0xB7)
+    lead, after = lead[letter], after[letter]
+    kind[lead] = kind[lead + 1] = LETTER
+    data = data.copy()
+    data[lead + 1] = after + np.where(after <= 0x9E, 32, 0).astype(np.uint8)
+    inside = kind != SPACE
+    first = np.zeros(n + 1, bool)
+    first[offsets] = True
+    opens = inside.copy()
+    opens[1:] &= ~inside[:-1] | first[1:n]
+    cut = (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+    word = np.cumsum(opens) - 1
+    odd = np.zeros(int(word[-1]) + 2, bool)
+    odd[word[kind == ODD]] = True
+    starts = opens
+    starts[1:] |= cut & inside[1:] & ~odd[word[1:]]
+    starts = np.flatnonzero(starts)
+    keep = np.flatnonzero(inside)
+    bounds = np.append(np.searchsorted(keep, starts), len(keep))
+    return text.strings(data[keep], bounds), np.searchsorted(starts, offsets)
+
+
 class WordEncoder:
-    """Ids by the tokenizers library, which sees each word between ASCII white space once.
+    """Ids by the tokenizers library's BPE model, which sees each distinct piece once.
 
     No piece, and no step of the normalizer, reaches across ASCII white space,
-    so the words' ids on end are the text's ids. Plain words skip the library's
-    normalizer and go to its BPE model, piece by piece.
+    so the words' ids on end are the text's ids. Plain words are cut into pieces
+    all at once; others go through the library's normalizer one by one.
     """
 
     def __init__(self, path: str):
@@ -82,9 +127,10 @@ class WordEncoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts on end, each text's followed by the end id, and the n + 1 bounds."""
         data, offsets = text.flat(texts)
-        if b"<|" not in data.tobytes():  # no special token can be meant
-            data = text.LOWER[data]
-        found, bounds = text.words(data, offsets)
+        if b"<|" in data.tobytes():  # a special token may be meant
+            found, bounds = text.words(data, offsets)
+        else:
+            found, bounds = pieces(text.LOWER[data], offsets)
         coded = found.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
         known = map(self.pieces.get, distinct)
