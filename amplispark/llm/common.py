@@ -7,6 +7,7 @@ import uuid
 
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,7 +38,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    got = spark.read.schema(df.schema).parquet(path)
+    got.shared_path = path
+    return got
+
+
+#: Rows of a written table of ids that is broadcast at most.
+BROADCAST_IDS = 500_000
+
+
+def checked(df: DataFrame) -> DataFrame:
+    """A table of ids that written() made, to be broadcast unless it has more than BROADCAST_IDS rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that written() made, once nothing that is still to be computed reads it."""
+    path = getattr(df, "shared_path", None)
+    if path:
+        spark = df.sparkSession
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -31,7 +31,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, written
+from .common import checked, fresh, written
 
 WINDOW_WORDS, SHINGLE_WORDS = 10, 3
 BLOCK_SHINGLES, BROADCAST_PREFIXES = 200_000, 50_000
@@ -147,7 +147,7 @@ def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     """The rows of docs that hold no window of an item, with docs' columns."""
     bad = hits(docs, items, id_col, text_col, item_col, item_text).where("n_hit > 0")
     a, b, c = fresh(docs, "bad_id"), fresh(docs, "bad_mark"), fresh(docs, "mark")
-    bad = bad.select(F.col("id").alias(a), F.col("mark").alias(b))
+    bad = checked(written(bad.select(F.col("id").alias(a), F.col("mark").alias(b)), "contaminated"))  # few, so that texts need no shuffle
     marked = docs.withColumn(c, F.xxhash64(text_col))
     return marked.join(bad, F.col(id_col).eqNullSafe(F.col(a)) & (F.col(c) == F.col(b)), "left_anti").drop(c)
 

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import text
-from .common import fresh, held, written
+from .common import checked, discard, fresh, held, written
 
 SHINGLE_WORDS, SEED, MAX_BITS = 3, 42, 2
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
@@ -154,8 +154,14 @@ def _key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def links(fps: DataFrame) -> DataFrame:
-    """Pairs (a < b) of the distinct values of the one column fps that differ in one or two bits."""
+    """Pairs (a < b) of the distinct values of the one column fps that differ in one or two bits, written."""
     rows = written(fps.mapInArrow(_key_rows, "key long, fp long, filed boolean"), "fuzzy-keys")
+    found = written(_pairs(rows), "links")
+    discard(rows)
+    return found
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
     x, y = rows.select("key", F.col("fp").alias("x")), rows.where("filed").select("key", F.col("fp").alias("y"))
     near = (F.col("x") != F.col("y")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= MAX_BITS)
     pairs = x.alias("l").join(y.alias("r"), (F.col("l.key") == F.col("r.key")) & near)
@@ -174,7 +180,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = _onto_least(both, both).where("w > m").select(F.col("w").alias("u"), F.col("m").alias("v")).distinct()
         small = _onto_least(large, large)
         small = small.select("u", "m").union(small.select("w", "m")).toDF("u", "v").where("u != v").distinct()
-        edges = written(small, "stars")
+        older, edges = edges, written(small, "stars")
+        discard(older)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -192,7 +199,9 @@ def _onto_least(edges: DataFrame, near: DataFrame) -> DataFrame:
 def rooted(fps: DataFrame, id_col: str, fp_col: str) -> DataFrame:
     """(fp, least, root) for each fingerprint: its least id, and the one fingerprint that stands for its component."""
     own = written(fps.groupBy(fp_col).agg(F.min(id_col).alias("least"), F.count("*").alias("rows")).toDF("fp", "least", "rows"), "fingerprints")
-    tree = components(links(own.select("fp")))
+    pairs = links(own.select("fp"))
+    tree = components(pairs)
+    discard(pairs)
     return written(own.join(tree, own.fp == tree.node, "left").select("fp", "least", "rows", F.coalesce("root", "fp").alias("root")), "rooted")
 
 
@@ -234,6 +243,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     key = fresh(docs, "gone_id")
     both = F.col("id").eqNullSafe(F.col("stay_id")) & (F.col("fp") == F.col("stay_fp"))
     gone = rows.where("id is not null").join(stay, both, "left_anti").select(F.col("id").alias(key)).distinct()
+    gone = checked(written(gone, "gone"))
     many = written(rows.where("id is not null").groupBy("id").count().where("count > 1").select(F.col("id").alias(key)), "repeated")
     own = docs.where(F.col(id_col).isNotNull())
     if many.isEmpty() and rows.where("id is null").isEmpty():
