@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from amplispark.llm import bpe, contamination, language, quality, simhash
-from amplispark.llm.common import fresh, written
+from amplispark.llm.common import discard, fresh, written
 from amplispark.llm.queries import tokenizer_path
 from amplispark.session import ship, table
 
@@ -76,7 +76,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = written(docs, "stage")
+            discard(before)
     return docs
