@@ -19,7 +19,7 @@ from amplispark.session import ship, table
 #: Least posterior of a language for a document to stay.
 MIN_LANGUAGE_SCORE = 0.5
 #: Quantile of the fit of a language's learning rows that a document has to reach.
-LANGUAGE_FIT = 0.01
+LANGUAGE_FIT = 0.001
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
