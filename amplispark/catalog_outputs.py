@@ -251,6 +251,25 @@ def _older_auto_sql() -> str:
     return f"select {PLACE}, round(-sum({cost}), 6) as score from ({ends}) group by {PLACE}"
 
 
+def _gapped_sql() -> str:
+    """Costs of the pairs before and behind a gap as lists, then the cheapest place of it."""
+    table = lambda t: "map {" + ", ".join(f"'{k}': {v}" for k, v in t.items()) + "}"
+    weight = lambda i: f"case when {i} >= 16 then 2.0 when {i} < 3 then 1.5 else 1.0 end"
+
+    def costs(t: str, moved: int, places: str) -> str:
+        a, b = "substr('N' || p || 'N', i + 1, 3)", f"substr('N' || {t} || 'N', i + {1 + moved}, 3)"
+        known = f"coalesce({table(duplex.triplets())}[{a} || {b}], {table(duplex.PAIR)}[{a}[2] || {b}[2]], 1.0)"
+        same = f"translate({a}[2], 'ACGT', 'TGCA') = {b}[2]"
+        return f"list_transform({places}, lambda i: case when {same} then 0.0 else cast({known} * 1000 / 200.0 * {weight('i')} as double) end)"
+
+    lists = f"{costs('longer', 0, 'range(0, 19)')} as l0, {costs('longer', 1, 'range(0, 19)')} as l1, {costs('shorter', 0, 'range(0, 18)')} as s0, {costs('shorter', -1, 'range(1, 19)')} as s1"
+    total = lambda x: f"coalesce(list_sum({x}), 0)"
+    # s1 begins with the pair of the primer's second letter
+    least = lambda n, first, rest: f"list_min(list_transform(range(0, {n}), lambda k: {total(first)} + 6.0 * ({weight('k')}) + {total(rest)}))"
+    primers = f"select distinct primer, left(primer, 19) as p, translate(primer, 'ACGT', 'TGCA') as longer, translate(left(primer, 9) || substr(primer, 11, 9), 'ACGT', 'TGCA') as shorter from ({PRIMERS}) where length(primer) = 20"
+    return f"select primer, round({least(20, 'l0[1:k]', 'l1[k + 1:]')}, 6) as longer, round({least(19, 's0[1:k]', 's1[k + 1:]')}, 6) as shorter from (select primer, {lists} from ({primers}))"
+
+
 def _probe_wire_sql(value: str) -> str:
     outer = f"select p.*, substr(seq, start + 1, length) as s from ({_products_sql(SHORT, DOCS, 0, 0, 0, 90, columns=IDX)}) p join {DOCS} r on p.record = r.record"
     rows = f"select o.*, b.probe_found, b.probe_strand, b.probe_pos, b.probe_mm, b.probe_site from ({outer}) o join ({_probe_sql()}) b using ({PLACE})"
@@ -283,4 +302,5 @@ ORACLE_SQL = {
     "k_pretty": _pretty_sql(),
     "t_details": _details_sql(),
     "t_older_auto": _older_auto_sql(),
+    "t_gapped": _gapped_sql(),
 }

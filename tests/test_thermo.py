@@ -41,6 +41,13 @@ def test_dangling_base(spark, primer, beside, dg):
     assert (got.x_tm > bare.x_tm) == (dg < 0)
 
 
+@pytest.mark.parametrize("primer, five, three, dg", [("ACGTACGTACGTACGT", "C", "", -0.19), ("TCGTACGTACGTACGT", "C", "", 0.28), ("ACGTACGTACGTACGT", "C", "G", -0.81), ("ACGTACGTACGTACGT", "", "G", -0.62)])
+def test_dangling_bases_at_both_ends(spark, primer, five, three, dg):
+    rows = spark.createDataFrame([(primer, primer.translate(str.maketrans("ACGT", "TGCA")), three, five)], "p string, t string, three string, five string")
+    got = duplex.imperfect(rows, "p", "t", "x_", Conditions(anneal_c=37, na=1.0), "three", "five").first()
+    assert got.x_dangling_dg == pytest.approx(dg, abs=1e-12)
+
+
 def test_last_base_unknown_target_and_unusable_rows(spark):
     got = terms(spark, "ACGTACGTACGTACGA", "TGCATGCATGCATGCN")
     assert got.x_penalty == pytest.approx(0.95 * 1000 / got.x_denominator * 2 + 1.5) or got.x_penalty == pytest.approx(1.0 * 1000 / got.x_denominator * 2 + 1.5)
