@@ -34,7 +34,7 @@ STRIPE_BYTES, INDEX_ROWS = 16 << 20, 1000
 #: Words that a worker remembers with their ids.
 REMEMBERED = 300_000
 #: Bytes of text encoded together: the larger, the fewer distinct words are looked up.
-ENCODE_BYTES = 4 << 20
+ENCODE_BYTES = 2 << 20
 #: Fixed value: the split pattern of the tokenizer's file.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Words whose normal form is their lower case, letter by letter.
@@ -75,15 +75,20 @@ def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]
     opens = inside.copy()
     opens[1:] &= ~inside[:-1] | first[1:n]
     cut = (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
-    word = np.cumsum(opens) - 1
+    word = np.cumsum(opens, dtype=_index(n)) - 1
     odd = np.zeros(int(word[-1]) + 2, bool)
     odd[word[kind == ODD]] = True
     starts = opens
     starts[1:] |= cut & inside[1:] & ~odd[word[1:]]
     starts = np.flatnonzero(starts)
-    keep = np.flatnonzero(inside)
-    bounds = np.append(np.searchsorted(keep, starts), len(keep))
-    return text.strings(data[keep], bounds), np.searchsorted(starts, offsets)
+    del word
+    before = np.cumsum(inside, dtype=_index(n))
+    bounds = np.append(before[starts] - 1, before[-1]).astype(np.int64)
+    return text.strings(data[inside], bounds), np.searchsorted(starts, offsets)
+
+
+def _index(n: int) -> type:
+    return np.int32 if n < 1 << 31 else np.int64
 
 
 class WordEncoder:

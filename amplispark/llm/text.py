@@ -62,9 +62,9 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     opens = ~space
     opens[1:] &= space[:-1] | first[1:n]
     starts = np.flatnonzero(opens)
-    keep = np.flatnonzero(~space)
-    bounds = np.append(np.searchsorted(keep, starts), len(keep))
-    return strings(data[keep], bounds), np.searchsorted(starts, offsets)
+    before = np.cumsum(~space, dtype=np.int32 if n < 1 << 31 else np.int64)
+    bounds = np.append(before[starts] - 1, before[-1]).astype(np.int64)
+    return strings(data[~space], bounds), np.searchsorted(starts, offsets)
 
 
 def ragged(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
