@@ -65,6 +65,39 @@ def _scan(patterns, max_mm: int, cap: int = 0):
     return run
 
 
+#: Share of all places below which they are looked at one by one.
+FEW = 1 / 16
+
+
+def _near(base: np.ndarray, pattern: np.ndarray, ok: np.ndarray, protected: range, max_mm: int) -> np.ndarray:
+    """Places among ok where the protected letters match and at most max_mm of the others don't.
+
+    Letters are compared at all places at once while many are left, and then at those that are left.
+    """
+    count, places = len(ok), None
+    for j in protected:
+        if places is None:
+            ok &= (base[j : j + count] & pattern[j]) != 0
+            if (j - protected.start) % 3 == 2:
+                found = np.flatnonzero(ok)
+                places = found if len(found) < count * FEW else None
+        else:
+            places = places[(base[places + j] & pattern[j]) != 0]
+    others = [j for j in range(len(pattern)) if j not in protected]
+    kind = np.uint8 if len(others) < 256 else np.uint32
+    if places is None and len(others) > 0:
+        mm = np.zeros(count, kind)
+        for j in others:
+            mm += (base[j : j + count] & pattern[j]) == 0
+        return np.flatnonzero(ok & (mm <= max_mm))
+    if places is None:
+        return np.flatnonzero(ok)
+    mm = np.zeros(len(places), kind)
+    for j in others:
+        mm += (base[places + j] & pattern[j]) == 0
+    return places[mm <= max_mm]
+
+
 def _rows(batch: pa.RecordBatch, patterns, max_mm: int, cap: int = 0) -> Iterator[pa.RecordBatch]:
     texts = batch.column(4).to_pylist()
     size = np.array([len(x) for x in texts])
@@ -79,10 +112,7 @@ def _rows(batch: pa.RecordBatch, patterns, max_mm: int, cap: int = 0) -> Iterato
         count = len(base) - n + 1
         if count <= 0:
             continue
-        ok = owned[:count] & (room[:count] >= n)
-        for j in range(low, high):  # protected bases first: few places are left after them
-            ok &= (base[j : j + count] & pattern[j]) != 0
-        places = np.flatnonzero(ok)
+        places = _near(base, pattern, owned[:count] & (room[:count] >= n), range(low, high) if max_mm else range(n), max_mm)
         bad = np.zeros((len(places), n), bool)
         for j in range(n):
             bad[:, j] = (base[places + j] & pattern[j]) == 0
