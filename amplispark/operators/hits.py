@@ -55,12 +55,8 @@ def _patterns(pairs: list[Pair], max_mm: int, window: int, orients: str = "ABab"
 def _scan(patterns, max_mm: int, cap: int = 0):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size = pc.binary_length(batch.column(4)).to_numpy()
-            start = 0
-            while start < batch.num_rows:
-                stop = max(start + 1, int(np.searchsorted(np.cumsum(size[start:]), SCAN_BASES, "right")) + start)
-                yield from _rows(batch.slice(start, stop - start), patterns, max_mm, cap)
-                start = stop
+            for part in parts(batch):
+                yield from _rows(part, patterns, max_mm, cap)
 
     return run
 
@@ -69,7 +65,7 @@ def _scan(patterns, max_mm: int, cap: int = 0):
 FEW = 1 / 16
 
 
-def _near(base: np.ndarray, pattern: np.ndarray, ok: np.ndarray, protected: range, max_mm: int) -> np.ndarray:
+def near(base: np.ndarray, pattern: np.ndarray, ok: np.ndarray, protected: range, max_mm: int) -> np.ndarray:
     """Places among ok where the protected letters match and at most max_mm of the others don't.
 
     Letters are compared at all places at once while many are left, and then at those that are left.
@@ -98,28 +94,48 @@ def _near(base: np.ndarray, pattern: np.ndarray, ok: np.ndarray, protected: rang
     return places[mm <= max_mm]
 
 
-def _rows(batch: pa.RecordBatch, patterns, max_mm: int, cap: int = 0) -> Iterator[pa.RecordBatch]:
+def laid_out(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the blocks of a batch on end: base masks, each base's block, which bases are owned, how many follow in the block, and the blocks' ends."""
     texts = batch.column(4).to_pylist()
     size = np.array([len(x) for x in texts])
     ends = np.cumsum(size)
     base = GENOME[np.frombuffer(b"".join(texts), np.uint8)]
     row = np.repeat(np.arange(len(size)), size)
     owned = (np.arange(len(base)) - np.repeat(ends - size, size)) < np.repeat(batch.column(3).to_numpy(), size)
-    room = np.repeat(ends, size) - np.arange(len(base))
+    return base, row, owned, np.repeat(ends, size) - np.arange(len(base)), ends
+
+
+def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Consecutive slices of blocks of about SCAN_BASES."""
+    ends = np.cumsum(pc.binary_length(batch.column(4)).to_numpy())
+    start = 0
+    while start < batch.num_rows:
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + SCAN_BASES, "right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
+def mismatches(base: np.ndarray, pattern: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """For each place which letters of the pattern don't match."""
+    bad = np.zeros((len(places), len(pattern)), bool)
+    for j in range(len(pattern)):
+        bad[:, j] = (base[places + j] & pattern[j]) == 0
+    return bad
+
+
+def _rows(batch: pa.RecordBatch, patterns, max_mm: int, cap: int = 0) -> Iterator[pa.RecordBatch]:
+    base, row, owned, room, ends = laid_out(batch)
+    begins = np.append(0, ends[:-1])
     at = batch.column(2).to_numpy()
     for pair_ord, orient, pattern, low, high in patterns:
         n = len(pattern)
         count = len(base) - n + 1
         if count <= 0:
             continue
-        places = _near(base, pattern, owned[:count] & (room[:count] >= n), range(low, high) if max_mm else range(n), max_mm)
-        bad = np.zeros((len(places), n), bool)
-        for j in range(n):
-            bad[:, j] = (base[places + j] & pattern[j]) == 0
-        mm = bad.sum(1)
-        keep = mm <= max_mm
-        places, bad, mm = places[keep], bad[keep], mm[keep]
-        of = row[places]
+        places = near(base, pattern, owned[:count] & (room[:count] >= n), range(low, high) if max_mm else range(n), max_mm)
+        bad = mismatches(base, pattern, places)
+        mm, of = bad.sum(1), row[places]
         if cap:  # a record's leftmost sites are among its blocks' leftmost ones
             first = np.searchsorted(of, of)
             keep = np.arange(len(of)) - first < cap
@@ -127,7 +143,7 @@ def _rows(batch: pa.RecordBatch, patterns, max_mm: int, cap: int = 0) -> Iterato
         if not len(places):
             continue
         idx = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(mm)]), pa.int32()), pa.array(np.nonzero(bad)[1], pa.int32()))
-        pos = places - (ends - size)[of] + at[of]
+        pos = places - begins[of] + at[of]
         take = pa.array(of)
         yield pa.RecordBatch.from_arrays(
             [batch.column(0).take(take), batch.column(1).take(take), pa.array(np.full(len(of), pair_ord), pa.int32()), pa.array([orient] * len(of), pa.string()), pa.array(pos, pa.int64()), pa.array(mm, pa.int32()), idx],

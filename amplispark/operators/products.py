@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.alphabet import slices
+from ..functions.alphabet import MASK, slices
 from ..session import cut, small
-from .hits import hits
-from .panel import Pair, panel_table
+from .hits import blocks, hits, laid_out, mismatches, near, parts
+from .panel import Pair, orientations, panel_table
 
 #: Longest amplicon unless asked otherwise; 0 asks for any length, which joins all sites of a record and pair.
 MOST_LENGTH = 2000
+#: Longest amplicon that a block's scan gives by itself, and amplicons that it gives at once.
+SCAN_LENGTH, PAIRS_AT_ONCE = 1 << 16, 500_000
+SCANNED = "record string, pair_ord int, experiment_id string, start long, end long, length long, type string, fwd_mm int, rev_mm int, fwd_mm_i string, rev_mm_i string, is_wrap boolean"
 #: Bases of a block from which amplicons are cut, and of the next block that it holds as well.
 SEQUENCE_BLOCK, SEQUENCE_MORE = 1 << 16, 1 << 12
 KEY = ("record", "pair_ord", "start", "end", "type", "is_wrap")
@@ -28,16 +35,88 @@ def amplicons(records: DataFrame, pairs: list[Pair], max_mm: int = 0, window: in
     """Pairs of opposing sites in records (record, seq) as amplicons of the given kinds.
 
     The reverse site begins right of the forward site; on a circular record
-    also left of it, across the origin. Records are scanned once for the left
-    sites and once for the right ones, each orientation once. Sites are joined
+    also left of it, across the origin. Amplicons of at most SCAN_LENGTH bases on
+    linear records come straight from the scan, as a block holds as many bases of
+    the next: nothing is shuffled. Others, and those of capped sites, are joined
     by record, pair, type and, where the length is bounded, by stretches of the
     record as long as the bound, of which an amplicon touches two at most.
     """
+    if max_mm < 0 or window < 0 or cap < 0:
+        raise ValueError("mismatches, window and cap can't be negative")
+    longest = [p.max_length or max_length for p in pairs]
+    if pairs and not circular and not cap and 0 not in longest and max(longest) <= SCAN_LENGTH:
+        n = max(max(len(p.forward), len(p.reverse)) for p in pairs)
+        rows = blocks(records, max(n, *longest) - 1).select("record", "len", "at", "owned", "seq")
+        return rows.mapInArrow(_scanned(pairs, max_mm, window, min_length, max_length, kinds), SCANNED)
     roles = [o for kind, o in (("forward", "Ab"), ("revcomp", "Ba")) if kind in kinds]
     left, right = (hits(records, pairs, max_mm, window, cap, "".join(o[i] for o in roles)) for i in (0, 1))
     return _joined(left, right, pairs, min_length, max_length, circular)
 
 
+class _Sites:
+    """Places of one orientation, its mismatches, and their text by row of the last."""
+
+    def __init__(self, base: np.ndarray, seq: str, ok: np.ndarray, left: bool, max_mm: int, window: int):
+        n = len(seq)
+        pattern, w = np.array([MASK[c] for c in seq], np.uint8), min(window, n)
+        protected = range(n) if not max_mm else range(n - w, n) if left else range(w)
+        self.n, count = n, len(base) - n + 1
+        self.places = near(base, pattern, ok[:count].copy(), protected, max_mm) if count > 0 else np.zeros(0, np.int64)
+        bad = mismatches(base, pattern, self.places)
+        self.mm = bad.sum(1).astype(np.int32)
+        kinds, self.kind = np.unique(bad, axis=0, return_inverse=True) if max_mm and len(bad) else (np.zeros((1, n), bool), np.zeros(len(bad), np.int64))
+        at = [np.flatnonzero(k) for k in kinds]
+        self.texts = pa.array([",".join(map(str, x if left else n - 1 - x)) for x in at], pa.string())
+        self.kind = self.kind.ravel()
+
+
+def _scanned(pairs: list[Pair], max_mm: int, window: int, min_length: int, max_length: int, kinds: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in parts(batch):
+                yield from _block_amplicons(part, pairs, max_mm, window, min_length, max_length, kinds)
+
+    return run
+
+
+def _block_amplicons(batch: pa.RecordBatch, pairs: list[Pair], max_mm: int, window: int, min_length: int, max_length: int, kinds: str) -> Iterator[pa.RecordBatch]:
+    """Amplicons whose left site a block owns."""
+    base, row, owned, room, ends = laid_out(batch)
+    offset = batch.column(2).to_numpy() - np.append(0, ends[:-1])
+    for i, p in enumerate(pairs):
+        low, high = p.min_length or min_length, p.max_length or max_length
+        o = orientations(p)
+        for kind, a, b in (("forward", "A", "b"), ("revcomp", "B", "a")):
+            if kind not in kinds:
+                continue
+            left = _Sites(base, o[a], owned & (room >= len(o[a])), True, max_mm, window)
+            if not len(left.places):
+                continue
+            right = _Sites(base, o[b], room >= len(o[b]), False, max_mm, window)
+            first = np.searchsorted(right.places, np.maximum(left.places, left.places + low - right.n - 1) if low else left.places, "right")
+            last = np.searchsorted(right.places, np.minimum(left.places + high, ends[row[left.places]]) - right.n, "right")
+            count = np.maximum(last - first, 0)
+            sums = np.cumsum(count)
+            start = 0
+            while start < len(count):  # so many amplicons at a time that they fit in memory
+                stop = max(start + 1, int(np.searchsorted(sums, (sums[start - 1] if start else 0) + PAIRS_AT_ONCE, "right")))
+                each = count[start:stop]
+                total = int(each.sum())
+                if total:
+                    le = np.repeat(np.arange(start, stop), each)
+                    ri = np.repeat(first[start:stop] - (np.cumsum(each) - each), each) + np.arange(total)
+                    of = row[left.places[le]]
+                    begin, at = left.places[le] + offset[of], right.places[ri] + offset[of]
+                    end = at + right.n
+                    text = lambda s, k: s.texts.take(pa.array(s.kind[k]))
+                    same = lambda x, t: pa.array(np.full(total, x), t)
+                    names = pa.DictionaryArray.from_arrays(pa.array(np.zeros(total, np.int32)), pa.array([p.id], pa.string())).cast(pa.string())
+                    types = pa.DictionaryArray.from_arrays(pa.array(np.zeros(total, np.int32)), pa.array([kind], pa.string())).cast(pa.string())
+                    columns = [batch.column(0).take(pa.array(of)), same(i, pa.int32()), names, pa.array(begin, pa.int64()), pa.array(end, pa.int64()), pa.array(end - begin, pa.int64()), types, pa.array(left.mm[le]), pa.array(right.mm[ri]), text(left, le), text(right, ri), same(False, pa.bool_())]
+                    yield pa.RecordBatch.from_arrays(columns, list(COLUMNS))
+                start = stop
+
+
 def _joined(left: DataFrame, right: DataFrame, pairs: list[Pair], min_length: int, max_length: int, circular: bool) -> DataFrame:
     bounds = panel_table(left.sparkSession, pairs)
     low = F.when(F.col("min_length") > 0, F.col("min_length")).otherwise(min_length)

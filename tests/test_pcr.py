@@ -56,6 +56,22 @@ def test_products_equal_brute_force(spark, max_mm, window, circular):
     assert found(spark, seq, p, max_mm, window, 0, 90, circular) == brute(seq, p, max_mm, window, 0, 90, circular)
 
 
+@pytest.mark.parametrize("max_mm,window,low,high", [(0, 0, 0, 90), (1, 0, 20, 60), (1, 3, 0, 40), (2, 2, 30, 2000)])
+def test_scanned_amplicons_equal_brute_force(spark, monkeypatch, max_mm, window, low, high):
+    """Straight from blocks of a few bases, several records and pairs, with bounds of the pairs' own."""
+    monkeypatch.setattr(products_module, "blocks", lambda records, overlap, f=hits_module.blocks: f(records, overlap, 16))
+    monkeypatch.setattr(products_module, "PAIRS_AT_ONCE", 3)
+    rng = random.Random(9)
+    pairs = [panel.pair("p", "ACGTAC", "GGTRCC"), panel.pair("q", "TTNA", "GCA", 8, 30)]
+    seqs = {f"r{k}": "".join(rng.choice("ACGTN") for _ in range(50 * k)) + "ACGTACTTTTGGTACC" * k for k in range(4)}
+    records = spark.createDataFrame(list(seqs.items()), "record string, seq string")
+    got = products_module.amplicons(records, pairs, max_mm, window, low, high).collect()
+    want = [(r, p.id, *x) for r, seq in seqs.items() for p in pairs for x in brute(seq, p, max_mm, window, p.min_length or low, p.max_length or high)]
+    shown = [tuple(r[c] for c in ("record", "experiment_id", "start", "end", "length", "type", "fwd_mm", "rev_mm", "fwd_mm_i", "rev_mm_i", "is_wrap")) for r in got]
+    assert sorted(shown) == sorted(want) and want
+    assert products_module.amplicons(records.limit(0), pairs, max_mm, window, low, high).count() == 0
+
+
 def test_reference_n_is_one_mismatch_and_primer_n_is_free(spark):
     assert len(found(spark, "TTTACNTACAAAAGGTACCTTT", panel.pair("p", "ACGTAC", "GGTACC"), 1)) >= 1
     assert found(spark, "TTTACNTACAAAAGGTACCTTT", panel.pair("p", "ACGTAC", "GGTACC"), 0) == []
