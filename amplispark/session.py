@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
 #: Bounds of Arrow batches that are set where the session has Spark's defaults.
-BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 DEFAULT_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "10000", "spark.sql.execution.arrow.maxBytesPerBatch": str(64 << 20)}
 #: Rows of a table built on the driver that is broadcast at most.
 BROADCAST_ROWS = 100_000
