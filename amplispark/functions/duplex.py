@@ -8,7 +8,8 @@ by the base of the template beside the primer's end.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from collections.abc import Mapping
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -63,6 +64,25 @@ def triplets() -> dict[str, float]:
     return out
 
 
+@dataclass(frozen=True)
+class Overrides:
+    """Costs that count before the tables above, by primer triplet and target triplet; N stands for any neighbour, all of a strand's or none.
+
+    Those in degrees count before those in kcal/mol; of either, a key with
+    neighbours of both strands before one with the primer's, the target's, none.
+    """
+
+    kcal: Mapping[str, float] = field(default_factory=dict)
+    degrees: Mapping[str, float] = field(default_factory=dict)
+
+    @staticmethod
+    def find(table: Mapping[str, float], a: Column, b: Column) -> Column:
+        if not table:
+            return F.lit(None).cast("double")
+        bare = lambda x: F.concat(F.lit("N"), F.substring(x, 2, 1), F.lit("N"))
+        return F.coalesce(*[lookup(dict(table), F.concat(x, y)) for x, y in ((a, b), (a, bare(b)), (bare(a), b), (bare(a), bare(b)))])
+
+
 def dangling(table: dict[str, tuple[float, ...]]) -> dict[str, float]:
     """By dangling base and the target's base beside it."""
     return {x + paired: v for paired, row in table.items() for x, v in zip("ACGT", row, strict=True)}
@@ -76,8 +96,11 @@ def complement(seq: Column) -> Column:
     return F.translate(seq, "ACGT", "TGCA")
 
 
-def mismatch_costs(primer: Column, target: Column, before_primer: Column | None = None, before_target: Column | None = None) -> Column:
-    """array of struct(i, triplet, known, cost): one for each mismatch, cost in kcal/mol; bases before the strands are their neighbours."""
+def mismatch_costs(primer: Column, target: Column, before_primer: Column | None = None, before_target: Column | None = None, overrides: Overrides = Overrides()) -> Column:
+    """array of struct(i, triplet, known, cost, degrees): one for each mismatch, cost in kcal/mol; bases before the strands are their neighbours.
+
+    degrees is null unless overrides have the cost in degrees.
+    """
     unknown_base = F.lit("N")
     top = F.concat(unknown_base if before_primer is None else before_primer, primer, unknown_base)
     low = F.concat(unknown_base if before_target is None else before_target, target, unknown_base)
@@ -88,10 +111,11 @@ def mismatch_costs(primer: Column, target: Column, before_primer: Column | None
         a, b = F.substring(top, i + 1, F.lit(3)), F.substring(low, i + 1, F.lit(3))
         beside = F.concat(F.substring(a, 1, 1), F.substring(a, 3, 1), F.substring(b, 1, 1), F.substring(b, 3, 1))
         count = lambda letters: F.length(F.regexp_replace(beside, f"[^{letters}]", ""))
-        triplet = lookup(triplets(), F.concat(a, b))
+        degrees = Overrides.find(overrides.degrees, a, b)
+        triplet = F.coalesce(degrees, Overrides.find(overrides.kcal, a, b), lookup(triplets(), F.concat(a, b)))
         pair = lookup(PAIR, F.concat(F.substring(a, 2, 1), F.substring(b, 2, 1)))
         unknown = F.when(count("GC") >= count("AT") + 2, UNKNOWN - UNKNOWN_IN_GC).otherwise(UNKNOWN)
-        return F.struct(i.alias("i"), triplet.isNotNull().alias("triplet"), F.coalesce(triplet, pair).isNotNull().alias("known"), F.coalesce(triplet, pair, unknown).alias("cost"))
+        return F.struct(i.alias("i"), triplet.isNotNull().alias("triplet"), F.coalesce(triplet, pair).isNotNull().alias("known"), F.coalesce(triplet, pair, unknown).alias("cost"), degrees.alias("degrees"))
 
     return F.transform(wrong, one)
 
@@ -106,12 +130,16 @@ def shifted_costs(primer: Column, target: Column, longer: Column) -> Column:
     return mismatch_costs(p, t, *head)
 
 
+def degrees_of(mismatch: Column, denominator: Column | float) -> Column:
+    return F.coalesce(mismatch["degrees"], in_degrees(mismatch["cost"], denominator))
+
+
 def in_degrees(cost: Column, denominator: Column | float) -> Column:
     d = denominator if isinstance(denominator, Column) else F.lit(denominator)
     return F.when(d <= 0, NO_DENOMINATOR_C).otherwise(cost * 1000 / d)
 
 
-def imperfect(rows: DataFrame, primer: str, target: str, prefix: str, c: Conditions = Conditions(), beside_3: str = "", beside_5: str = "") -> DataFrame:
+def imperfect(rows: DataFrame, primer: str, target: str, prefix: str, c: Conditions = Conditions(), beside_3: str = "", beside_5: str = "", overrides: Overrides = Overrides()) -> DataFrame:
     """rows and, under the prefix, tm, margin, dg, denominator, mismatches, penalty, dangling_dg and policy.
 
     primer and target name columns, as do beside_3 and beside_5, the template's
@@ -123,12 +151,12 @@ def imperfect(rows: DataFrame, primer: str, target: str, prefix: str, c: Conditi
     name = lambda x: f"{prefix}{x}"
     col = lambda x: F.col(name(x))
     rows = rows.withColumns({name("p"): F.when(fits, p), name("t"): F.when(fits, t)})
-    rows = rows.withColumns({name("tm0"): thermo.tm(col("p"), c), name("dh0"): thermo.enthalpy(col("p")), name("bad"): mismatch_costs(col("p"), col("t"))})
+    rows = rows.withColumns({name("tm0"): thermo.tm(col("p"), c), name("dh0"): thermo.enthalpy(col("p")), name("bad"): mismatch_costs(col("p"), col("t"), overrides=overrides)})
     rows = rows.withColumn(name("denominator"), F.abs(col("dh0") * 1000 / (col("tm0") + 273.15)))
     n = F.length(col("p"))
     weight = lambda i: F.when(i >= n - END, WEIGHT_3).when(i < END, WEIGHT_5).otherwise(1.0)
     last = lambda i: F.when(i == n - 1, LAST_3).when(i == 0, LAST_5).otherwise(0.0)
-    degrees = F.transform(col("bad"), lambda m: F.greatest(F.lit(0.0), in_degrees(m["cost"], col("denominator")) * weight(m["i"]) + last(m["i"])))
+    degrees = F.transform(col("bad"), lambda m: F.greatest(F.lit(0.0), degrees_of(m, col("denominator")) * weight(m["i"]) + last(m["i"])))
     end = F.lit(0.0)
     for beside, table, at in ((beside_3, DANGLING_5, F.length(col("t"))), (beside_5, DANGLING_3, F.lit(1))):
         if beside:
@@ -148,11 +176,11 @@ def imperfect(rows: DataFrame, primer: str, target: str, prefix: str, c: Conditi
     return rows.drop(*[name(x) for x in ("p", "t", "tm0", "dh0", "bad")])
 
 
-def old_penalty(primer: Column, target: Column, denominator: Column | float = 200.0) -> Column:
+def old_penalty(primer: Column, target: Column, denominator: Column | float = 200.0, overrides: Overrides = Overrides()) -> Column:
     """The older model's penalty in degrees without gaps: weighted mismatches, 0 at least; 0 where the primer isn't of plain bases."""
     n = F.length(primer)
     weight = lambda i: F.when(i >= n - END, WEIGHT_3).when(i < END, WEIGHT_5).otherwise(1.0)
-    costs = F.transform(mismatch_costs(primer, target), lambda m: in_degrees(m["cost"], denominator) * weight(m["i"]))
+    costs = F.transform(mismatch_costs(primer, target, overrides=overrides), lambda m: degrees_of(m, denominator) * weight(m["i"]))
     total = F.aggregate(costs, F.lit(0.0), lambda a, x: a + x)
     return F.when(primer.rlike("^[ACGT]+$") & (F.length(primer) == F.length(target)), F.greatest(F.lit(0.0), total)).otherwise(0.0)
 

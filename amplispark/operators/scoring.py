@@ -45,7 +45,7 @@ def with_targets(rows: DataFrame) -> DataFrame:
     })
 
 
-def scored(rows: DataFrame, c: Conditions = Conditions(), profile: Profile = Profile()) -> DataFrame:
+def scored(rows: DataFrame, c: Conditions = Conditions(), profile: Profile = Profile(), overrides: duplex.Overrides = duplex.Overrides()) -> DataFrame:
     """rows (fwd, rev of plain bases; seq; length) with both ends' terms, limiting_side, base_score and score.
 
     The base score is the smaller margin over the annealing temperature. It is
@@ -53,7 +53,7 @@ def scored(rows: DataFrame, c: Conditions = Conditions(), profile: Profile = Pro
     """
     got = with_targets(rows)
     for end in ENDS:
-        got = duplex.imperfect(got, end, f"{end}_target", f"{end}_", c, f"{end}_beside")
+        got = duplex.imperfect(got, end, f"{end}_target", f"{end}_", c, f"{end}_beside", overrides=overrides)
     fwd, rev = F.col("fwd_margin"), F.col("rev_margin")
     base = F.when(rev < fwd, rev).otherwise(fwd)
     got = got.withColumns({"limiting_side": F.when(rev < fwd, "rev").otherwise("fwd"), "base_score": F.when(fwd.isNotNull() & rev.isNotNull(), base)})

@@ -305,3 +305,17 @@ def test_details_of_a_mismatch(spark):
     assert (a.mismatch_count, a.five_mismatch_count, a.three_mismatch_count, a.mismatch_triplet_count, a.mismatch_curated_pair_count, a.mismatch_fallback_count) == (1, 0, 0, 1, 0, 0)
     assert a.mismatch_dg_kcal == pytest.approx(3.97, abs=1e-9) and a.mismatch_sources == "triplet-ddg" and a.end_effect_policy == "none"
     assert (b.mismatch_curated_pair_count, b.three_terminal_mismatch_penalty_c, b.five_terminal_mismatch_penalty_c, b.end_effect_policy) == (1, 1.5, 0.0, "nn-terminal-mismatch-v1")
+
+
+def test_overrides_count_by_how_much_they_know(spark):
+    primer, target = "ACGTACGTACGTACGT", "TGCATGCCTGCATGCA"  # GTA over CCT at place 7
+    plain = terms(spark, primer, target)
+    rows = spark.createDataFrame([(primer, target)], "p string, t string")
+    cost = lambda **x: duplex.imperfect(rows, "p", "t", "x_", overrides=duplex.Overrides(**x)).first()
+    key = primer[6:9] + target[6:9]
+    loose = f"N{key[1]}NN{key[4]}N"
+    assert cost(kcal={loose: 1.0}).x_penalty == pytest.approx(1.0 * 1000 / plain.x_denominator)
+    assert cost(kcal={loose: 1.0, f"{key[:3]}N{key[4]}N": 2.0}).x_penalty == pytest.approx(2.0 * 1000 / plain.x_denominator)
+    assert cost(kcal={key: 3.0, loose: 1.0, f"N{key[1]}N{key[3:]}": 2.0}).x_penalty == pytest.approx(3.0 * 1000 / plain.x_denominator)
+    assert cost(kcal={key: 3.0}, degrees={loose: 4.5}).x_penalty == pytest.approx(4.5)
+    assert cost(kcal={"AAAAAA": 9.0}).x_penalty == plain.x_penalty
