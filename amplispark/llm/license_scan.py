@@ -2,21 +2,24 @@
 
 A block is the text around a cue word, whatever its line breaks and sentences: on
 either side as many words as the longest template has and as many more as may
-differ; blocks that overlap are one. A window of a block goes on to a template
-if it holds enough of the template's words. It is compressed alone and with the
-template as raw zstandard dictionary; the relative gain has to be large enough,
-and the template is confirmed by the words that differ between its text and the
-window. Words that tell licenses of a family apart (names, versions) have to be
-those of the template, no less and no more. Of confirmed windows that overlap,
-the longest wording counts, then that with fewest words that differ, then that
-of the largest gain; so a block gives all its licenses.
+differ; blocks that overlap are one. Windows of a block are the places that hold
+as many of a template's words as it has to; windows that overlap make a stretch.
+A stretch is compressed alone and with each template as raw zstandard dictionary,
+and the relative gain ranks the templates. In that order they are confirmed: by
+the words that differ between the template and one of its windows, by the gain of
+that window, which has to be large enough, and by the words that tell licenses of
+a family apart (names, versions), which have to be those of the template, no less
+and no more. The first that is confirmed has the stretch: its windows with fewest
+words that differ are taken, and what is left beside them is compressed and ranked
+again; so a block gives all its licenses.
 
 The templates are notices, headers and short texts (license_texts.py); a license
 that is only given by name in running prose, or whose text isn't among them, isn't
-found. Every template has a word that CUES matches, so no wording is passed over.
+found. Every template has a word that CUES matches, and a place without a window
+can't be confirmed, so no wording is passed over.
 
-Nulls and edge cases: a null or empty text has no block. Ties go to the first
-template by name. n_diff adds up all notices found, also those of one license,
+Nulls and edge cases: a null or empty text has no block. Equal gains go to the
+first template by name. n_diff adds up all notices found, also those of one license,
 which is named once. Every row gives one row; repeated rows stay; other
 columns are ignored; an empty table gives an empty result. Whole texts are
 scanned, whatever their length.
@@ -46,6 +49,8 @@ WORDS = re.compile(r"[a-z0-9]+(?:[.-][0-9a-z]+)*")
 #: ASCII only, so that places stay.
 LOWER = {ord(c): c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
 BREAKS = re.compile(r"\s*\n[\s#*/;!%>|-]*|\s+")
+#: Runs longer than any in a template; left out of what is ranked, as they would only hide the gain.
+RUNS = re.compile(r"[^A-Za-z0-9]{33,}|[A-Za-z0-9]{65,}")
 
 
 #: What may follow a version in an identifier.
@@ -71,6 +76,7 @@ class Scanner:
         longest = max((len(t[1]) for t in self.templates), default=0)
         self.reach = longest + int(MAX_DIFF * longest)
         self.known: dict[tuple[int, str], tuple[int, float] | None] = {}
+        self.orders: dict[str, list[int]] = {}
 
     @staticmethod
     def telling(words: list[str]) -> set[str]:
@@ -80,6 +86,22 @@ class Scanner:
             return set(words[at : at + 1])
         return set(words) & TELLING
 
+    def gains(self, text: str) -> list[float]:
+        """Relative gain of a text with each template as dictionary, over the text alone."""
+        raw = text.encode()
+        alone = len(self.plain.compress(raw))
+        return [1 - len(t[4].compress(raw)) / alone for t in self.templates]
+
+    def ranked(self, text: str) -> list[int]:
+        """All templates, that with the largest gain first."""
+        text = RUNS.sub(" ", text)
+        if text not in self.orders:
+            if len(self.orders) > 2_000:
+                self.orders.clear()
+            gains = self.gains(text)
+            self.orders[text] = sorted(range(len(gains)), key=lambda i: (-gains[i], i))
+        return self.orders[text]
+
     def confirmed(self, i: int, text: str) -> tuple[int, float] | None:
         """Words that differ between template i and a window, and the gain, if both suffice."""
         if (i, text) in self.known:
@@ -183,20 +205,46 @@ class Scanner:
         for k, w in enumerate(words):
             for i in self.holding.get(w, ()):
                 hits.setdefault(i, []).append(k)
-        found = []
-        for i, at in hits.items():
-            for a, b in self.windows(i, words, at):
-                got = self.confirmed(i, BREAKS.sub(" ", text[spans[a].start() : spans[b].end()]))
-                if got:
-                    long = len(self.templates[i][1]) > LONG
-                    found.append((-(b - a) // LONG if long else 0, got[0], -got[1], self.templates[i][0], a, b))
+
+        def part(a: int, b: int) -> str:
+            return BREAKS.sub(" ", text[spans[a].start() : spans[b].end()])
+
         taken, out = bytearray(len(words)), []
-        for _, differing, _, name, a, b in sorted(found):
-            if not any(taken[a : b + 1]):
-                taken[a : b + 1] = b"\1" * (b + 1 - a)
-                out.append((name, differing))
+        left = self.stretches({(a, b, i) for i, at in hits.items() for a, b in self.windows(i, words, at)})
+        while left:
+            stretch = left.pop()
+            free = [(a, b, i) for a, b, i in stretch if not any(taken[a : b + 1])]
+            if len(free) < len(stretch):  # it was cut from one before it
+                left += self.stretches(free)
+                continue
+            own: dict[int, list[tuple[int, int]]] = {}
+            for a, b, i in stretch:
+                own.setdefault(i, []).append((a, b))
+            for i in self.ranked(part(stretch[0][0], max(b for _, b, _ in stretch))):
+                places = own.pop(i, ())
+                got = sorted((found[0], -found[1], a, b) for a, b in places if (found := self.confirmed(i, part(a, b))))
+                if got:
+                    for differing, _, a, b in got:
+                        if differing == got[0][0] and not any(taken[a : b + 1]):
+                            taken[a : b + 1] = b"\1" * (b + 1 - a)
+                            out.append((self.templates[i][0], differing))
+                    own[i] = places
+                    left += self.stretches((a, b, i) for i, at in own.items() for a, b in at if not any(taken[a : b + 1]))
+                    break
         return out
 
+    def stretches(self, windows) -> list[list[tuple[int, int, int]]]:
+        """Windows that overlap, together, the last stretch first; one that goes on and on is cut, so that the work stays linear."""
+        out: list[list[tuple[int, int, int]]] = []
+        end = -1
+        for w in sorted(windows):
+            if w[0] > end or w[0] >= out[-1][0][0] + 2 * self.reach:
+                out.append([])
+                end = -1
+            out[-1].append(w)
+            end = max(end, w[1])
+        return out[::-1]
+
     def scan(self, text: str | None) -> tuple[int, list[str], int]:
         """Blocks, licenses in order of name, words that differ in all."""
         if not text or not self.cue.search(text):

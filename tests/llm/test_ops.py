@@ -269,6 +269,36 @@ def test_licenses_of_a_family_stay_apart(spark):
     assert got == {0: "AGPL-3.0", 1: "", 2: "GPL-3.0", 3: "", 4: "", 5: "", 6: ""}
 
 
+def test_the_gain_ranks_licenses_before_words_confirm_them(spark):
+    import zstandard
+
+    line = "This text comes under the license of incomprehensibilities and of a house by the sea for all to keep"
+    texts = (
+        ("few-words", line.replace("incomprehensibilities", "unquestionableness")),  # one long word differs
+        ("large-gain", line.replace(" a house", " the house").replace(" and", "")),  # short words differ
+        ("unconfirmed", line.replace("the sea", "the sea of x y z, q w e, r t u, p o i")),  # holds all of it, and too much else
+    )
+    # each notice of similar licenses goes to its own, also where one follows the other
+    rows = docs(spark, [line, f"{line}. {texts[0][1]}", f"{texts[1][1]}. {texts[0][1]}. {texts[1][1]}"])
+    got = {r["doc_id"]: (r["licenses"], r["n_diff"]) for r in license_scan.scan_licenses(rows, texts).collect()}
+    assert got == {0: ("large-gain", 3), 1: ("few-words,large-gain", 3), 2: ("few-words,large-gain", 0)}
+    own = license_scan.Scanner(texts)
+    options = dict(level=9, write_content_size=False, write_checksum=False)
+    alone, gains = len(zstandard.ZstdCompressor(**options).compress(line.encode())), []
+    for _, text in texts:
+        raw = zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        gains.append(1 - len(zstandard.ZstdCompressor(dict_data=raw, write_dict_id=False, **options).compress(line.encode())) / alone)
+    assert own.gains(line) == gains and [texts[i][0] for i in own.ranked(line)] == ["unconfirmed", "large-gain", "few-words"]
+
+
+def test_the_longer_license_counts_where_it_breaks_off():
+    """BSD-3 without its last words still has more of its own than of BSD-2, whose words it has without a change."""
+    text = next(t for n, t in license_scan.TEXTS if n == "BSD-3-Clause" and len(t) > 100).split()
+    own = license_scan.Scanner()
+    for gone in (0, 10, 20):
+        assert own.scan(" ".join(text[: len(text) - gone]))[1:] == (["BSD-3-Clause"], gone)
+
+
 def test_licenses_equal_brute_force_over_all_windows():
     """Every window of the right sizes against every short template, without cues, blocks or prefilters."""
     texts = [(n, t) for n, t in license_scan.TEXTS if len(license_scan.tokens(t)) <= 12]
