@@ -1,7 +1,7 @@
 """All terms behind an amplicon's score: one table of 113 columns, its lines, and nested JSON.
 
-Each end's mismatches are listed once, and counts, sums and labels are taken
-from that list by expressions in the row's own task. Columns that don't apply to
+Each end's mismatches are listed once for each distinct primer and target of a
+batch, and counts and labels are taken from that list. Columns that don't apply to
 a row are null there, and empty in its line.
 """
 
@@ -9,10 +9,13 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import duplex
+from ..functions.batched import by_distinct, distinct_rows
 from ..functions.duplex import Profile
 from ..functions.thermo import Conditions
 from ..sources.sinks import shortest
@@ -50,24 +53,41 @@ TERMINAL_SOURCE, CITATION = "terminal-mismatch-heuristic", "SantaLucia and Hicks
 NOTES = {"triplet": "mismatch between matched pairs, from published dimers", "pair": "default of the pair's family", "terminal": "fixed degrees at a primer's last base"}
 
 
+END_FIELD_TYPES = [
+    *(pa.field(x, pa.int32()) for x in ("mismatch_count", "5p_mismatch_count", "3p_mismatch_count", "mismatch_fallback_count", "mismatch_triplet_count", "mismatch_curated_pair_count")),
+    *(pa.field(x, pa.float64()) for x in ("5p_terminal_mismatch_penalty_c", "3p_terminal_mismatch_penalty_c")),
+    *(pa.field(x, pa.string()) for x in ("mismatch_sources", "mismatch_parameter_sets", "mismatch_citations", "mismatch_parameter_notes")),
+]
+
+
+def mismatch_terms(primer: str | None, target: str | None) -> tuple:
+    """END_FIELD_TYPES of one primer and target."""
+    costs, n = duplex.mismatch_costs(primer, target), len(primer or "")
+    count = lambda f: sum(map(f, costs))
+    kinds = dict.fromkeys("triplet" if m.triplet else "pair" if m.known else "unknown" for m in costs)
+    labels = lambda table: "|".join(table[k] for k in kinds if k in table)
+    return (
+        len(costs), count(lambda m: m.i < duplex.END), count(lambda m: m.i >= n - duplex.END), count(lambda m: not m.known), count(lambda m: m.triplet), count(lambda m: m.known and not m.triplet),
+        duplex.LAST_5 if any(m.i == 0 and n > 1 for m in costs) else 0.0, duplex.LAST_3 if any(m.i == n - 1 for m in costs) else 0.0,
+        labels(SOURCES), labels(PARAMETER_SETS), labels({"triplet": CITATION}), labels(NOTES),
+    )
+
+
 def end_terms(primer: Column, target: Column, denominator: Column, penalty: Column, dangling_dg: Column, dangling: Column) -> dict[str, Column]:
     """The terms of one end by their column's name behind the end's; dangling: whether a base beside the primer counts."""
-    costs, n = duplex.mismatch_costs(primer, target), F.length(primer)
-    count = lambda f: F.size(F.filter(costs, f))
-    first = F.when(F.exists(costs, lambda m: (m["i"] == 0) & (n > 1)), duplex.LAST_5).otherwise(0.0)
-    last = F.when(F.exists(costs, lambda m: m["i"] == n - 1), duplex.LAST_3).otherwise(0.0)
-    kind = lambda m: F.when(m["triplet"], "triplet").when(m["known"], "pair").otherwise("unknown")
-    kinds = F.array_distinct(F.transform(costs, kind))
-    labels = lambda table: F.array_join(F.filter(F.transform(kinds, lambda k: F.create_map(*[F.lit(x) for kv in table.items() for x in kv])[k]), lambda x: x.isNotNull()), "|")
+
+    @F.arrow_udf(", ".join(f"`{x.name}` {'int' if x.type == pa.int32() else 'double' if x.type == pa.float64() else 'string'}" for x in END_FIELD_TYPES))
+    def of(p: pa.Array, t: pa.Array) -> pa.Array:
+        return by_distinct(mismatch_terms, END_FIELD_TYPES, p, t)
+
+    found = of(primer, target)
+    first, last = found["5p_terminal_mismatch_penalty_c"], found["3p_terminal_mismatch_penalty_c"]
     terminal = (first + last) > 0
     at_end = lambda text: F.when(terminal, text).otherwise("")
-    return {
-        "mismatch_count": F.size(costs), "5p_mismatch_count": count(lambda m: m["i"] < duplex.END), "3p_mismatch_count": count(lambda m: m["i"] >= n - duplex.END),
-        "mismatch_fallback_count": count(lambda m: ~m["known"]), "mismatch_triplet_count": count(lambda m: m["triplet"]), "mismatch_curated_pair_count": count(lambda m: m["known"] & ~m["triplet"]),
-        "mismatch_dg_kcal": penalty * denominator / 1000, "terminal_mismatch_penalty_c": first + last, "5p_terminal_mismatch_penalty_c": first, "3p_terminal_mismatch_penalty_c": last,
+    return {x.name: found[x.name] for x in END_FIELD_TYPES} | {
+        "mismatch_dg_kcal": penalty * denominator / 1000, "terminal_mismatch_penalty_c": first + last,
         "terminal_mismatch_dg_kcal": (first + last) * denominator / 1000, "dangling_end_adjustment_c": -dangling_dg * 1000 / denominator, "dangling_end_dg_kcal": dangling_dg,
         "end_effect_policy": F.when(terminal & dangling, END_POLICIES[3]).when(dangling, END_POLICIES[2]).when(terminal, END_POLICIES[1]).otherwise(END_POLICIES[0]),
-        "mismatch_sources": labels(SOURCES), "mismatch_parameter_sets": labels(PARAMETER_SETS), "mismatch_citations": labels({"triplet": CITATION}), "mismatch_parameter_notes": labels(NOTES),
         "terminal_mismatch_sources": at_end(TERMINAL_SOURCE), "terminal_mismatch_parameter_sets": at_end(PARAMETER_SETS["terminal"]), "terminal_mismatch_citations": F.lit(""), "terminal_mismatch_parameter_notes": at_end(NOTES["terminal"]),
     }
 
