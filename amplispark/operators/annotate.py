@@ -6,13 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.alphabet import MASK, normalized, reverse_complement
-from .hits import GENOME
+from ..functions.batched import distinct_rows
+from .hits import GENOME, parts
 from .panel import Pair
-from .products import amplicons
+from .products import block_amplicons
 
 
 #: Bases that are compared with a probe at once; a longer amplicon is taken whole.
@@ -72,7 +74,7 @@ def probe_hit(seq: Column, probe: str, max_mm: int = 0) -> Column:
         rows = [None if x is None else {"mm": x[0], "pos": x[1], "strand": "+-"[x[2]], "site": t[x[1] : x[1] + len(probe)].decode()} for t, x in zip(texts, found, strict=True)]
         return pa.array(rows, pa.struct([("mm", pa.int32()), ("pos", pa.int32()), ("strand", pa.string()), ("site", pa.string())]))
 
-    return best(seq)
+    return best.asNondeterministic()(seq)  # else a filter would compute it once more
 
 
 def with_probe(rows: DataFrame, name: str, probe: str, max_mm: int = 0, require: bool = False) -> DataFrame:
@@ -82,13 +84,47 @@ def with_probe(rows: DataFrame, name: str, probe: str, max_mm: int = 0, require:
     return got.where("probe_found") if require else got
 
 
+NESTED = [pa.field(x, pa.string() if x in ("experiment_id", "type") else pa.int32() if x.endswith("_mm") else pa.int64()) for x in ("experiment_id", "start", "end", "length", "type", "fwd_mm", "rev_mm")]
+
+
+def _first_of_each(found: pa.Table) -> pa.Table:
+    """Of each record's amplicons that with fewest mismatches, the longest, the leftmost."""
+    order = [found["record"], pc.add(found["fwd_mm"], found["rev_mm"]), pc.negate(found["length"]), *(found[x] for x in ("start", "end")), *(pc.rank(found[x], tiebreaker="dense") for x in ("experiment_id", "type"))]
+    at = np.lexsort([x.to_numpy(zero_copy_only=False) if isinstance(x, pa.Array) else x.to_numpy() for x in reversed(order)])
+    record = order[0].to_numpy()[at]
+    return found.take(pa.array(at[np.flatnonzero(np.diff(record, prepend=-1))]))
+
+
+def inner_amplicons(seqs: pa.Array, inner: list[Pair], max_mm: int = 0, window: int = 0, min_length: int = 0, max_length: int = 0) -> pa.Array:
+    """NESTED of the best inner amplicon of each sequence, or null; each distinct one of the batch is scanned once."""
+    rows, of = distinct_rows([seqs])
+    texts = [(x or "").encode() for (x,) in rows]
+    size = pa.array(list(map(len, texts)), pa.int64())
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), size, pa.array([0] * len(texts), pa.int64()), size, pa.array(texts, pa.binary())], ["record", "len", "at", "owned", "seq"])
+    names, best = ["record", *(x.name for x in NESTED)], None
+    for part in parts(batch):
+        longest = max_length or max(map(len, texts), default=0) or 1
+        for found in block_amplicons(part, inner, max_mm, window, min_length, longest, "forward revcomp"):
+            some = _first_of_each(pa.table(found).select(names))
+            best = some if best is None else _first_of_each(pa.concat_tables([best, some]))
+    if best is None:
+        return pa.nulls(len(of), pa.struct(NESTED))
+    best = best.combine_chunks()
+    at = np.full(len(texts), -1)
+    at[best["record"].to_numpy()] = np.arange(len(best))
+    take = pa.array(at, mask=at < 0).take(of)
+    columns = [best[x.name].cast(x.type).combine_chunks() for x in NESTED]
+    columns = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns]
+    return pa.StructArray.from_arrays([c.take(take) for c in columns], fields=NESTED, mask=take.is_null())
+
+
 def with_nested(rows: DataFrame, inner: list[Pair], max_mm: int = 0, window: int = 0, min_length: int = 0, max_length: int = 0, require: bool = False) -> DataFrame:
-    """rows (with seq) and their best inner amplicon: fewest mismatches, longest, leftmost."""
-    key = F.sha2(F.col("seq"), 256)
-    templates = rows.select(key.alias("record"), "seq").dropDuplicates(["record"])
-    found = amplicons(templates, inner, max_mm, window, min_length, max_length)  # unbounded by default, as its record is an amplicon
-    order = [F.col("fwd_mm") + F.col("rev_mm"), F.desc("length"), F.col("start"), F.col("end"), F.col("experiment_id"), F.col("type")]
-    best = found.withColumn("n", F.row_number().over(Window.partitionBy("record").orderBy(*order))).where("n = 1")
-    best = best.select(F.col("record").alias("inner_of"), F.col("experiment_id").alias("inner_experiment_id"), F.col("start").alias("inner_start"), F.col("end").alias("inner_end"), F.col("length").alias("inner_length"), F.col("type").alias("inner_type"), F.col("fwd_mm").alias("inner_fwd_mm"), F.col("rev_mm").alias("inner_rev_mm"))
-    got = rows.join(best, key == F.col("inner_of"), "inner" if require else "left")
-    return got.withColumn("inner_found", F.col("inner_of").isNotNull()).drop("inner_of")
+    """rows (with seq) and their best inner amplicon: fewest mismatches, longest, leftmost; of any length unless bounded, as its record is an amplicon."""
+
+    @F.arrow_udf("experiment_id string, start long, end long, length long, type string, fwd_mm int, rev_mm int")
+    def best(seqs: pa.Array) -> pa.Array:
+        return inner_amplicons(seqs, inner, max_mm, window, min_length, max_length)
+
+    got = rows.withColumn("inner", best.asNondeterministic()(F.col("seq")))  # else a filter would compute it once more
+    got = got.select(*rows.columns, *[F.col("inner")[x.name].alias(f"inner_{x.name}") for x in NESTED], F.col("inner").isNotNull().alias("inner_found"))
+    return got.where("inner_found") if require else got

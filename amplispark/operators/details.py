@@ -15,10 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import duplex
-from ..functions.batched import by_distinct, distinct_rows
+from ..functions.batched import by_distinct
 from ..functions.duplex import Profile
 from ..functions.thermo import Conditions
-from ..sources.sinks import shortest
+from ..sources.sinks import shortest_of
 from .scoring import ENDS, with_targets
 
 #: The columns of details in order; {end} stands for fwd and then rev.
@@ -142,15 +142,26 @@ def with_details(rows: DataFrame, c: Conditions = Conditions(), profile: Profile
 def detail_value(rows: DataFrame) -> Column:
     """The 113 columns of with_details() as a line: doubles in their shortest form, counts of 0 empty."""
     types = dict(rows.dtypes)
+    double = [types[x] == "double" for x in COLUMNS]
 
     def cell(name: str) -> Column:
-        c, none = F.col(name), F.lit(None)
+        c = F.col(name)
         text = F.when(c.cast("int") != 0, c.cast("string")) if name.endswith("_count") else c.cast("string")
-        double = types[name] == "double"
-        return F.struct((c if double else none.cast("double")).alias("d"), (none.cast("string") if double else text).alias("s"))
+        return c if types[name] == "double" else F.coalesce(text, F.lit(""))
 
-    # one formatting for all cells, where 113 of them would be more code than a method may have
-    return F.concat_ws("\t", F.transform(F.array(*map(cell, COLUMNS)), lambda x: F.coalesce(shortest(x["d"]), x["s"], F.lit(""))))
+    @F.arrow_udf("string")
+    def line(*cells: pa.Array) -> pa.Array:
+        texts = [_written(x) if d else x for x, d in zip(cells, double, strict=True)]
+        return pc.binary_join_element_wise(*texts, "\t")
+
+    return line(*map(cell, COLUMNS))
+
+
+def _written(values: pa.Array) -> pa.Array:
+    """shortest_of() of doubles, null as empty; each distinct one of the batch once."""
+    d = values.dictionary_encode()
+    texts = pa.array([shortest_of(x) for x in d.dictionary.to_pylist()], pa.string())
+    return texts.take(d.indices).fill_null("")
 
 
 def detail_lines(rows: DataFrame) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import decimal
 import json
+import math
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -41,6 +43,17 @@ def shortest(x: Column) -> Column:
     return F.when(x.isNotNull(), written)
 
 
+def shortest_of(x: float) -> str:
+    """shortest() of one double."""
+    if math.isnan(x) or math.isinf(x):
+        return "NaN" if math.isnan(x) else "+Inf" if x > 0 else "-Inf"
+    if not 1e-4 <= abs(x) < 1e6 and x:
+        mantissa, _, power = f"{decimal.Decimal(repr(x)).normalize():e}".partition("e")
+        return f"{mantissa}e{int(power):+03d}"
+    text = f"{decimal.Decimal(repr(x or 0.0)):f}"
+    return text[:-2] if text.endswith(".0") else text
+
+
 def _text(rows: DataFrame, name: str) -> Column:
     value = shortest(F.col(name)) if dict(rows.dtypes)[name] == "double" else F.col(name).cast("string")
     return F.coalesce(value, F.lit(""))

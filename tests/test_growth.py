@@ -53,7 +53,7 @@ def test_sums_of_odd_sequences(spark):
         if x is None or x == "ACNT":
             assert r.n.h is None and r.n.s is None
         elif len(x) > 1:
-            assert (r.n.h, r.n.s) == thermo.sums_of(x)
+            assert (r.n.h, r.n.s) == pytest.approx(thermo.sums_of(x), abs=1e-9)
     assert [r.n.own for r in got] == [True, False, True, True, True, None, False, False, False]
 
 
@@ -76,7 +76,7 @@ def test_an_ensemble_has_all_candidates():
     assert got["dg"][0] == pytest.approx(-rt * math.log(sum(math.exp(-x.dg / rt) for x in each)))
 
 
-@pytest.mark.parametrize("kind, mode", itertools.product(structure.KINDS, structure.MODES))
+@pytest.mark.parametrize("kind, mode", list(itertools.product(structure.KINDS, structure.MODES)))
 def test_structures_of_many_equal_one_by_one(kind, mode):
     rng = random.Random(2)
     pairs = [tuple("".join(rng.choices(letters, k=rng.choice((1, 4, 8, 11, 12, 20, 26)))) for _ in "ab") for letters in ("ACGT", "AT", "CG") for _ in range(12)]
@@ -88,3 +88,12 @@ def test_structures_of_many_equal_one_by_one(kind, mode):
             assert got["found"][k] == (want is not None), (a, b)
             for f, _ in structure.FIELDS if want else ():
                 assert got[f][k] == pytest.approx(getattr(want, f), abs=1e-7), (a, b, f)
+
+
+def test_doubles_of_lines_equal_the_column(spark):
+    from amplispark.sources.sinks import shortest, shortest_of
+
+    rng = random.Random(4)
+    values = [0.0, -0.0, 12.0, 0.1, 1e-4, 0.00012, 9.9e-5, 1e-5, 999999.5, 1e6, 1.5e6, 12345678.25, 1e7, 1.5e22, -3e-30, float("nan"), float("inf"), float("-inf"), 100.0, 123456.0] + [rng.uniform(-1, 1) * 10 ** rng.randint(-9, 9) for _ in range(300)]
+    got = spark.createDataFrame([(x,) for x in values], "x double").select("x", shortest(F.col("x")).alias("t")).collect()
+    assert [(r.x, r.t) for r in got if r.t != shortest_of(r.x)] == []
