@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from amplispark.functions import batched, duplex, structure, thermo
 from amplispark.functions.thermo import Conditions
+from amplispark.operators import hits as hits_module
 from amplispark.operators import panel, scoring
 from amplispark.operators.products import amplicons, with_sequences
 
@@ -97,3 +98,19 @@ def test_doubles_of_lines_equal_the_column(spark):
     values = [0.0, -0.0, 12.0, 0.1, 1e-4, 0.00012, 9.9e-5, 1e-5, 999999.5, 1e6, 1.5e6, 12345678.25, 1e7, 1.5e22, -3e-30, float("nan"), float("inf"), float("-inf"), 100.0, 123456.0] + [rng.uniform(-1, 1) * 10 ** rng.randint(-9, 9) for _ in range(300)]
     got = spark.createDataFrame([(x,) for x in values], "x double").select("x", shortest(F.col("x")).alias("t")).collect()
     assert [(r.x, r.t) for r in got if r.t != shortest_of(r.x)] == []
+
+
+@pytest.mark.parametrize("at_most, table", [(0, 1 << 20), (500_000, 1 << 20), (500_000, 0)])
+def test_ways_of_the_seed_join_agree(spark, monkeypatch, at_most, table):
+    """Seeds in DataFrame operations, by a table of all k-mers, and by a search among theirs."""
+    monkeypatch.setattr(hits_module, "BROADCAST_KMERS", at_most)
+    rows = spark.createDataFrame([("r", "TTACGTTANNACGTCACGTGACGTAGACTTACGTTAACGTRACGTAAACGTGACGTC" * 3), ("s", "AC"), ("t", "ACGTTA")], "record string, seq string")
+    pairs = [panel.pair("p", "ACGTTA", "ACNT"), panel.pair("q", "TTAACGNA", "GACGTC")]
+    got = hits_module.seed_hits(rows, pairs, 1, 2)
+    assert ("Join" in plan(got)) == (at_most == 0)
+    assert sorted(map(str, got.collect())) == sorted(map(str, hits_module.hits(rows, pairs, 1, 2).collect()))
+    tables = {4: [(x, 0, "A", 0, ["A", "C", "G", "T"], 0, 0) for x in hits_module.seed_kmers("ACGT", range(0), 0, 4, 1)]}
+    monkeypatch.setattr(hits_module, "TABLE_KMERS", table)
+    seeds = hits_module._Seeds(4, tables[4])
+    place, number = seeds.found(hits_module.FIVE[list(b"ACGTNACCTACG")])
+    assert place.tolist() == [0, 5] and number.tolist() == [0, 0]
