@@ -114,3 +114,20 @@ def test_ways_of_the_seed_join_agree(spark, monkeypatch, at_most, table):
     seeds = hits_module._Seeds(4, tables[4])
     place, number = seeds.found(hits_module.FIVE[list(b"ACGTNACCTACG")])
     assert place.tolist() == [0, 5] and number.tolist() == [0, 0]
+
+
+def test_only_what_orders_scores_is_kept_between(spark):
+    from amplispark.catalog import placed_scores
+
+    rows = placed_scores(scoring.scored(sites(spark)))
+    assert rows.columns == ["record", "start", "end", "length", "type", "score"]
+    assert [r.score for r in scoring.numbered_by_score(rows).orderBy("rank").collect()] == sorted((r.score for r in rows.collect() if r.score is not None), reverse=True) + [None] * rows.where("score is null").count()
+
+
+def test_blocks_of_equal_amplicons_are_drawn_once(spark):
+    from amplispark.sources import pretty
+
+    pretty._remembered.cache_clear()
+    row = {"fwd": "ACG", "rev": "CCC", "fwd_site": "ACG", "rev_site": "CCC", "length": 12, "fwd_mm_i": "", "rev_mm_i": "1"}
+    each = [pretty._remembered(tuple(row[x] for x in pretty.COLUMNS), False, 95) for _ in range(3)]
+    assert each == [pretty.block(row)] * 3 and pretty._remembered.cache_info().misses == 1
